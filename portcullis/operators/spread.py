@@ -101,3 +101,17 @@ def paged_lists(rows: DataFrame, keys: list[str], order: str, value: Column, nam
     return lists.select(*keys, "page", F.count("*").over(group).cast("int").alias("pages"),
                         F.sum(F.size("__l")).over(group).alias("total"),
                         F.transform("__l", lambda e: e["__v"]).alias(name))
+
+
+def with_flag_from(rows: DataFrame, other: DataFrame, keys: list[str], block: Column,
+                   name: str) -> DataFrame:
+    """Append whether ``other`` has a row of the same group (an existence join safe for hot groups)."""
+    blocked = rows.withColumn("__block", block.cast("long"))
+    mine = blocked.select(*keys, "__block").distinct().withColumn("__flag", F.lit(0))
+    theirs = (other.select(*keys).distinct()
+              .select(*keys, F.lit(None).cast("long").alias("__block"), F.lit(1).alias("__flag")))
+    group = Window.partitionBy(*keys)
+    merged = (mine.unionByName(theirs)
+              .withColumn(name, F.max("__flag").over(group) == 1)
+              .filter(F.col("__block").isNotNull()).drop("__flag"))
+    return _join_back(blocked, merged, [*keys, "__block"]).drop("__block")
