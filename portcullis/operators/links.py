@@ -9,7 +9,7 @@ from portcullis.functions.columns import let
 from portcullis.functions.text import clip_bytes, find_links
 from portcullis.operators.checks import graded
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import paged_lists
+from portcullis.operators.spread import BLOCK_ROWS, paged_lists
 from portcullis.schema import finding, gather, text, to_rows, union_all
 
 
@@ -25,23 +25,23 @@ def links_in_tags(tags: Column, prefix="tag ", skip: tuple[str, ...] = ()) -> Co
     return F.flatten(F.transform(keys, lambda k: labelled(text(prefix, k), F.try_element_at(tags, k))))
 
 
+HIT_SPAN = 1 << 20    # links of one source row that keep a place of their own
+SOURCE_SPAN = 1 << 60  # part numbers below this many spans
+
+
 def link_hits(items: DataFrame, parts: DataFrame | None = None, chapters: DataFrame | None = None,
               attachments: DataFrame | None = None) -> DataFrame:
     """(item_id, rank, hit): every labelled link; ``rank`` is the report order within an item.
 
     Title and tags come first, then parts, chapters and attachment names. Each source row yields
     its own links; nothing is collected here."""
-    slot, source = 1 << 8, 1 << 48
-
-    def ranked(df, hits, source_no, idx):
-        base = F.lit(source_no).cast("long") * source + idx.cast("long") * slot
-        return df.select("item_id", F.posexplode(hits).alias("p", "hit")).select(
-            "item_id", F.col("p"), "hit") if idx is None else (
-            df.select("item_id", base.alias("b"), F.posexplode(hits).alias("p", "hit"))
-              .select("item_id", (F.col("b") + F.least("p", F.lit(slot - 1))).alias("rank"),
-                      F.col("p").alias("sub"), "hit"))
+    def ranked(df, hits, source, idx):
+        base = F.lit(source * SOURCE_SPAN) + idx.cast("long") * HIT_SPAN
+        return (df.select("item_id", base.alias("base"), F.posexplode(hits).alias("pos", "hit"))
+                  .select("item_id", (F.col("base") + F.col("pos")).alias("rank"), "hit"))
 
-    frames = [ranked(items, F.concat(labelled("title", F.col("title")), links_in_tags(F.col("tags"))), 0, F.lit(0))]
+    frames = [ranked(items, F.concat(labelled("title", F.col("title")), links_in_tags(F.col("tags"))),
+                     0, F.lit(0))]
     if parts is not None:
         label = text("stream #", F.col("idx"))
         frames.append(ranked(parts, F.concat(
@@ -56,8 +56,8 @@ def link_hits(items: DataFrame, parts: DataFrame | None = None, chapters: DataFr
 
 def links_in_attrs(hits: DataFrame, p: Settings, page: int = 4096) -> DataFrame:
     """LINK_IN_TAG findings: one per item, or one per page of ``page`` links of a larger item."""
-    ordered = hits.withColumn("__order", F.col("rank") * 4096 + F.col("sub"))
-    lists = paged_lists(ordered, ["item_id"], "__order", F.col("hit"), "hits", page)
+    lists = paged_lists(hits, ["item_id"], "rank", F.col("hit"), "hits", page,
+                        size=HIT_SPAN * BLOCK_ROWS)
     return to_rows(lists, gather(finding(
         F.lit(True), "links", "LINK_IN_TAG", graded(p["metadata.links"]),
         text(F.col("total"), " link(s) in metadata: ", F.array_join("hits", "; ")),

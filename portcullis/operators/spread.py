@@ -16,7 +16,7 @@ SALTS = 64
 
 def block_of(order: str, size: int = BLOCK_ROWS) -> Column:
     """Slice of a whole-number order column."""
-    return F.floor(F.col(order) / size)
+    return F.expr(f"`{order}` div {size}L")
 
 
 def salt_of(*columns: str, salts: int = SALTS) -> Column:
@@ -89,11 +89,11 @@ def with_carry(rows: DataFrame, keys: list[str], order: list[str], block: Column
 
 
 def paged_lists(rows: DataFrame, keys: list[str], order: str, value: Column, name: str,
-                page: int = 4096) -> DataFrame:
+                page: int = 4096, size: int = BLOCK_ROWS) -> DataFrame:
     """Ordered lists per group, in pages of bounded length: (keys, page, pages, total, name).
 
     A group up to one page long is one row; a longer one stays whole over several rows."""
-    numbered = with_ordinal(rows.withColumn("__v", value), keys, order, "__rank")
+    numbered = with_ordinal(rows.withColumn("__v", value), keys, order, "__rank", size=size)
     paged = numbered.withColumn("page", F.floor((F.col("__rank") - 1) / page).cast("int"))
     lists = paged.groupBy(*keys, "page").agg(
         F.array_sort(F.collect_list(F.struct("__rank", "__v"))).alias("__l"))
