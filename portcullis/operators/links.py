@@ -72,11 +72,11 @@ def links_in_text_parts(parts: DataFrame, p: Settings, window: int = T.TEXT_PART
     links = finding(F.size("__links") > 0, "text_links", "LINK_IN_SUBS", severity,
                     text("stream #", F.col("idx"), " subtitle text contains ", F.size("__links"), " link(s): ",
                          F.array_join("__links", ", ")),
-                    F.array_join("__links", "\n"))
+                    F.array_join("__links", "\n"), seq=2 * F.col("idx"))
     cut = finding(F.length("text") > window, "text_links", "LINK_IN_SUBS", severity,
                   text("stream #", F.col("idx"), " subtitle text is longer than the runner keeps and was not "
                        "fully checked for links"),
-                  f"only the first {window} bytes of the extracted track were inspected", seq=1)
+                  f"only the first {window} bytes of the extracted track were inspected", seq=2 * F.col("idx") + 1)
     return to_rows(found, gather(links, cut), "item_id", "idx")
 
 

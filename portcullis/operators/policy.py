@@ -15,7 +15,7 @@ from portcullis.operators.profiles import Settings
 from portcullis.operators.spread import block_of, paged_lists, with_flag_from, with_stats
 from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, gather, text, to_rows
 
-COMMENTARY = "(?i)(?<![A-Za-z0-9_])commentar(?:y|ie[sſ])(?![A-Za-z0-9_])"
+COMMENTARY = "(?i)(?<![A-Za-z0-9_])commentar(?:y|ie[s\u017f])(?![A-Za-z0-9_])"
 
 
 def language_matches(lang: Column, ietf: Column, p: Settings) -> Column:
