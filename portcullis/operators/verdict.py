@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portcullis.operators.spread import paged_lists
-from portcullis.schema import FAIL, PASS, STAGE, severity_name, text
+from portcullis.functions.tables import SEVERITY_NAMES
+from portcullis.schema import FAIL, PASS, severity_name, text
 
 SCHEMA_ID = "portcullis.report/1"
 RANK_SPAN = 1 << 32  # sequence numbers within one stage
@@ -77,50 +78,60 @@ def report_lines(judged: DataFrame, findings: DataFrame, key: str = "item_id", p
     return joined.select(key, line.alias("line"))
 
 
+def _counts() -> Column:
+    """Files per verdict as a map aggregate, only those that occur, keys sorted."""
+    pairs = [F.struct(F.lit(name).alias("k"), F.count(F.when(F.col("verdict") == value, 1)).alias("n"))
+             for value, name in sorted(SEVERITY_NAMES.items(), key=lambda e: e[1])]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["n"] > 0))
+
+
 def count_line(judged: DataFrame) -> DataFrame:
     """One row "VERDICT: N file(s) K=V ..." with the keys sorted."""
-    counted = judged.groupBy("verdict").count().select(
-        "verdict", "count", severity_name(F.col("verdict")).alias("name"))
-    pairs = F.array_sort(F.collect_list(F.struct("name", F.col("count").alias("n"))))  # at most five rows
-    return counted.agg(F.max("verdict").alias("v"), F.sum("count").alias("total"), pairs.alias("p")).select(
-        text(severity_name(F.coalesce("v", F.lit(PASS))), ": ", F.coalesce("total", F.lit(0)), " file(s) ",
-             F.array_join(F.transform("p", lambda e: text(e["name"], "=", e["n"])), " ")).alias("line"))
+    head = judged.agg(F.coalesce(F.max("verdict"), F.lit(PASS)).alias("v"), F.count("*").alias("n"), _counts().alias("c"))
+    pairs = F.transform(F.map_entries("c"), lambda e: text(e["key"], "=", e["value"]))
+    return head.select(text(severity_name(F.col("v")), ": ", F.col("n"), " file(s) ", F.array_join(pairs, " ")).alias("line"))
 
 
-def run_header(judged: DataFrame, *, tool: str, version: str, command: str, profile: str, started: Column,
-               finished: Column, errors: list[str] | None = None, hook: Column | None = None) -> DataFrame:
-    """One-row JSON head of a run: everything of the report document except its files, which are the
-    report lines. Times are UTC whole seconds."""
+def _head_fields(*, tool: str, version: str, command: str, profile: str, started: Column, finished: Column,
+                 errors: list[str] | None = None, hook: Column | None = None):
     errors = errors or []
-    counted = judged.groupBy("verdict").count()
-    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-        severity_name(F.col("verdict")).alias("k"), F.col("count").alias("n")))))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     worst = F.greatest(F.coalesce(F.max("verdict"), F.lit(PASS)), F.lit(FAIL if errors else PASS))
-    head = counted.agg(worst.alias("worst"), counts.alias("counts"))
     fields = [F.lit(SCHEMA_ID).alias("schema"), F.lit(tool).alias("tool"), F.lit(version).alias("version"),
               F.lit(command).alias("command"), F.lit(profile).alias("profile")]
     if hook is not None:
         fields.append(hook.alias("hook"))
-    fields += [stamp(started).alias("started"), stamp(finished).alias("finished"),
-               severity_name(F.col("worst")).alias("verdict"), F.col("counts"),
-               F.array(*[F.lit(e) for e in errors]).cast("array<string>").alias("errors")]
-    return head.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("header"))
+    before = [*fields, stamp(started).alias("started"), stamp(finished).alias("finished"),
+              severity_name(worst).alias("verdict"), _counts().alias("counts")]
+    return before, F.array(*[F.lit(e) for e in errors]).cast("array<string>").alias("errors")
+
+
+def run_header(judged: DataFrame, **head) -> DataFrame:
+    """One-row JSON head of a run: everything of the report document except its files, which are the
+    report lines. Times are UTC whole seconds."""
+    fields, errors = _head_fields(**head)
+    return judged.agg(F.to_json(F.struct(*fields, errors), {"ignoreNullFields": "false"}).alias("header"))
 
 
 def report_document(judged: DataFrame, findings: DataFrame, key: str = "item_id", limit: int = 10000,
                     **head) -> DataFrame:
     """The single-document form, for runs whose size is checked first; larger runs use the lines."""
-    n = judged.limit(limit + 1).count()
-    if n > limit:
+    if judged.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} files: write report_lines and run_header instead")
-    lines = report_lines(judged, findings, key)
-    files = lines.select(F.struct(F.get_json_object("line", "$.path").alias("p"), F.col("line")).alias("e")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"]), ",").alias("files"))
-    header = run_header(judged, **head)
-    return header.join(files, F.lit(True)).select(F.concat(  # one row on either side
-        F.expr("substring(header, 1, length(header) - 1)"), F.lit(',"files":['), F.col("files"), F.lit("]}")
-    ).alias("document"))
+    rows = findings.join(judged.select(key), key, "left_semi").limit(100 * limit + 1).count()
+    if rows > 100 * limit:
+        raise ValueError(f"more than {100 * limit} findings: write report_lines and run_header instead")
+    entry = F.struct("code", severity_name(F.col("severity")).alias("severity"), "message",
+                     F.coalesce("detail", F.lit("")).alias("detail"))
+    at = F.struct("stage", "seq", "code", "message")
+    per_item = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), entry.alias("e")))).alias("l"))
+    none = F.array().cast("array<struct<code:string,severity:string,message:string,detail:string>>")
+    files = judged.join(per_item, key, "left").withColumn("file", F.struct(
+        "path", severity_name(F.col("verdict")).alias("verdict"),
+        F.coalesce(F.transform("l", lambda x: x["e"]), none).alias("findings")))
+    fields, errors = _head_fields(**head)
+    listed = F.array_sort(F.collect_list("file")).alias("files")
+    return files.agg(F.to_json(F.struct(*fields, listed, errors), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def human_lines(judged: DataFrame, findings: DataFrame, key: str = "item_id", verbose: bool = False) -> DataFrame:
@@ -136,5 +147,3 @@ def human_lines(judged: DataFrame, findings: DataFrame, key: str = "item_id", ve
         sanitize(F.coalesce("message", F.lit("")))).alias("line"))
     return head.unionByName(body)
 
-
-STAGES = STAGE
