@@ -157,17 +157,24 @@ def trusted_host(token: Column) -> Column:
     The host is taken from the authority part alone: user information, ports, paths, queries and
     look-alike names never count, and a site with a path rule counts only below that path."""
     url = F.when(token.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), token).otherwise(F.concat(F.lit("http://"), token))
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, _AUTHORITY, 1)), r"\.$", "")
-    path = F.regexp_extract(F.regexp_extract(url, _AUTHORITY, 2), r"^(/[^?#]*)", 1)
-    path = F.when(path.contains("%"), F.coalesce(F.try_url_decode(path), F.lit(""))).otherwise(path)
-    out = F.when(host == "", F.lit(None).cast("string"))
-    for site in T.TRUSTED_SITES:
-        member = (host == site) | host.endswith("." + site)
-        prefix = T.TRUSTED_PATHS.get(site)
-        if prefix:
-            out = out.when(member & ~path.startswith(prefix), F.lit(None).cast("string"))
-        out = out.when(member, F.lit(site))
-    return out
+
+    def judge(u):
+        host = F.regexp_replace(F.lower(F.regexp_extract(u, _AUTHORITY, 1)), r"\.$", "")
+        raw = F.regexp_extract(F.regexp_extract(u, _AUTHORITY, 2), r"^(/[^?#]*)", 1)
+        path = F.when(raw.contains("%"), F.coalesce(F.try_url_decode(raw), F.lit(""))).otherwise(raw)
+        return let(F.struct(host.alias("host"), path.alias("path")), site)
+
+    def site(at):
+        out = F.when(at["host"] == "", F.lit(None).cast("string"))
+        for name in T.TRUSTED_SITES:
+            member = (at["host"] == name) | at["host"].endswith("." + name)
+            prefix = T.TRUSTED_PATHS.get(name)
+            if prefix:
+                out = out.when(member & ~at["path"].startswith(prefix), F.lit(None).cast("string"))
+            out = out.when(member, F.lit(name))
+        return out
+
+    return let(url, judge)
 
 
 # --- notes -----------------------------------------------------------------------------------
@@ -297,4 +304,4 @@ def classify_markup_note(s: Column) -> Column:
 
 def classify_note(s: Column) -> Column:
     """kind (xml, mixed, url, text), root element, trusted host and foreign links of a note."""
-    return F.coalesce(classify_markup_note(s), classify_text_note(s))
+    return let(s, lambda t: F.coalesce(classify_markup_note(t), classify_text_note(t)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from portcullis.functions import content as C
 from portcullis.functions import tables as T
-from portcullis.functions.columns import base_name, category, ext, second_ext
+from portcullis.functions.columns import base_name, category, ext, let, second_ext
 from portcullis.functions.text import classify_note, decode_text, first_invisible
 from portcullis.operators.profiles import Settings
 from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, gather, text, to_rows
@@ -86,16 +86,16 @@ def check_sidecar(name: Column, kind: Column, p: Settings) -> Column:
     return finding(side, "sidecar", code, severity, message)
 
 
-def check_note(name: Column, content: Column, kind: Column, p: Settings) -> list[Column]:
-    """Classification of an accepted note and the links it carries outside the expected places."""
+def note_of(name: Column, content: Column, kind: Column, p: Settings) -> Column:
+    """Classification of an accepted note, NULL for every other item."""
     e = ext(name)
     reached = ((e == "nfo") & ~F.array_contains(p["sidecars.block"], e) & ~kind.isin(T.DANGEROUS_KINDS)
                & F.array_contains(p["sidecars.allow"], e) & C.ext_allows(e, kind))
-    note = F.when(reached, classify_note(decode_text(F.substring(content, 1, T.NOTE_WINDOW))))
-    return note_findings(note, p)
+    return F.when(reached, classify_note(decode_text(F.substring(content, 1, T.NOTE_WINDOW))))
 
 
 def note_findings(note: Column, p: Settings) -> list[Column]:
+    """What a note is, and the links it carries outside the expected places."""
     k, host = note["kind"], note["host"]
     known = k.isin("xml", "url", "mixed") | (host != "")
     message = (F.when(k == "xml", text(note["root"], " note"))
@@ -142,11 +142,16 @@ def check_decode(content: Column, tier: str, has_media: Column) -> Column:
 # --- terminal rule ------------------------------------------------------------------------------
 def stop_at_terminal(findings: Column) -> Column:
     """Findings up to and including the first terminal stage; no decode check after a FAIL."""
-    last = F.coalesce(F.array_min(F.transform(F.filter(findings, lambda f: f["terminal"]),
-                                              lambda f: f["stage"])), F.lit(999))
-    kept = F.filter(findings, lambda f: f["stage"] <= last)
-    bad = F.exists(kept, lambda f: (f["severity"] >= FAIL) & (f["code"] != "DECODE_FAIL"))
-    return F.when(bad, F.filter(kept, lambda f: f["code"] != "DECODE_FAIL")).otherwise(kept)
+    def cut(found):
+        last = F.coalesce(F.array_min(F.transform(F.filter(found, lambda f: f["terminal"]), lambda f: f["stage"])),
+                          F.lit(999))
+        return let(F.filter(found, lambda f: f["stage"] <= last), without_decode)
+
+    def without_decode(kept):
+        bad = F.exists(kept, lambda f: (f["severity"] >= FAIL) & (f["code"] != "DECODE_FAIL"))
+        return F.when(bad, F.filter(kept, lambda f: f["code"] != "DECODE_FAIL")).otherwise(kept)
+
+    return let(findings, cut)
 
 
 def stop_at_terminal_rows(rows: DataFrame, item: str = "item_id") -> DataFrame:

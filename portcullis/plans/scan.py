@@ -24,6 +24,7 @@ def scan_items(items: DataFrame, profile: Profile, tier: str | None = None) -> D
     p, have = Settings.of(profile), set(items.columns)
     name, content = F.col("name"), F.col("content")
     sniffed = items.withColumn("__s", sniff(content)).withColumn("kind", F.coalesce("__s.kind", F.lit("unknown")))
+    sniffed = sniffed.withColumn("__note", K.note_of(name, content, F.col("kind"), p))
     kind, detail = F.col("kind"), F.coalesce("__s.detail", F.lit(""))
     media = category(ext(name)).isNotNull()
     length = F.coalesce(F.length(content), F.lit(-1))
@@ -33,7 +34,7 @@ def scan_items(items: DataFrame, profile: Profile, tier: str | None = None) -> D
     if "copies" in have:
         single.append(K.check_copies(F.col("copies")))
     single += [K.check_double_ext(name, p["sidecars.block"]), K.check_unreadable(content),
-               K.check_sidecar(name, kind, p), *K.check_note(name, content, kind, p),
+               K.check_sidecar(name, kind, p), *K.note_findings(F.col("__note"), p),
                K.check_dangerous(name, kind, detail), K.check_ext_mismatch(name, kind), K.check_polyglot(name, content)]
     if "outcome" in have:
         single.append(F.when(media, signature_policy(p["safety.clamav"], F.lit(False), F.lit(True), length, F.col("outcome"))))
@@ -44,7 +45,7 @@ def scan_items(items: DataFrame, profile: Profile, tier: str | None = None) -> D
     single.append(F.when(media, K.check_decode(content, tier or profile["verify.tier"], kind == "text")))
     found = K.stop_at_terminal(F.array_sort(gather(*single)).cast(f"array<{FINDING_TYPE}>"))
     return (sniffed.withColumn("category", F.coalesce(category(ext(name)), F.lit("sidecar")))
-            .withColumn("findings", found).withColumn("verdict", worst(F.col("findings"))).drop("__s"))
+            .withColumn("findings", found).withColumn("verdict", worst(F.col("findings"))).drop("__s", "__note"))
 
 
 def _structure(content):

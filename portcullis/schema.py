@@ -50,8 +50,11 @@ def gather(*findings: Column) -> Column:
 
 
 def to_rows(df: DataFrame, findings: Column, *keys: str) -> DataFrame:
-    """Long form: one row per finding. Rows without a finding are not emitted."""
-    return (df.select(*keys, F.explode(findings).alias("f"))
+    """Long form: one row per finding. Rows without a finding are not emitted.
+
+    An outer explode keeps Catalyst from inferring a size filter and pushing a second copy of every
+    check below the projection; the NULL rows are dropped after it."""
+    return (df.select(*keys, F.explode_outer(findings).alias("f")).filter(F.col("f").isNotNull())
               .select(*keys, *[F.col(f"f.{c}").alias(c) for c in FINDING_COLUMNS]))
 
 

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.files.maxPartitionBytes": str(64 << 20),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Plans are built from many small expressions; recording a call site for each triples the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # The link pattern backtracks recursively on very long dotted names.
     "spark.executor.extraJavaOptions": "-Xss16m",
     "spark.driver.extraJavaOptions": "-Xss16m",
