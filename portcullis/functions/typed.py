@@ -5,34 +5,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
-from portcullis.functions.columns import lookup
+from portcullis.functions.columns import let, lookup
 
-_PLAIN = r"^[0-9.+\-eE]+$"
 _DECIMAL = r"^[+\-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+\-]?[0-9]+)?$"
 _BLANK = "\t\n\u000b\f\r \u0085\u00a0"
 
 
 def plain_number(s: Column) -> Column:
     """A finite decimal number, NULL for every other spelling."""
-    t = F.btrim(s, F.lit(_BLANK))
-    v = F.when(t.rlike(_DECIMAL), t.try_cast("double"))
-    return F.when(v.isNotNull() & (F.abs(v) < float("inf")), v)
+    def read(t):
+        return F.when(t.rlike(_DECIMAL), t.try_cast("double"))
+    return let(let(F.btrim(s, F.lit(_BLANK)), read), lambda v: F.when(F.abs(v) < float("inf"), v))
 
 
 def parse_bounded(raw: Column, lo: float, hi: float) -> Column:
     """A number or num/den within [lo, hi]."""
-    t = F.btrim(raw, F.lit(_BLANK))
-    cut = F.instr(t, "/")
-    num, den = F.substring_index(t, "/", 1), t.substr(cut + 1, F.length(t))
-    ratio = F.try_divide(plain_number(num), plain_number(den))
-    v = F.when(F.octet_length(t) <= 64, F.when(cut > 0, ratio).otherwise(plain_number(t)))
-    return F.when((v >= lo) & (v <= hi) & ~F.isnan(v), v)
+    def read(t):
+        cut = F.instr(t, "/")
+        ratio = F.try_divide(plain_number(F.substring_index(t, "/", 1)), plain_number(t.substr(cut + 1, F.length(t))))
+        return F.when(F.octet_length(t) <= 64, F.when(cut > 0, ratio).otherwise(plain_number(t)))
+    return let(let(F.btrim(raw, F.lit(_BLANK)), read), lambda v: F.when((v >= lo) & (v <= hi) & ~F.isnan(v), v))
 
 
 def parse_int(raw: Column, hi: int) -> Column:
     """A whole number in [0, hi]."""
-    v = parse_bounded(raw, 0.0, float(hi))
-    return F.when(v == F.floor(v), v).cast("int")
+    return let(parse_bounded(raw, 0.0, float(hi)), lambda v: F.when(v == F.floor(v), v)).cast("int")
 
 
 def parse_enum(raw: Column) -> Column:
@@ -44,17 +41,16 @@ def parse_enum(raw: Column) -> Column:
 
 def coded(raw: Column, table: str) -> Column:
     """Name of a code point; '' for an unlisted or absent code; NULL for a malformed one."""
-    n = parse_int(raw, 255)
-    name = F.coalesce(lookup(n, T.CODE_TABLES[table]), F.lit(""))
-    return F.when(raw.isNull(), "").when(n.isNotNull(), name)
+    named = let(parse_int(raw, 255), lambda n: F.when(
+        n.isNotNull(), F.coalesce(lookup(n, T.CODE_TABLES[table]), F.lit(""))))
+    return F.when(raw.isNull(), "").otherwise(named)
 
 
 def coordinate_list(raw: Column, n: int) -> Column:
     """Exactly n comma separated values in [0, 1], else NULL."""
     parts = F.transform(F.split(raw, ","), lambda p: plain_number(p))
-    good = (F.octet_length(raw) <= 256) & (F.size(parts) == n) & F.forall(
-        parts, lambda v: v.isNotNull() & (v >= 0) & (v <= 1))
-    return F.when(good, parts)
+    return let(parts, lambda p: F.when((F.octet_length(raw) <= 256) & (F.size(p) == n) & F.forall(
+        p, lambda v: v.isNotNull() & (v >= 0) & (v <= 1)), p))
 
 
 def malformed(**bad: Column) -> Column:

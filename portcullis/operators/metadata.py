@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
 from portcullis.functions import typed as N
-from portcullis.functions.columns import is_und, lookup, string_list
+from portcullis.functions.columns import is_und, let, lookup, string_list
 from portcullis.functions.content import sniff
 from portcullis.operators.checks import graded
 from portcullis.operators.profiles import Settings
@@ -134,63 +134,62 @@ def _first_of(entries: Column, word: str) -> Column:
     return F.get(hit, F.lit(0))
 
 
+def _parsed(**fields: Column):
+    """Named values computed once, for rules that name each of them many times."""
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
 def extract_groups(names: dict[str, Column], side_data: Column) -> Column:
     """Signal struct of one part: plain names plus the groups of its side-data list.
 
     The first entry of a kind wins. A group is all or nothing: a partial or invalid one holds no
     value and the rejected names are listed."""
-    entries = json_entries(side_data)
-    bad: dict[str, Column] = {}
-    values: dict[str, Column] = {}
-    for n in NAMES:
-        v = N.parse_enum(names[n])
-        values[n], bad[n] = v, v.isNull()
-
-    def present(e, key):
-        return F.try_variant_get(e, f"$.{key}", "variant").isNotNull()
-
-    def raw(e, key):
-        return F.try_variant_get(e, f"$.{key}", "string")
-
-    false = F.lit(False)
-    m = _first_of(entries, "mastering display")
-    keys = {n: n.replace("white_", "white_point_") for n in COORDINATES}
-    got = {n: N.parse_bounded(raw(m, k), 0.0, 1.0) for n, k in keys.items()}
-    here = {n: F.coalesce(present(m, k), false) for n, k in keys.items()}
-    some = here["red_x"]
-    every = here["red_x"]
-    valid = got["red_x"].isNotNull()
-    for n in COORDINATES[1:]:
-        some, every, valid = some | here[n], every & here[n], valid & got[n].isNotNull()
-    for n in COORDINATES:
-        values[n], bad[n] = F.when(valid, got[n]), here[n] & got[n].isNull()
-    bad["chromaticity_coordinates"] = some & ~every
-    lum = {n: N.parse_bounded(raw(m, n), 0.0, T.MAX_LUMINANCE) for n in LUMINANCE}
-    lum_here = {n: F.coalesce(present(m, n), false) for n in LUMINANCE}
-    lum_ok = lum["min_luminance"].isNotNull() & lum["max_luminance"].isNotNull()
-    for n in LUMINANCE:
-        values[n], bad[n] = F.when(lum_ok, lum[n]), lum_here[n] & lum[n].isNull()
-    bad["luminance"] = (lum_here["min_luminance"] | lum_here["max_luminance"]) & ~lum_ok
-    c = _first_of(entries, "content light")
-    light = {"max_cll": "max_content", "max_fall": "max_average"}
-    lv = {n: N.parse_int(raw(c, k), T.MAX_CONTENT_LIGHT) for n, k in light.items()}
-    any_light = F.coalesce(present(c, "max_content") | present(c, "max_average"), false)
-    for n in LIGHT:
-        values[n] = F.when(lv["max_cll"].isNotNull() & lv["max_fall"].isNotNull(), lv[n])
-        bad[n] = any_light & lv[n].isNull()
-    d = _first_of(entries, "dovi configuration")
-    spec = {"dv_profile": ("dv_profile", T.MAX_DV_PROFILE), "dv_level": ("dv_level", T.MAX_DV_LEVEL),
-            "dv_rpu": ("rpu_present_flag", 1), "dv_el": ("el_present_flag", 1), "dv_bl": ("bl_present_flag", 1),
-            "dv_bl_signal_compatibility_id": ("dv_bl_signal_compatibility_id", T.MAX_DV_COMPAT)}
-    dv = {n: N.parse_int(raw(d, k), hi) for n, (k, hi) in spec.items()}
-    dv_ok = F.lit(True)
-    for n in CONFIG:
-        dv_ok = dv_ok & dv[n].isNotNull()
-    for n in CONFIG:
-        values[n], bad[n] = F.when(dv_ok, dv[n]), d.isNotNull() & dv[n].isNull()
-    for n in NAMES:
-        values[n] = F.coalesce(values[n], F.lit(""))
-    return _signal(values, N.malformed(**bad))
+    keys = {**{n: n.replace("white_", "white_point_") for n in COORDINATES}, **{n: n for n in LUMINANCE},
+            "max_cll": "max_content", "max_fall": "max_average",
+            "dv_profile": "dv_profile", "dv_level": "dv_level", "dv_rpu": "rpu_present_flag",
+            "dv_el": "el_present_flag", "dv_bl": "bl_present_flag",
+            "dv_bl_signal_compatibility_id": "dv_bl_signal_compatibility_id"}
+    top = {"max_cll": T.MAX_CONTENT_LIGHT, "max_fall": T.MAX_CONTENT_LIGHT, "dv_profile": T.MAX_DV_PROFILE,
+           "dv_level": T.MAX_DV_LEVEL, "dv_rpu": 1, "dv_el": 1, "dv_bl": 1,
+           "dv_bl_signal_compatibility_id": T.MAX_DV_COMPAT}
+    owner = {**{n: "m" for n in COORDINATES + LUMINANCE}, **{n: "c" for n in LIGHT}, **{n: "d" for n in CONFIG}}
+
+    def groups(entries):
+        return _parsed(m=_first_of(entries, "mastering display"), c=_first_of(entries, "content light"),
+                       d=_first_of(entries, "dovi configuration"))
+
+    def fields(g):
+        out = {n: N.parse_enum(names[n]) for n in NAMES}
+        for n, k in keys.items():
+            e = g[owner[n]]
+            raw = F.try_variant_get(e, f"$.{k}", "string")
+            out[n] = (N.parse_int(raw, top[n]) if n in top
+                      else N.parse_bounded(raw, 0.0, 1.0 if n in COORDINATES else T.MAX_LUMINANCE))
+            out[f"has_{n}"] = F.coalesce(F.try_variant_get(e, f"$.{k}", "variant").isNotNull(), F.lit(False))
+        return _parsed(**out, has_dv=g["d"].isNotNull())
+
+    def judge(r):
+        def every(ns, test):
+            c = test(ns[0])
+            for n in ns[1:]:
+                c = c & test(n)
+            return c
+
+        valued, given = (lambda n: r[n].isNotNull()), (lambda n: r[f"has_{n}"])
+        some = lambda ns: ~every(ns, lambda n: ~given(n))
+        values = {n: F.coalesce(r[n], F.lit("")) for n in NAMES}
+        for group in (COORDINATES, LUMINANCE, LIGHT, CONFIG):
+            whole = every(group, valued)
+            values.update({n: F.when(whole, r[n]) for n in group})
+        bad = {n: r[n].isNull() for n in NAMES}
+        bad.update({n: given(n) & r[n].isNull() for n in COORDINATES + LUMINANCE})
+        bad["chromaticity_coordinates"] = some(COORDINATES) & ~every(COORDINATES, given)
+        bad["luminance"] = some(LUMINANCE) & ~every(LUMINANCE, valued)
+        bad.update({n: some(LIGHT) & r[n].isNull() for n in LIGHT})
+        bad.update({n: r["has_dv"] & r[n].isNull() for n in CONFIG})
+        return _signal(values, N.malformed(**bad))
+
+    return let(let(let(json_entries(side_data), groups), fields), judge)
 
 
 def header_groups(props: Column) -> Column:
@@ -199,32 +198,37 @@ def header_groups(props: Column) -> Column:
     def get(*keys):
         return F.coalesce(*[F.try_element_at(props, F.lit(k)) for k in keys])
 
-    bad, values = {}, {}
-    for n, stem in {"primaries": "_primaries", "transfer": "_transfer_characteristics",
-                    "matrix": "_matrix_coefficients", "range": "_range"}.items():
-        v = N.coded(get("colour" + stem, "color" + stem), n)
-        values[n], bad[n] = F.coalesce(v, F.lit("")), v.isNull()
+    stems = {"primaries": "_primaries", "transfer": "_transfer_characteristics", "matrix": "_matrix_coefficients",
+             "range": "_range"}
     raw_xy, raw_white = get("chromaticity_coordinates"), get("white_colour_coordinates", "white_color_coordinates")
-    xy, white = N.coordinate_list(raw_xy, 6), N.coordinate_list(raw_white, 2)
-    whole = xy.isNotNull() & white.isNotNull()
-    for i, n in enumerate(COORDINATES):
-        values[n] = F.when(whole, xy[i] if i < 6 else white[i - 6])
-    bad["chromaticity_coordinates"] = (raw_xy.isNotNull() & xy.isNull()) | (raw_xy.isNull() & raw_white.isNotNull())
-    bad["white_coordinates"] = xy.isNotNull() & white.isNull()
-    lum = {n: N.parse_bounded(get(n), 0.0, T.MAX_LUMINANCE) for n in LUMINANCE}
-    both = lum["min_luminance"].isNotNull() & lum["max_luminance"].isNotNull()
-    for n in LUMINANCE:
-        values[n] = F.when(both, lum[n])
-    bad["luminance"] = (get("min_luminance").isNotNull() | get("max_luminance").isNotNull()) & ~both
-    keys = {"max_cll": "max_content_light", "max_fall": "max_frame_light"}
-    light = {n: N.parse_int(get(k), T.MAX_CONTENT_LIGHT) for n, k in keys.items()}
-    given = get("max_content_light").isNotNull() | get("max_frame_light").isNotNull()
-    for n in LIGHT:
-        values[n] = F.when(light["max_cll"].isNotNull() & light["max_fall"].isNotNull(), light[n])
-        bad[n] = given & light[n].isNull()
-    for n in CONFIG:
-        values[n] = F.lit(None)
-    return _signal(values, N.malformed(**bad))
+    light = {"max_cll": "max_content_light", "max_fall": "max_frame_light"}
+    fields = {n: N.coded(get("colour" + s, "color" + s), n) for n, s in stems.items()}
+    fields.update(xy=N.coordinate_list(raw_xy, 6), white=N.coordinate_list(raw_white, 2), has_xy=raw_xy.isNotNull(),
+                  has_white=raw_white.isNotNull())
+    fields.update({n: N.parse_bounded(get(n), 0.0, T.MAX_LUMINANCE) for n in LUMINANCE})
+    fields.update({n: N.parse_int(get(k), T.MAX_CONTENT_LIGHT) for n, k in light.items()})
+    fields["has_lum"] = get("min_luminance").isNotNull() | get("max_luminance").isNotNull()
+    fields["has_light"] = get("max_content_light").isNotNull() | get("max_frame_light").isNotNull()
+
+    def judge(r):
+        values = {n: F.coalesce(r[n], F.lit("")) for n in NAMES}
+        bad = {n: r[n].isNull() for n in NAMES}
+        xy, white = r["xy"], r["white"]
+        whole = xy.isNotNull() & white.isNotNull()
+        for i, n in enumerate(COORDINATES):
+            values[n] = F.when(whole, xy[i] if i < 6 else white[i - 6])
+        bad["chromaticity_coordinates"] = F.when(r["has_xy"], xy.isNull()).otherwise(r["has_white"])
+        bad["white_coordinates"] = xy.isNotNull() & white.isNull()
+        both = r["min_luminance"].isNotNull() & r["max_luminance"].isNotNull()
+        values.update({n: F.when(both, r[n]) for n in LUMINANCE})
+        bad["luminance"] = r["has_lum"] & ~both
+        lit = r["max_cll"].isNotNull() & r["max_fall"].isNotNull()
+        values.update({n: F.when(lit, r[n]) for n in LIGHT})
+        bad.update({n: r["has_light"] & r[n].isNull() for n in LIGHT})
+        values.update({n: F.lit(None) for n in CONFIG})
+        return _signal(values, N.malformed(**bad))
+
+    return let(_parsed(**fields), judge)
 
 
 def fill_missing(a: Column, b: Column) -> Column:

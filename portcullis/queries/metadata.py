@@ -20,7 +20,7 @@ ALIAS_SQL = "alias(code, canon) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k
 
 def lang_sql(c: str) -> str:
     short = f"regexp_extract(lower(trim({c})), '^(.[^_-]*)', 1)"
-    return (f"CASE WHEN trim({c}) = '' THEN 'und' ELSE coalesce((SELECT canon FROM alias WHERE code = {short}), {short}) END")
+    return (f"CASE WHEN trim({c}) = '' THEN 'und' ELSE coalesce((SELECT canon FROM alias al WHERE al.code = {short}), {short}) END")
 
 
 _KNOWN = "known(key, about) AS (VALUES " + ", ".join(f"({sql_str(k)}, {sql_str(v)})" for k, v in T.PROVENANCE_KEYS.items()) + ")"
@@ -62,7 +62,7 @@ _CODES = ["-US", "", "_x", " ", "eutsch"]
 
 @query("m04_canonical_lang", f"""WITH {ALIAS_SQL}, c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'unknown'
     WHEN doc_id % 7 = 2 THEN upper(lang) || {sql_by_rest('doc_id', 5, _CODES, '')} WHEN doc_id % 7 = 3 THEN '-' || lang ELSE lang || {sql_by_rest('doc_id', 5, _CODES, '')} END AS code FROM documents)
- SELECT doc_id, {lang_sql('code')} AS lang, {lang_sql('code')} IN ('und', 'unknown') AS und FROM c""")
+ SELECT doc_id, {lang_sql('c.code')} AS lang, {lang_sql('c.code')} IN ('und', 'unknown') AS und FROM c""")
 def _(spark, sf):
     d, tail = F.col("doc_id"), by_rest(F.col("doc_id"), 5, _CODES, "")
     code = (F.when(d % 7 == 0, "").when(d % 7 == 1, "unknown").when(d % 7 == 2, F.concat(F.upper("lang"), tail))
@@ -242,7 +242,7 @@ _GROUP_MAL = """array_to_string(list_filter([CASE WHEN lum AND NOT lumok THEN 'l
 
 
 @query("m15_extract_groups", f"""WITH {_GROUP_SQL} SELECT event_id, CASE WHEN pri THEN 'bt2020' ELSE '' END AS primaries, CASE WHEN event_id % 3 = 1 THEN '' ELSE 'smpte2084' END AS transfer,
-   CAST(CASE WHEN cll AND fall THEN k END AS INTEGER) AS max_cll, CAST(CASE WHEN cll AND fall THEN k END AS INTEGER) AS max_fall, CASE WHEN lum AND lumok THEN 0.0001 END AS min_luminance, CASE WHEN lum AND lumok THEN CAST(k AS DOUBLE) END AS max_luminance,
+   CAST(CASE WHEN cll AND fall THEN k END AS INTEGER) AS max_cll, CAST(CASE WHEN cll AND fall THEN k END AS INTEGER) AS max_fall, CASE WHEN lum AND lumok THEN CAST(0.0001 AS DOUBLE) END AS min_luminance, CASE WHEN lum AND lumok THEN CAST(k AS DOUBLE) END AS max_luminance,
    {_GROUP_MAL} AS malformed FROM g""")
 def _(spark, sf):
     return _groups(spark, sf).select(F.col("item_id").alias("event_id"), "g.primaries", "g.transfer", "g.max_cll", "g.max_fall",
@@ -250,7 +250,7 @@ def _(spark, sf):
 
 
 @query("m15_header_groups", f"""WITH {EVENT_ATTRS_SQL} SELECT event_id, CASE WHEN k % 25 = 9 THEN 'bt2020' WHEN k % 25 = 1 THEN 'bt709' ELSE '' END AS primaries,
-   CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN k / 1000.0 END AS red_x, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 0.329 END AS white_y,
+   CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN k / 1000.0 END AS red_x, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN CAST(0.329 AS DOUBLE) END AS white_y,
    CASE WHEN event_id % 3 = 0 THEN 'chromaticity_coordinates' WHEN event_id % 2 = 1 THEN 'white_coordinates' ELSE '' END AS malformed FROM ev""")
 def _(spark, sf):
     return _headers(event_attrs(spark, sf)).select(F.col("item_id").alias("event_id"), "h.primaries", "h.red_x", "h.white_y",
