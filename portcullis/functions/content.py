@@ -142,8 +142,8 @@ def canonical_bytes(s: Column) -> Column:
     """Text in the form two honest copies share: newlines, trailing blanks and outer blank space
     removed from the comparison."""
     t = F.regexp_replace(s, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t]+(?=\n|$)", "")
-    return F.regexp_replace(t, r"\n+$", "")
+    t = F.regexp_replace(t, r"[ \t]+(?=\n|\z)", "")
+    return F.regexp_replace(t, r"\n+\z", "")
 
 
 def is_in(value: Column, values: list[str]) -> Column:
