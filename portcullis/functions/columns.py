@@ -1,16 +1,36 @@
 """Column helpers: literal lookups and name functions."""
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
 
 
+def _quoted(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+@lru_cache(maxsize=256)
+def _list_sql(values: tuple) -> str:
+    return "array(" + ", ".join(_quoted(v) for v in values) + ")"
+
+
+@lru_cache(maxsize=64)
+def _map_sql(pairs: tuple) -> str:
+    return "map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in pairs) + ")"
+
+
 def lookup(key: Column, table: dict) -> Column:
-    """Value of ``key`` in a fixed table, NULL when it is not listed."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Value of ``key`` in a fixed table, NULL when it is not listed.
+
+    The table is one parsed literal: building it from single columns costs a call to the JVM for
+    every entry."""
+    return F.try_element_at(F.expr(_map_sql(tuple(table.items()))), key)
 
 
 def let(value: Column, body) -> Column:
@@ -19,7 +39,7 @@ def let(value: Column, body) -> Column:
 
 
 def string_list(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.expr(_list_sql(tuple(values))) if values else F.expr("cast(array() as array<string>)")
 
 
 def base_name(path: Column) -> Column:
@@ -31,12 +51,12 @@ def ext(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"\.([^.]*)$", 1))
 
 
+MEDIA = {e: name for name, extensions in T.MEDIA_EXTENSIONS.items() for e in extensions}
+
+
 def category(extension: Column) -> Column:
     """video / audio / subtitle for a media extension, NULL for anything else (a sidecar)."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, extensions in T.MEDIA_EXTENSIONS.items():
-        out = out.when(extension.isin(extensions), F.lit(name))
-    return out
+    return lookup(extension, MEDIA)
 
 
 def second_ext(name: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
-from portcullis.functions.columns import string_list
+from portcullis.functions.columns import lookup, string_list
 
 
 def _at(head: Column, offset: int, hexes: str) -> Column:
@@ -93,15 +93,14 @@ def kind_class(kind: Column) -> Column:
              .when(kind.isin(T.DANGEROUS_KINDS), "dangerous").otherwise("other"))
 
 
+# Extension -> its kinds between separators, so one lookup answers the question.
+_FITTING = {e: "|" + "|".join(kinds) + "|" for e, kinds in T.EXTENSION_KINDS.items()}
+
+
 def ext_allows(extension: Column, kind: Column) -> Column:
     """The extension may hold this kind; unknown extensions and unknown content always may."""
-    groups: dict[tuple, list[str]] = {}
-    for e, kinds in T.EXTENSION_KINDS.items():
-        groups.setdefault(tuple(kinds), []).append(e)
-    out = F.when(kind == "unknown", F.lit(True))
-    for kinds, extensions in groups.items():
-        out = out.when(extension.isin(extensions), kind.isin(list(kinds)))
-    return out.otherwise(F.lit(True))
+    fitting = lookup(extension, _FITTING)
+    return (kind == "unknown") | F.coalesce(F.contains(fitting, F.concat(F.lit("|"), kind, F.lit("|"))), F.lit(True))
 
 
 def appended_payload(content: Column) -> Column:

@@ -78,38 +78,43 @@ def family_labels(transfer: Column, types: Column) -> Column:
         F.array_compact(F.array(lookup(transfer, T.TRANSFER_LABELS))), F.flatten(first)))
 
 
-def _general(sign: Column, digits: Column, exp: Column) -> Column:
-    """Significant digits and decimal exponent in the shorter of plain and e-notation."""
-    digits = F.when(F.rtrim(digits, F.lit("0")) == "", "0").otherwise(F.rtrim(digits, F.lit("0")))
-    n = F.length(digits)
-    first, rest = F.substring(digits, 1, 1), F.substring(digits, 2, 40)
-    science = F.concat(first, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
-                       F.when(exp < 0, F.lit("e-")).otherwise(F.lit("e+")),
-                       F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))),
-                              F.lit("0")))
-    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    whole = F.concat(digits, F.repeat(F.lit("0"), exp + 1 - n))
-    mixed = F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n))
-    return F.concat(sign, F.when((exp < -4) | (exp >= 6), science).when(exp < 0, below)
-                    .when(n <= exp + 1, whole).otherwise(mixed))
-
-
-def _science_parts(s: Column):
-    digits = F.concat(F.regexp_extract(s, r"([0-9])[.,]", 1), F.regexp_extract(s, r"[.,]([0-9]+)", 1))
-    return F.regexp_extract(s, "^(-?)", 1), digits, F.regexp_extract(s, r"e([+\-][0-9]+)$", 1).try_cast("int")
+def _general(parts: Column) -> Column:
+    """Significant digits and decimal exponent, struct(sign, digits, exp), in the shorter of plain
+    and e-notation."""
+    def write(p):
+        digits, exp = p["digits"], p["exp"]
+        n, size = F.length(digits), F.abs(exp).cast("string")
+        rest = F.substring(digits, 2, 40)
+        science = F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+                           F.when(exp < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                           F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+        below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+        whole = F.concat(digits, F.repeat(F.lit("0"), exp + 1 - n))
+        mixed = F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n))
+        return F.concat(p["sign"], F.when((exp < -4) | (exp >= 6), science).when(exp < 0, below)
+                        .when(n <= exp + 1, whole).otherwise(mixed))
+    return let(parts, write)
+
+
+def _parts(sign: Column, digits: Column, exp: Column) -> Column:
+    return F.struct(sign.alias("sign"), F.rtrim(digits, F.lit("0")).alias("digits"), exp.alias("exp"))
 
 
 def shown(v: Column) -> Column:
     """A measured value with six significant digits."""
-    return F.when(v == 0, "0").otherwise(_general(*_science_parts(F.format_string("%.5e", v))))
+    def read(s):
+        digits = F.concat(F.regexp_extract(s, r"([0-9])[.,]", 1), F.regexp_extract(s, r"[.,]([0-9]+)", 1))
+        return _general(_parts(F.regexp_extract(s, "^(-?)", 1), digits,
+                               F.regexp_extract(s, r"e([+\-][0-9]+)$", 1).try_cast("int")))
+    return F.when(v == 0, "0").when(v.isNotNull(), let(F.format_string("%.5e", v), read))
 
 
 def exact(v: Column) -> Column:
     """Shortest spelling that reads back as the same value."""
-    s = v.cast("string")
-    whole, frac = F.regexp_extract(s, r"^-?([0-9]+)", 1), F.regexp_extract(s, r"\.([0-9]+)", 1)
-    power = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    joined = F.concat(whole, frac)
-    digits = F.ltrim(joined, F.lit("0"))
-    exp = power + F.length(whole) - 1 - (F.length(joined) - F.length(digits))
-    return F.when(v == 0, "0").otherwise(_general(F.regexp_extract(s, "^(-?)", 1), digits, exp))
+    def read(s):
+        whole, joined = F.regexp_extract(s, r"^-?([0-9]+)", 1), F.regexp_replace(s, r"^-|\.|E.*$", "")
+        power = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        digits = F.ltrim(joined, F.lit("0"))
+        return _general(_parts(F.regexp_extract(s, "^(-?)", 1), digits,
+                               power + F.length(whole) - 1 - (F.length(joined) - F.length(digits))))
+    return F.when(v == 0, "0").when(v.isNotNull(), let(v.cast("string"), read))

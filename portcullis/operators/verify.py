@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portcullis.functions import typed as N
+from portcullis.functions.columns import let
 from portcullis.functions.content import canonical_bytes
 from portcullis.operators import metadata as M
 from portcullis.operators.profiles import Settings
@@ -124,41 +125,55 @@ def struct_diff(src: Column, out: Column) -> Column:
             if n.startswith(prefixes):
                 skip[n] = a != b
 
-    def has(s, n):
-        return (s[n] != "") if n in M.NAMES else s[n].isNotNull()
-
-    def said(s, n):
-        v = N.shown(s[n]) if n in _NUMBERS else s[n].cast("string")
-        return v
-
     def flawed(s, n):
         return F.array_contains(s["malformed"], n)
 
-    def guard(n, c):
-        return c & ~skip[n] if n in skip else c
-
-    first, last = [], []
-    for n in M.NAMES + _NUMBERS + _WHOLE:
-        a, b = has(src, n), has(out, n)
-        if n in _NUMBERS:
-            same_print = said(src, n) == said(out, n)
-            left = F.when(same_print, text(said(src, n), " (", N.exact(src[n]), ")")).otherwise(said(src, n))
-            right = F.when(same_print, text(said(out, n), " (", N.exact(out[n]), ")")).otherwise(said(out, n))
-            changed = ~N.close_enough(src[n], out[n])
-        else:
-            left, right, changed = said(src, n), said(out, n), src[n] != out[n]
-        first.append(F.when(guard(n, a & flawed(out, n)), text(f"{n} changed from ", said(src, n), " to malformed"))
-                      .when(guard(n, a & ~b), text(f"{n} lost (was ", said(src, n), ")"))
-                      .when(guard(n, a & b & changed), text(f"{n} changed from ", left, " to ", right)))
-        last.append(F.when(guard(n, b & ~a & ~flawed(src, n)), text(f"{n} gained (now ", said(out, n), ")")))
-    for n in sorted(M.NAMES + _NUMBERS + _WHOLE + _EXTRA):
-        valued_out = has(out, n) if n not in _EXTRA else F.lit(False)
-        valued_src = has(src, n) if n not in _EXTRA else F.lit(False)
-        first.append(F.when(guard(n, flawed(src, n) & ~flawed(out, n) & ~valued_out), f"{n} lost (was malformed)")
-                      .when(guard(n, flawed(src, n) & ~flawed(out, n) & valued_out),
-                            text(f"{n} changed from malformed to ", said(out, n) if n not in _EXTRA else "")))
-        last.append(F.when(guard(n, flawed(out, n) & ~flawed(src, n) & ~valued_src), f"{n} gained (now malformed)"))
-    return F.array_compact(F.array(*lost_or_gained, *first, *last))
+    def entry(n):
+        """One field on both sides: its number or its text, whether it was rejected, whether it counts."""
+        def side(s, x):
+            number = s[n] if n in _NUMBERS else F.lit(None).cast("double")
+            words = (F.nullif(s[n], F.lit("")) if n in M.NAMES else
+                     s[n].cast("string") if n in _WHOLE else F.lit(None).cast("string"))
+            return [number.alias(f"{x}num"), words.alias(f"{x}text"), flawed(s, n).alias(f"{x}bad")]
+        return F.struct(F.lit(n).alias("name"), skip.get(n, F.lit(False)).alias("skip"), *side(src, "a"), *side(out, "b"))
+
+    def spoken(e, x):
+        return F.coalesce(e[f"{x}text"], N.shown(e[f"{x}num"]))
+
+    def here(e, x):
+        return e[f"{x}num"].isNotNull() | e[f"{x}text"].isNotNull()
+
+    def changed(e):
+        def write(p):
+            twin = (p["a"] == p["b"]) & e["anum"].isNotNull()
+            both = F.coalesce(~N.close_enough(e["anum"], e["bnum"]), p["a"] != p["b"])
+            return F.when(both, text(e["name"], " changed from ", p["a"], F.when(twin, text(" (", N.exact(e["anum"]), ")")),
+                                     " to ", p["b"], F.when(twin, text(" (", N.exact(e["bnum"]), ")"))))
+        return let(F.struct(spoken(e, "a").alias("a"), spoken(e, "b").alias("b")), write)
+
+    def lost(e):
+        a, b = here(e, "a"), here(e, "b")
+        return (F.when(e["skip"] | ~a, F.lit(None).cast("string"))
+                 .when(e["bbad"], text(e["name"], " changed from ", spoken(e, "a"), " to malformed"))
+                 .when(~b, text(e["name"], " lost (was ", spoken(e, "a"), ")")).otherwise(changed(e)))
+
+    def lost_flaw(e):
+        b = here(e, "b")
+        return F.when(~e["skip"] & e["abad"] & ~e["bbad"], F.when(
+            b, text(e["name"], " changed from malformed to ", spoken(e, "b"))).otherwise(text(e["name"], " lost (was malformed)")))
+
+    def gained(e):
+        return F.when(~e["skip"] & here(e, "b") & ~here(e, "a") & ~e["abad"], text(e["name"], " gained (now ", spoken(e, "b"), ")"))
+
+    def gained_flaw(e):
+        return F.when(~e["skip"] & e["bbad"] & ~e["abad"] & ~here(e, "a"), text(e["name"], " gained (now malformed)"))
+
+    fields = F.array(*[entry(n) for n in M.NAMES + _NUMBERS + _WHOLE + _EXTRA])
+    ordered = lambda es: F.array_sort(es, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+    flaws = lambda es: ordered(F.filter(es, lambda e: e["abad"] | e["bbad"]))
+    return let(fields, lambda es: F.array_compact(F.concat(
+        F.array(*lost_or_gained), F.transform(es, lost), F.transform(flaws(es), lost_flaw),
+        F.transform(es, gained), F.transform(flaws(es), gained_flaw))))
 
 
 def label_diff(src: Column, out: Column) -> Column:

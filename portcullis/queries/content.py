@@ -16,9 +16,9 @@ HOME = Profile.load("homelab")
 P = Settings.of(HOME)
 MEDIA_SQL = " ".join(f"WHEN ext IN {sql_list(v)} THEN '{k}'" for k, v in T.MEDIA_EXTENSIONS.items())
 EXT_SQL = "lower(regexp_extract(name, '\\.([^.]*)$', 1))"
-_UTF8 = ("[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|E0[AB][0-9A-F][89AB][0-9A-F]|"
-         "E[1-9A-CEF][0-9A-F]?(?:[89AB][0-9A-F]){2}|ED[89][0-9A-F][89AB][0-9A-F]|F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}|"
-         "F[1-3](?:[89AB][0-9A-F]){3}|F48[0-9A-F](?:[89AB][0-9A-F]){2}").replace("E[1-9A-CEF][0-9A-F]?", "E[1-9A-CEF]")
+UTF8_HEX = ("[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|E0[AB][0-9A-F][89AB][0-9A-F]|"
+         "E[1-9A-CEF](?:[89AB][0-9A-F]){2}|ED[89][0-9A-F][89AB][0-9A-F]|F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}|"
+         "F[1-3](?:[89AB][0-9A-F]){3}|F48[0-9A-F](?:[89AB][0-9A-F]){2}")
 _DANGER = sql_list(T.DANGEROUS_KINDS)
 
 
@@ -26,7 +26,7 @@ def _text_sql(h: str) -> str:
     """looks_text over hex: strip a BOM, wide text passes, then UTF-8 without controls."""
     b = f"CASE WHEN {h} LIKE 'EFBBBF%' THEN substr({h}, 7) ELSE {h} END"
     cuts = [f"substr(b, 1, greatest(length(b) - {2 * k}, 0))" for k in range(5)]
-    arms = " ".join(f"WHEN regexp_full_match({c}, '(?:{_UTF8})*') "
+    arms = " ".join(f"WHEN regexp_full_match({c}, '(?:{UTF8_HEX})*') "
                     f"THEN NOT regexp_matches({c}, '^(?:..)*(?:0[0-8BEF]|1[0-9A-F])')" for c in cuts)
     return f"(SELECT CASE WHEN b LIKE 'FFFE%' OR b LIKE 'FEFF%' THEN true {arms} ELSE false END FROM (SELECT {b} AS b))"
 
