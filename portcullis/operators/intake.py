@@ -134,8 +134,10 @@ def parse_jobs(intake: DataFrame) -> DataFrame:
 
 def explode_paths(jobs: DataFrame) -> DataFrame:
     """One row per path of the jobs that run."""
-    run = jobs.filter((F.col("error") == "") & (F.col("skip") == "") & ~F.col("test"))
-    return run.select("job_id", "adapter", F.posexplode("paths").alias("pos", "path"))
+    run = (F.col("error") == "") & (F.col("skip") == "") & ~F.col("test")
+    # The condition sits in the list: as a filter it would be pushed below with a copy of the parser.
+    listed = F.when(run, F.col("paths"))
+    return jobs.select("job_id", "adapter", F.posexplode_outer(listed).alias("pos", "path")).filter(F.col("path").isNotNull())
 
 
 # --- category filter -------------------------------------------------------------------------------

@@ -67,7 +67,7 @@ PART = {"item_id": ("string", None), "idx": ("long", 0), "type": ("string", ""),
         "tags": ("map<string,string>", None)}
 ATTACHMENT = {"item_id": ("string", None), "att_id": ("long", 0), "file_name": ("string", ""),
               "mime": ("string", ""), "size": ("long", 0), "payload": ("binary", None)}
-OBSERVATION = {"path": ("string", None), "version": ("string", ""), "ts": ("timestamp", None)}
+OBSERVATION = {"path": ("string", None), "version": ("string", ""), "ts": ("timestamp_ntz", None)}
 
 
 def as_items(df: DataFrame, **mapping) -> DataFrame:

@@ -5,20 +5,22 @@ at the first observation of a version, every version is reported once, a change
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from portcullis.operators.spread import with_carry
+from portcullis.session import checkpoint_dir
 
-SETTLED_TYPE = "path string, version string, since timestamp, settled_at timestamp"
+SETTLED_TYPE = "path string, version string, since timestamp_ntz, settled_at timestamp_ntz"
 
 
 def time_block(ts: str, seconds: int) -> Column:
-    return F.expr(f"unix_seconds({ts}) div {seconds}L")
+    return F.expr(f"unix_seconds(cast({ts} as timestamp)) div {seconds}L")
 
 
 # --- finite logs --------------------------------------------------------------------------------
@@ -38,7 +40,7 @@ def settle_batch(obs: DataFrame, window_seconds: int, pass_no: str | None = None
         same = same & (F.col(pass_no) - F.col("__prev.p") <= 1)
     rows = rows.withColumn("__start", F.when(~same, F.col("ts")))
     rows = with_carry(rows, ["path"], ["ts", "version"], block, "__start", "since", include_current=True)
-    due = F.expr("unix_micros(ts) - unix_micros(since)") >= window_seconds * 1_000_000
+    due = F.expr("unix_micros(cast(ts as timestamp)) - unix_micros(cast(since as timestamp))") >= window_seconds * 1_000_000
     return (rows.filter(F.col("version").isNotNull()).groupBy("path", "version", "since")
             .agg(F.min(F.when(due, F.col("ts"))).alias("settled_at")).filter(F.col("settled_at").isNotNull()))
 
@@ -62,38 +64,38 @@ class SettleProcessor(StatefulProcessor):
     """One small state per path: its version, since when, whether it was reported, late rows."""
 
     def __init__(self, window_seconds: int, silence: bool):
-        self.window_ms, self.silence = int(window_seconds * 1000), silence
+        self.window_us, self.silence = int(window_seconds * 1_000_000), silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("seen", "version string, since_ms long, done boolean, late long")
+        self.state = handle.getValueState("seen", "version string, since_us long, done boolean, late long")
 
     def _out(self, key, version, since, at):
-        stamp = lambda ms: pd.to_datetime(ms, unit="ms")
+        stamp = lambda us: pd.to_datetime(us, unit="us")
         return (key[0], version, stamp(since), stamp(at))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows))
-        got = got.assign(ms=got["ts"].astype("datetime64[ms]").astype("int64")).sort_values(["ms", "version"])
+        got = got.assign(us=got["ts"].astype("datetime64[us]").astype("int64")).sort_values(["us", "version"])
         state = self.state.get() if self.state.exists() else None
         version, since, done, late = state if state is not None else (None, None, False, 0)
         out = []
-        for v, ms in zip(got["version"], got["ms"]):
-            ms = int(ms)
+        for v, us in zip(got["version"], got["us"]):
+            us = int(us)
             v = None if pd.isna(v) else v
-            if since is not None and ms < since:
+            if since is not None and us < since:
                 late += 1              # older than what is known: ignored and counted
             elif v is None:
                 version, since, done = None, None, False
             elif v != version or since is None:
-                version, since, done = v, ms, False
+                version, since, done = v, us, False
                 if self.silence:
                     for t in list(self.handle.listTimers()):
                         self.handle.deleteTimer(t)
-                    self.handle.registerTimer(since + self.window_ms)
-            if v is not None and v == version and not done and ms - since >= self.window_ms:
+                    self.handle.registerTimer((since + self.window_us) // 1000)
+            if v is not None and v == version and not done and us - since >= self.window_us:
                 done = True
-                out.append(self._out(key, version, since, ms))
+                out.append(self._out(key, version, since, us))
         if since is None:
             self.state.clear()
         else:
@@ -106,18 +108,38 @@ class SettleProcessor(StatefulProcessor):
             version, since, done, late = self.state.get()
             if not done:
                 self.state.update((version, since, True, late))
-                out.append(self._out(key, version, since, since + self.window_ms))
+                out.append(self._out(key, version, since, since + self.window_us))
         yield pd.DataFrame(out, columns=["path", "version", "since", "settled_at"])
 
     def close(self) -> None:
         pass
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def settle(obs: DataFrame, window_seconds: int, silence: bool = False, lateness: str = "1 hour") -> DataFrame:
     """Streaming form of ``settle_batch``. With ``silence`` a version also settles when nothing more
     is heard of it for the window, measured in event time."""
     if silence:
-        obs = obs.withWatermark("ts", lateness)
+        obs = obs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return obs.groupBy("path").transformWithStateInPandas(
         statefulProcessor=SettleProcessor(window_seconds, silence), outputStructType=SETTLED_TYPE,
         outputMode="Append", timeMode="EventTime" if silence else "None")
+
+
+def settle_files(spark: SparkSession, source: str, read, window_seconds: int, work: str | None = None) -> DataFrame:
+    """Run the settle stream over what lies at ``source`` now and return what settled.
+
+    ``source`` is a folder, or one file of a folder named with its extension. ``read`` turns its rows into observations. State and output live in the shared folder,
+    so a lost executor loses nothing."""
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    work = work or f"{checkpoint_dir(spark)}/settle-{uuid.uuid4().hex}"
+    folder, _, name = source.rpartition("/")
+    stream = spark.readStream.schema(spark.read.parquet(source).schema)
+    rows = stream.option("pathGlobFilter", name).parquet(folder) if "." in name else stream.parquet(source)
+    done = (settle(read(rows), window_seconds).writeStream.format("parquet").option("path", f"{work}/out")
+            .option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start())
+    done.awaitTermination()
+    return spark.read.schema(SETTLED_TYPE).parquet(f"{work}/out")
