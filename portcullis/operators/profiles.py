@@ -67,17 +67,19 @@ class Profile:
 
 
 class Settings:
-    """Profile settings as Columns: literals for one profile, struct fields for a sweep."""
+    """Profile settings as Columns: literals for one profile, a choice by name for a sweep."""
 
     def __init__(self, get, only: Profile | None = None):
-        self._get, self.only = get, only
+        self._get, self.only, self._all = get, only, None
 
     def __getitem__(self, key: str) -> Column:
         return self._get(key)
 
     def may(self, key: str) -> bool:
-        """False only when the plan's single profile switches ``key`` off."""
-        return True if self.only is None else bool(self.only[key])
+        """False only when every profile of the plan switches ``key`` off."""
+        if self._all is not None:
+            return any(v[key] for v in self._all)
+        return bool(self.only[key])
 
     @classmethod
     def of(cls, profile: Profile) -> "Settings":
@@ -85,8 +87,22 @@ class Settings:
         return cls(lambda k: _literal(values[k]), profile)
 
     @classmethod
-    def of_column(cls, name: str = "profile_settings") -> "Settings":
-        return cls(lambda k: F.col(name)[k.replace(".", "_")])
+    def of_profiles(cls, profiles: list[Profile], column: str = "profile") -> "Settings":
+        """Settings chosen by the profile named in ``column``; rows carry that name and nothing else."""
+        values = {p.name: p.derived() for p in profiles}
+
+        def get(key: str) -> Column:
+            names = list(values)
+            if all(values[n][key] == values[names[0]][key] for n in names):
+                return _literal(values[names[0]][key])
+            out = F.when(F.col(column) == names[0], _literal(values[names[0]][key]))
+            for n in names[1:-1]:
+                out = out.when(F.col(column) == n, _literal(values[n][key]))
+            return out.otherwise(_literal(values[names[-1]][key]))
+
+        settings = cls(get)
+        settings._all = list(values.values())
+        return settings
 
 
 def _literal(value) -> Column:
@@ -94,15 +110,10 @@ def _literal(value) -> Column:
 
 
 def sweep(rows: DataFrame, profiles: list[Profile]) -> DataFrame:
-    """Every row once per profile, with ``profile`` and ``profile_settings`` columns."""
+    """Every row once per profile, with a ``profile`` column; use ``Settings.of_profiles`` on it."""
     if len(profiles) > MAX_PROFILES:
         raise ValueError(f"at most {MAX_PROFILES} profiles in one plan")
-    structs = [F.struct(F.lit(p.name).alias("name"), F.struct(
-        *[_literal(v).alias(k.replace(".", "_")) for k, v in p.derived().items()]).alias("s"))
-        for p in profiles]
-    return (rows.withColumn("__p", F.explode(F.array(*structs)))
-                .withColumn("profile", F.col("__p.name"))
-                .withColumn("profile_settings", F.col("__p.s")).drop("__p"))
+    return rows.withColumn("profile", F.explode(string_list([p.name for p in profiles])))
 
 
 # --- profiles as tables -----------------------------------------------------------------------

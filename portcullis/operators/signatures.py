@@ -10,6 +10,8 @@ from portcullis.operators.spread import salt_of, with_stats
 from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, text
 
 MAX_GRAM = 4                       # interior words that anchor a signature
+SHORT_LITERALS = 200               # one- and two-word signatures tested in place
+SHORT_LITERAL_CHARS = 4096
 MAX_ANCHOR_ROWS = 2_000_000        # anchors up to this many are sent to every executor
 
 
@@ -43,11 +45,12 @@ def _words(s: Column) -> Column:
     return F.split(s, r"\s+")
 
 
-def _grams(words: Column, k: Column) -> Column:
-    """Hashes of the distinct runs of ``k`` words."""
-    return F.when(F.size(words) >= k, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(words) - k + 1),
-        lambda i: F.xxhash64(k, F.array_join(F.slice(words, i, k), " ")))))
+def _grams(words: Column, k: int) -> Column:
+    """Hashes of the distinct runs of ``k`` words; every word is reached by position, so the work
+    grows with the text and not with its square."""
+    def gram(i):
+        return F.xxhash64(F.lit(k), F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
+    return F.when(F.size(words) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - k), gram)))
 
 
 def anchors(signatures: DataFrame) -> DataFrame:
@@ -58,52 +61,69 @@ def anchors(signatures: DataFrame) -> DataFrame:
     w = signatures.select("sig_id", F.col("text").alias("t")).withColumn("w", _words(F.col("t")))
     inner = w.filter(F.size("w") >= 3).withColumn("k", F.least(F.lit(MAX_GRAM), F.size("w") - 2)).withColumn(
         "inner", F.slice("w", F.lit(2), F.size("w") - 2))
-    grams = inner.select("sig_id", "k", F.explode(_grams(F.col("inner"), F.col("k"))).alias("gram"))
+    own = F.when(F.col("k") == 1, _grams(F.col("inner"), 1))
+    for k in range(2, MAX_GRAM + 1):
+        own = own.when(F.col("k") == k, _grams(F.col("inner"), k))
+    grams = inner.select("sig_id", "k", F.explode_outer(own).alias("gram")).filter(F.col("gram").isNotNull())
     counted = with_stats(grams, ["gram"], salt_of("sig_id"), {"n": ("count", F.lit(1))})
     return counted.groupBy("sig_id").agg(F.min(F.struct("n", "gram", "k")).alias("a")).select(
         "sig_id", F.col("a.k").alias("k"), F.col("a.gram").alias("gram"))
 
 
+def _windows(s: Column, n: int) -> Column:
+    """Every run of ``n`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+
+
+def _match_short(bodies: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(item_id, sig_id) for signatures of one or two words, which have no interior word.
+
+    A few are literals of the plan and tested in place. More are anchored on one run of at most
+    eight of their characters, joined on it and confirmed."""
+    short = signatures.filter((F.size(_words(F.col("text"))) < 3) & (F.length("text") > 0)).select("sig_id", "text")
+    few = short.filter(F.length("text") <= SHORT_LITERAL_CHARS).limit(SHORT_LITERALS + 1).collect()
+    if len(few) <= SHORT_LITERALS and short.filter(F.length("text") > SHORT_LITERAL_CHARS).isEmpty():
+        if not few:
+            return bodies.select("item_id", F.lit(None).cast(short.schema["sig_id"].dataType).alias("sig_id")).limit(0)
+        listed = F.array(*[F.struct(F.lit(r.sig_id).alias("id"), F.lit(r.text).alias("t")) for r in few])
+        hits = F.transform(F.filter(listed, lambda e: F.contains(F.col("body"), e["t"])), lambda e: e["id"])
+        return bodies.select("item_id", F.explode_outer(hits).alias("sig_id")).filter(F.col("sig_id").isNotNull())
+    sized = short.withColumn("n", F.least(F.lit(8), F.length("text"))).withColumn("gram", F.substring("text", F.lit(1), F.col("n")))
+    lengths = [r.n for r in sized.select("n").distinct().collect()]  # numbers from 1 to 8
+    runs = F.flatten(F.array(*[_windows(F.col("body"), n) for n in sorted(lengths)]))
+    pairs = (bodies.select("item_id", F.explode_outer(runs).alias("gram")).filter(F.col("gram").isNotNull())
+             .join(sized.select("sig_id", "gram"), "gram").select("item_id", "sig_id").distinct())
+    return (bodies.join(pairs, "item_id").join(short, "sig_id").filter(F.contains("body", "text"))
+            .select("item_id", "sig_id"))
+
+
 def signature_match(items: DataFrame, signatures: DataFrame) -> DataFrame:
     """(item_id, sig_id, how): digest equality, or the signature's text inside the body.
 
     Candidates share an anchor; each is confirmed by ``contains``. Bodies are never paired with
     signatures they share nothing with. The anchor table is broadcast only when it was counted and
-    is small; otherwise both sides are shuffled on the anchor. The body itself does not travel in
-    that shuffle: pairs are joined back to bodies by item."""
+    is small; otherwise both sides are shuffled on the anchor. Bodies do not travel with their
+    grams: the few candidate pairs are joined back to the bodies by item."""
     digests = signatures.select("sig_id", "digest")
     exact = (items.select("item_id", F.sha2("body", 256).alias("digest"))
              .join(digests, "digest").select("item_id", "sig_id", F.lit("digest").alias("how")))
 
-    anchored = anchors(signatures).join(signatures.select("sig_id", "text"), "sig_id")
+    anchored = anchors(signatures)
     sizes = [r.k for r in anchored.select("k").distinct().collect()]  # at most MAX_GRAM numbers
-    n_anchors = anchored.count() if sizes else 0
     spoken = items.filter(F.col("body").isNotNull())
     found = exact
     if sizes:
+        small = anchored.count() <= MAX_ANCHOR_ROWS
         grams = let(_words(F.col("body")), lambda w: F.flatten(F.array(
-            *[F.coalesce(_grams(w, F.lit(k)), F.array().cast("array<bigint>")) for k in sorted(sizes)])))
-        if n_anchors <= MAX_ANCHOR_ROWS:
-            keyed = spoken.select("item_id", "body", F.explode(grams).alias("gram"))
-            pairs = keyed.join(F.broadcast(anchored.select("sig_id", "gram", "text")), "gram")
-            hits = pairs.filter(F.contains("body", "text")).select("item_id", "sig_id")
-        else:
-            keyed = spoken.select("item_id", F.explode(grams).alias("gram"))
-            pairs = keyed.join(anchored.select("sig_id", "gram"), "gram").select("item_id", "sig_id").distinct()
-            hits = (pairs.join(spoken.select("item_id", "body"), "item_id")
-                    .join(signatures.select("sig_id", "text"), "sig_id")
-                    .filter(F.contains("body", "text")).select("item_id", "sig_id"))
+            *[F.coalesce(_grams(w, k), F.array().cast("array<bigint>")) for k in sorted(sizes)])))
+        keyed = spoken.select("item_id", F.explode_outer(grams).alias("gram")).filter(F.col("gram").isNotNull())
+        keys = anchored.select("sig_id", "gram")
+        pairs = keyed.join(F.broadcast(keys) if small else keys, "gram").select("item_id", "sig_id").distinct()
+        hits = (spoken.select("item_id", "body").join(pairs, "item_id")
+                .join(signatures.select("sig_id", "text"), "sig_id")
+                .filter(F.contains("body", "text")).select("item_id", "sig_id"))
         found = found.unionByName(hits.withColumn("how", F.lit("text")))
-    short = signatures.filter((F.size(_words(F.col("text"))) < 3) & (F.length("text") > 0))
-    lengths = [r.n for r in short.select(F.length("text").alias("n")).distinct().collect()]
-    if lengths:
-        # One or two words have no interior word: windows of their exact lengths are compared instead.
-        windows = F.flatten(F.array(*[F.coalesce(F.when(F.length("body") >= n, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("body") - (n - 1)), lambda i: F.substring(F.col("body"), i, F.lit(n))))),
-            F.array().cast("array<string>")) for n in sorted(lengths)]))
-        few = spoken.select("item_id", F.explode(windows).alias("text")).join(
-            short.select("sig_id", "text"), "text").select("item_id", "sig_id", F.lit("text").alias("how"))
-        found = found.unionByName(few)
+    found = found.unionByName(_match_short(spoken, signatures).withColumn("how", F.lit("text")))
     # A digest hit is also a text hit; the digest is named.
     return found.groupBy("item_id", "sig_id").agg(F.min("how").alias("how"))
 

@@ -168,12 +168,19 @@ def struct_diff(src: Column, out: Column) -> Column:
     def gained_flaw(e):
         return F.when(~e["skip"] & e["bbad"] & ~e["abad"] & ~here(e, "a"), text(e["name"], " gained (now malformed)"))
 
+    def differs(e):
+        return ~e["skip"] & ((e["abad"] != e["bbad"]) | ~e["atext"].eqNullSafe(e["btext"])
+                             | (e["anum"].isNull() != e["bnum"].isNull())
+                             | F.coalesce(~N.close_enough(e["anum"], e["bnum"]), F.lit(False)))
+
     fields = F.array(*[entry(n) for n in M.NAMES + _NUMBERS + _WHOLE + _EXTRA])
     ordered = lambda es: F.array_sort(es, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     flaws = lambda es: ordered(F.filter(es, lambda e: e["abad"] | e["bbad"]))
-    return let(fields, lambda es: F.array_compact(F.concat(
+    # Most fields agree: they are dropped before any sentence is put together.
+    diff = let(F.filter(fields, differs), lambda es: F.array_compact(F.concat(
         F.array(*lost_or_gained), F.transform(es, lost), F.transform(flaws(es), lost_flaw),
         F.transform(es, gained), F.transform(flaws(es), gained_flaw))))
+    return F.when(src == out, F.array().cast("array<string>")).otherwise(diff)
 
 
 def label_diff(src: Column, out: Column) -> Column:

@@ -180,7 +180,7 @@ def _(spark, sf):
                           for n, p in PROFILES.items()) + ") p(profile, kc, st, tg, pv, ct)")
 def _(spark, sf):
     swept = PR.sweep(table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id")), list(PROFILES.values()))
-    return D.item_strips(swept, Settings.of_column()).drop("profile_settings")
+    return D.item_strips(swept, Settings.of_profiles(list(PROFILES.values())))
 
 
 @query("p16_action_list", f"""WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {decide_sql(RULES)},
@@ -203,7 +203,7 @@ _SWEEP = [PROFILES["homelab"], PROFILES["archive"], RULES, FIRST]
 def _(spark, sf):
     """The same parts under several profiles in one plan."""
     swept = PR.sweep(order_parts(spark, sf), _SWEEP)
-    return D.decide(swept, Settings.of_column(), ["profile", "item_id"]).groupBy("profile", "reason", "keep", "out_default").agg(
+    return D.decide(swept, Settings.of_profiles(_SWEEP), ["profile", "item_id"]).groupBy("profile", "reason", "keep", "out_default").agg(
         F.count("*").alias("n"))
 
 
