@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
-from portcullis.functions.columns import canonical_lang, ext, is_und
+from portcullis.functions.columns import canonical_lang, ext, is_und, let
 from portcullis.operators.metadata import attachment_payload
 from portcullis.operators.profiles import Settings
 from portcullis.operators.spread import block_of, paged_lists, with_flag_from, with_stats
@@ -18,30 +18,47 @@ from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, gather, text, to
 COMMENTARY = "(?i)(?<![A-Za-z0-9_])commentar(?:y|ie[s\u017f])(?![A-Za-z0-9_])"
 
 
+RANK_SPAN = 1 << 60  # part numbers stay below this
+
+
+def language_codes(lang: Column, ietf: Column) -> tuple[Column, Column]:
+    """Canonical codes of a part; '' where it carries no tag of the second kind."""
+    tag = F.coalesce(ietf, F.lit(""))
+    return canonical_lang(lang), F.when(tag == "", "").otherwise(canonical_lang(tag))
+
+
 def language_matches(lang: Column, ietf: Column, p: Settings) -> Column:
+    return _matches(*language_codes(lang, ietf), p)
+
+
+def _matches(code: Column, tag: Column, p: Settings) -> Column:
     codes = p["languages.keep_codes"]
-    tag = F.coalesce(ietf, F.lit(""))
-    return (p["languages.keep_all"] | F.array_contains(codes, canonical_lang(lang))
-            | ((tag != "") & F.array_contains(codes, canonical_lang(tag))))
+    return p["languages.keep_all"] | F.array_contains(codes, code) | ((tag != "") & F.array_contains(codes, tag))
 
 
 def want_part(lang: Column, ietf: Column, p: Settings) -> Column:
     """struct(keep, reason, set_language) from the language rules alone."""
+    code, tag = language_codes(lang, ietf)
+    return let(F.struct(code.alias("code"), tag.alias("tag")), lambda c: want_codes(c["code"], c["tag"], p))
+
+
+def want_codes(code: Column, tag: Column, p: Settings) -> Column:
+    """The same from canonical codes, which a plan computes once per part."""
     def out(keep, reason, language=""):
         k = keep if isinstance(keep, Column) else F.lit(keep)
         s = language if isinstance(language, Column) else F.lit(language)
         r = reason if isinstance(reason, Column) else F.lit(reason)
         return F.struct(k.alias("keep"), r.alias("reason"), s.alias("set_language"))
 
-    und, rule, assumed = is_und(lang) & is_und(ietf), p["languages.und"], p["languages.assume"]
+    und = code.isin("und", "unknown") & tag.isin("", "und", "unknown")
+    rule, assumed = p["languages.und"], p["languages.assume"]
     kept_guess = p["languages.keep_all"] | F.array_contains(p["languages.keep_codes"], assumed)
-    code = canonical_lang(lang)
     return (F.when(und & (rule == "drop"), out(False, "untagged language (und = drop)"))
              .when(und & rule.startswith("assume:") & kept_guess,
                    out(True, text("untagged language assumed ", assumed), assumed))
              .when(und & rule.startswith("assume:"), out(False, text("untagged language assumed ", assumed, ", not kept")))
              .when(und, out(True, "untagged language kept"))
-             .when(language_matches(lang, ietf, p), out(True, text("language ", code)))
+             .when(_matches(code, tag, p), out(True, text("language ", code)))
              .otherwise(out(False, text("language ", code, " not in keep list"))))
 
 
@@ -60,16 +77,18 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
     t = F.col("type")
     av = t.isin("audio", "subtitle")
     hint = F.coalesce(original if original is not None else F.lit(""), F.lit(""))
-    rows = (parts
-            .withColumn("__want", F.when(av, want_part(F.col("lang"), F.col("ietf"), p)))
+    code, tag = language_codes(F.col("lang"), F.col("ietf"))
+    rows = (parts.withColumn("__lang", code).withColumn("__tag", tag)
+            .withColumn("__want", F.when(av, want_codes(F.col("__lang"), F.col("__tag"), p)))
             .withColumn("__talk", is_commentary(F.col("commentary"), F.col("title")) & p["audio.drop_commentary"])
             .withColumn("__rescue", (t == "subtitle") & ~F.col("__want.keep") & p["subtitles.keep_forced"] & F.col("forced"))
             .withColumn("__pass", F.col("__want.keep") | F.col("__rescue"))
             .withColumn("__keep", F.coalesce(F.col("__pass") & ~F.col("__talk"), F.lit(False)))
             .withColumn("__orig", F.when(p["languages.prefer_original"] & (hint != ""), canonical_lang(hint)))
-            .withColumn("__spoken", canonical_lang(F.coalesce(F.nullif(F.col("__want.set_language"), F.lit("")), F.col("lang"))))
-            .withColumn("__rank", F.struct(F.when(F.coalesce(F.col("__spoken") == F.col("__orig"), F.lit(False)), 0)
-                                           .when(F.col("is_default"), 1).otherwise(2).alias("r"), F.col("idx").alias("i"))))
+            .withColumn("__spoken", F.coalesce(F.nullif(F.col("__want.set_language"), F.lit("")), F.col("__lang")))
+            # Preference and place in one number: a minimum of numbers is a hash aggregate, one of structs a sort.
+            .withColumn("__rank", F.when(F.coalesce(F.col("__spoken") == F.col("__orig"), F.lit(False)), F.lit(0))
+                        .when(F.col("is_default"), F.lit(RANK_SPAN)).otherwise(F.lit(2 * RANK_SPAN)) + F.col("idx")))
     audio, kept_audio = t == "audio", (t == "audio") & F.col("__keep")
     rows = with_stats(rows, keys, block_of("idx"), {
         "__first_video": ("min", F.when((t == "video") & ~F.col("attached_pic"), F.col("idx"))),
@@ -86,10 +105,9 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
             .withColumn("__later", audio & p["audio.keep_first"] & (F.col("__keep") | F.col("audio_fallback"))
                         & (F.col("idx") != only_first))
             .withColumn("__default_at", F.when(p["audio.keep_first"], only_first)
-                        .otherwise(F.coalesce("__pick_kept.i", "__pick_all.i"))))
+                        .otherwise(F.coalesce("__pick_kept", "__pick_all") % F.lit(RANK_SPAN))))
     sdh = F.lit(False)
     if p.may("subtitles.drop_sdh_duplicates"):
-        rows = rows.withColumn("__lang", canonical_lang(F.col("lang")))
         rows = with_stats(rows, [*keys, "__lang"], block_of("idx"), {
             "__plain": ("max", (t == "subtitle") & F.col("__keep") & ~F.col("hearing_imp"))})
         sdh = (p["subtitles.drop_sdh_duplicates"] & (t == "subtitle") & F.col("__keep")

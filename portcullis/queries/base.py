@@ -115,14 +115,14 @@ def order_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as the parts of their order: very many items with a few parts each. Lines that
     share a number are one part."""
     line = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"), F.min("l_quantity").alias("qty"),
+        F.min(F.ascii("l_returnflag")).alias("flag"), F.min(F.ascii("l_linestatus")).alias("status"), F.min("l_quantity").alias("qty"),
         F.min("l_discount").alias("disc"), F.min("l_tax").alias("tax"), F.min("l_partkey").alias("pk"))
     q = F.col("qty")
     return S.as_parts(
         line, item_id="l_orderkey", idx="l_linenumber",
-        type=F.when(F.col("flag") == "A", "audio").when(F.col("flag") == "R", "subtitle").otherwise("video"),
+        type=F.when(F.col("flag") == ord("A"), "audio").when(F.col("flag") == ord("R"), "subtitle").otherwise("video"),
         codec=F.concat(F.lit("c"), (F.col("pk") % 5).cast("string")),
-        lang=F.when(F.col("status") == "F", "").when(q < 15, "de").when(q < 30, "eng").otherwise("en-US"),
+        lang=F.when(F.col("status") == ord("F"), "").when(q < 15, "de").when(q < 30, "eng").otherwise("en-US"),
         ietf=F.when(F.col("pk") % 11 == 0, "pt-BR").otherwise(""),
         title=F.when(F.col("pk") % 13 == 0, "Director's commentary").otherwise(""),
         is_default=F.col("disc") < 0.05, forced=F.col("tax") < 0.02, hearing_imp=q > 25, commentary=q > 46,
