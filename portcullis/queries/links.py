@@ -170,7 +170,7 @@ def _(spark, sf):
     return K.to_rows(noted, K.gather(*K.note_findings(F.col("n"), P)), "page_id").select("page_id", "code", "severity", "message")
 
 
-@query("l07_markup_notes")
+@query("l07_markup_notes", f"""SELECT page_id, 'text' AS kind, '' AS root, len(list_filter({links_sql('html')}, lambda x: {site_sql('x')} = '')) AS links FROM pages""")
 def _(spark, sf):
     """Pages read as notes: their root is unknown, so they are text with links."""
     n = table(spark, sf, "pages").select("page_id", X.classify_note(F.col("html")).alias("n"))
