@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from portcullis.functions import tables as T
 from portcullis.functions.columns import let
 from portcullis.operators.spread import salt_of, with_stats
-from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, text
+from portcullis.schema import BLOCK, FAIL, WARN, finding, gather, text, to_rows
 
 MAX_GRAM = 4                       # interior words that anchor a signature
 SHORT_LITERALS = 200               # one- and two-word signatures tested in place
@@ -130,7 +130,6 @@ def signature_match(items: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def signature_findings(items: DataFrame, matches: DataFrame) -> DataFrame:
     """SIGNATURE_INFECTED per item with the number of signatures and the first of them."""
-    from portcullis.schema import gather, to_rows
     hit = matches.groupBy("item_id").agg(F.count("*").alias("n"), F.min("sig_id").alias("first"))
     return to_rows(hit, gather(finding(F.lit(True), "signature", "SIGNATURE_INFECTED", BLOCK,
                                        text(F.col("n"), " signature(s) matched, first #", F.col("first")),
@@ -143,6 +142,3 @@ def multi_named(items: DataFrame, digest: str = "digest") -> DataFrame:
     count is built per slice of the copies and joined back per slice."""
     return with_stats(items, [digest], salt_of("item_id"), {"copies": ("count", F.lit(1))})
 
-
-__all__ = ["signature_policy", "signature_match", "signature_findings", "anchors", "multi_named",
-           "effective_mode", "PASS"]

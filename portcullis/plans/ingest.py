@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.operators import cleaning, metadata, policy, routing
+from portcullis.operators import cleaning, policy, routing
 from portcullis.operators.profiles import Profile, Settings
 from portcullis.operators.verdict import verdicts
 from portcullis.plans.scan import finding_rows, scan_items
@@ -55,5 +55,3 @@ def ingest(items: DataFrame, parts: DataFrame, profile: Profile, attachments: Da
     everything = union_all(found)
     return Run(verdicts(routed.drop("verdict"), everything), everything, decided, kept_atts, reasons)
 
-
-__all__ = ["Run", "ingest", "metadata"]
