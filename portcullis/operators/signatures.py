@@ -109,11 +109,12 @@ def signature_match(items: DataFrame, signatures: DataFrame) -> DataFrame:
              .join(digests, "digest").select("item_id", "sig_id", F.lit("digest").alias("how")))
 
     anchored = anchors(signatures)
-    sizes = [r.k for r in anchored.select("k").distinct().collect()]  # at most MAX_GRAM numbers
+    facts = anchored.agg(F.collect_set("k").alias("sizes"), F.count("*").alias("n")).first()
+    sizes = facts.sizes  # at most MAX_GRAM numbers
     spoken = items.filter(F.col("body").isNotNull())
     found = exact
     if sizes:
-        small = anchored.count() <= MAX_ANCHOR_ROWS
+        small = facts.n <= MAX_ANCHOR_ROWS
         grams = let(_words(F.col("body")), lambda w: F.flatten(F.array(
             *[F.coalesce(_grams(w, k), F.array().cast("array<bigint>")) for k in sorted(sizes)])))
         keyed = spoken.select("item_id", F.explode_outer(grams).alias("gram")).filter(F.col("gram").isNotNull())
