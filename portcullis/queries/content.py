@@ -206,13 +206,15 @@ _RUN_SQL = f"""{SNIFFED_SQL}, poly AS (SELECT *, {_POLY} AS pm, string_split(low
   UNION ALL SELECT item_id, 10, true, 'POLYGLOT', 4 FROM poly WHERE cat IS NOT NULL AND pm IS NOT NULL),
  stops AS (SELECT item_id, min(stage) AS last FROM found WHERE terminal GROUP BY item_id),
  kept AS (SELECT f.* FROM found f LEFT JOIN stops USING (item_id) WHERE stage <= coalesce(last, 999))"""
-_NOT_NOTES = ~F.col("code").isin("NOTE_KNOWN", "NOTE_TEXT", "LINK_IN_SIDECAR", "DECODE_FAIL")
+def _not_notes():
+    return ~F.col("code").isin("NOTE_KNOWN", "NOTE_TEXT", "LINK_IN_SIDECAR", "DECODE_FAIL")
+
 
 
 @query("f15_stop_at_terminal", f"WITH {_RUN_SQL} SELECT item_id, code, severity FROM kept")
 def _(spark, sf):
     found = finding_rows(scan_items(documents_items(spark, sf).drop("declared"), HOME))
-    return found.filter(_NOT_NOTES).select("item_id", "code", "severity")
+    return found.filter(_not_notes()).select("item_id", "code", "severity")
 
 
 @query("f15_stop_at_terminal_long", f"WITH {_RUN_SQL} SELECT code, count(*) AS n FROM kept GROUP BY code")
