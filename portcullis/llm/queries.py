@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import knn_quality
+from portcullis.llm import knn_quality, pii
 from portcullis.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,9 @@ def op10_knn_quality(spark: SparkSession, sf: str) -> DataFrame:
     return knn_quality.score(docs, model).select(
         "doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), F.col("_quality_score").alias("score"),
         (F.col("_quality_score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op4_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    docs = pii.rewrite(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.col("_pii_count").alias("n_pii"), F.col("_pii_kinds").alias("kinds"))
