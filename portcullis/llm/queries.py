@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import knn_quality, pii
+from portcullis.llm import bpe, knn_quality, pii
 from portcullis.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,9 @@ def op10_knn_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op4_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     docs = pii.rewrite(table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "text", F.col("_pii_count").alias("n_pii"), F.col("_pii_kinds").alias("kinds"))
+
+
+@query
+def op8_bpe_backtracking(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
