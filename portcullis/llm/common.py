@@ -106,6 +106,14 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(values):
+        return []
+    cut = (np.nonzero(values[1:] != values[:-1])[0] + 1).tolist()
+    return list(zip([0, *cut], [*cut, len(values)], strict=True))
+
+
 def arrow_rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, knn_quality, pii
+from portcullis.llm import bpe, knn_quality, ngram_join, pii
 from portcullis.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op4_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 def op8_bpe_backtracking(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
