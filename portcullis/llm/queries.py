@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, knn_quality, ngram_join, pii
+from portcullis.llm import bpe, knn_quality, mixing, ngram_join, pii
 from portcullis.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op8_bpe_backtracking(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op1_entropy_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
