@@ -170,3 +170,30 @@ def _spread(rows: DataFrame, plan: DataFrame) -> DataFrame:
     each = F.floor(F.col("copies") / F.col("n"))
     n = each + F.when(place <= F.col("copies") - each * F.col("n"), 1).otherwise(0)
     return ranked.select("id", "size", "words", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
+
+
+def repeated(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Rows that share an id, source and size share
+    their copies as evenly as the mix dealt them."""
+    from pyspark.sql import Window
+    plan = mix(docs, id_column, source_column, text_column)
+    groups = stored(plan.groupBy(F.col(id_column).alias("_id"), F.col("size").alias("_size")).agg(
+        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
+    if groups.where("_rows > 1").isEmpty():
+        joined = docs.join(groups.where("_copies > 0").select("_id", "_copies"), F.col(id_column).eqNullSafe(F.col("_id")))
+        return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    with_size = docs.withColumn("_size", _words(text_bytes(text_column)))
+    g = groups.withColumnRenamed("_size", "_s2")
+    joined = with_size.join(g, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s2")))
+    rank = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.col(source_column), F.xxhash64(text_column)))
+    each = F.floor(F.col("_copies") / F.col("_rows"))
+    n = each + F.when(rank <= F.col("_copies") - each * F.col("_rows"), 1).otherwise(0)
+    return (joined.withColumn("_n", n.cast("int")).where("_n > 0")
+            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))
+
+
+def _words(column):
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(t.split())).astype("int64")
+    return count(column)

@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -433,8 +434,8 @@ def _large_buckets(large: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_compare_blocks, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and class_id (smallest id with an equal set) of every row."""
+def _classified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, n, k (class), label (component of classes), component_id and class_id of every row."""
     given = docs.select(F.col(id_column).alias("id"), text_bytes(text_column).alias("_text"))
     kind = given.schema["id"].dataType.simpleString()
     described = stored(given.mapInArrow(_describe(HEAVY_SHARE), f"id {kind}, k long, n long, token long, docs long"))
@@ -442,8 +443,47 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("class_id"))
     label = components(links(candidate_sets(given, described)))
     joined = stored(label.select(F.col("node").alias("k"), "label").join(classes, "k"))
-    named = joined.join(joined.groupBy("label").agg(F.min("class_id").alias("component_id")), "label").select("k", "component_id")
-    every = classes.join(named, "k", "left").select("k", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
-    with_words = rows.where("k IS NOT NULL").join(every, "k").select("id", "n", "component_id", "class_id")
-    without = rows.where("k IS NULL").select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("class_id"))
-    return with_words.union(without).toDF(id_column, "n_shingles", "component_id", "class_id")
+    named = joined.join(joined.groupBy("label").agg(F.min("class_id").alias("component_id")), "label").select("k", "label", "component_id")
+    every = classes.join(named, "k", "left").select("k", F.coalesce("label", "k").alias("label"), "class_id",
+                                                    F.when(F.col("label").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"))
+    with_words = rows.where("k IS NOT NULL").join(every, "k").select("id", "n", "k", "label", "component_id", "class_id")
+    nothing = F.lit(None).cast("long")
+    without = rows.where("k IS NULL").select("id", "n", nothing.alias("k"), nothing.alias("label"), F.col("id").alias("component_id"),
+                                             F.col("id").alias("class_id"))
+    return with_words.union(without)
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and class_id (smallest id with an equal set) of every row."""
+    return _classified(docs, id_column, text_column).select("id", "n", "component_id", "class_id").toDF(
+        id_column, "n_shingles", "component_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id (null
+    last) stays, of its repeated rows one; rows without words all stay. Texts are joined to the removed
+    ids only; rows with a null or repeated id are matched by their set as well."""
+    info = stored(_classified(docs, id_column, text_column).select("id", "k", "label"))
+    with_words = info.where("k IS NOT NULL")
+    chosen = with_words.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("r")).select("r.id", "r.k")
+    unclear = stored(info.groupBy("id").count().where("count > 1 OR id IS NULL").select("id"))
+    removed = with_words.join(chosen.toDF("_id", "_k"), (F.col("k") == F.col("_k")) & F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+    removed = removed.select(F.col("id").alias("_id")).where("_id IS NOT NULL")
+    if unclear.isEmpty():
+        return docs.join(stored(removed.distinct()), docs[id_column] == F.col("_id"), "left_anti")
+    drop = stored(removed.union(unclear.where("id IS NOT NULL").toDF("_id")).distinct())
+    plain = docs.where(F.col(id_column).isNotNull()).join(drop, F.col(id_column) == F.col("_id"), "left_anti")
+    marked = docs.join(unclear.toDF("_id"), F.col(id_column).eqNullSafe(F.col("_id")), "left_semi")
+    at = marked.select(F.struct(*marked.columns).alias("row"), F.col(id_column).alias("_id"), text_bytes(text_column).alias("_text"))
+    keyed = at.withColumn("_k", _key_of(F.col("_text")))
+    kept = keyed.join(chosen.toDF("_i", "_c"), (F.col("_k") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi").dropDuplicates(["_id", "_k"])
+    return plain.unionByName(kept.select("row.*")).unionByName(keyed.where("_k IS NULL").select("row.*"))
+
+
+def _key_of(column):
+    @F.pandas_udf("long")
+    def keys(texts: pd.Series) -> pd.Series:
+        hashes = WordHashes()
+        sets = (shingle_set(t, hashes) for t in texts)
+        return pd.Series([signed(set_key(s)) if len(s) else None for s in sets], dtype="Int64")
+    return keys(column)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, knn_quality, mixing, ngram_join, pii
+from portcullis.llm import bit_sliced, bpe, knn_quality, mixing, ngram_join, pii
 from portcullis.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,10 @@ def query(fn):
     return fn
 
 
+def sql(name: str, text: str) -> None:
+    ORACLES[name] = text
+
+
 #: Documents whose score reaches it count as good.
 QUALITY_THRESHOLD = 0.3
 
@@ -51,3 +55,23 @@ def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_entropy_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
+
+
+#: Queries of the exact search: ids divisible by it.
+EVERY_50 = 50
+
+
+@query
+def op5_bit_sliced_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, sf, "embeddings"), lambda i: i % EVERY_50 == 0, k=5)
+
+
+sql("op5_bit_sliced_top_k", """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+ s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+    CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
