@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bit_sliced, bpe, knn_quality, mixing, ngram_join, pii
+from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, mixing, ngram_join, pii
 from portcullis.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ sql("op5_bit_sliced_top_k", """WITH v AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
+
+
+@query
+def op3_backoff_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    out = backoff_lm.score(table(spark, sf, "documents"), crc_rest("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
