@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, mixing, ngram_join, pii
+from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, licenses, mixing, ngram_join, pii
 from portcullis.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,14 @@ sql("op5_bit_sliced_top_k", """WITH v AS (
 def op3_backoff_automaton(spark: SparkSession, sf: str) -> DataFrame:
     out = backoff_lm.score(table(spark, sf, "documents"), crc_rest("doc_id", 7) != 2)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op9_license_templates(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    phrases = F.filter("_found", lambda f: f["kind"] == "phrase")
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda f: f["label"]))), ",")
+    starts = F.transform(phrases, lambda f: f["start"])
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.size(phrases).cast("long").alias("n_base"),
+                        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        labels(phrases).alias("base_labels"), labels(F.col("_found")).alias("labels"), F.col("_score").alias("score"))
