@@ -1,13 +1,15 @@
 """Registered queries of this package; each applies its operator to the whole of its table."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, licenses, mixing, ngram_join, pii
+from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, licenses, mixing, ngram_join, pii, warc
 from portcullis.llm.common import crc_rest, table
+from portcullis.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +94,19 @@ def op9_license_templates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.size(phrases).cast("long").alias("n_base"),
                         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
                         labels(phrases).alias("base_labels"), labels(F.col("_found")).alias("labels"), F.col("_score").alias("score"))
+
+
+@query
+def op7_warc_normaliser(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return warc.round_trip(table(spark, sf, "pages"), folder)
+
+
+sql("op7_warc_normaliser", """WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+ d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+ f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+   CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+   CASE WHEN first <> page_id THEN first END AS refers_to
+ FROM d LEFT JOIN f USING (h)""")
