@@ -22,32 +22,24 @@ answered once (from the row with the smallest vector); a null id is no query and
 """
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import stored
+from portcullis.llm.blocks import search
 
 SCALE = 256
-#: Rows of a segment, queries of a block.
-SEGMENT, QUERIES = 65_536, 64
 #: Digits of a stored attribute, from the top, that the bitmap sums use.
 LEADING = 6
-#: Queries whose best rows a task holds before it sends them on.
-HELD = 50_000
 
 
 def quantised(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id and q (integers) of the rows that take part."""
+    """id and v (integers) of the rows that take part."""
     x = F.col("v").cast("array<double>")
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     given = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     return given.select("id", x.alias("v")).where(F.coalesce(finite, F.lit(False))).select(
-        "id", F.transform("v", lambda c: F.floor(c * SCALE).cast("long")).alias("q"))
+        "id", F.transform("v", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
 
 
 class Slices:
@@ -177,95 +169,12 @@ def top_rows(index: Slices, ids: np.ndarray, q: np.ndarray, query_id: int, query
     return [(int(scores[i]), int(ids[at[i]])) for i in best]
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows packed into segments of one dimension."""
-    def packed(ids: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([rows[0].shape[1]], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()),
-                                           pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["dims", "ids", "q"])
-    waiting: dict[int, tuple[list, list]] = {}
-    for b in batches:
-        ids, q = b.column("id").to_numpy(), b.column("q")
-        sizes = np.diff(q.offsets.to_numpy())
-        flat, begins = q.values.to_numpy(), q.offsets.to_numpy()[:-1]
-        for dims in np.unique(sizes).tolist():
-            at = np.nonzero(sizes == dims)[0]
-            rows = flat[begins[at][:, None] + np.arange(dims)].astype(np.int32)
-            for lo in range(0, len(at), 4096):
-                held = waiting.setdefault(dims, ([], []))
-                held[0].append(ids[at[lo:lo + 4096]])
-                held[1].append(rows[lo:lo + 4096])
-                if sum(map(len, held[0])) > SEGMENT - 4096:
-                    yield packed(*waiting.pop(dims))
-    for held in waiting.values():
-        yield packed(*held)
-
-
-def _matrix(ids: bytes, q: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(q, np.int32).reshape(len(i), dims).astype(np.int64)
-
-
-def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, Slices, np.ndarray, np.ndarray] | None = None
-        for b in batches:
-            for r in b.to_pylist():
-                if last is None or last[0] != r["ids"]:
-                    ids, q = _matrix(r["ids"], r["q"], r["dims"])
-                    last = r["ids"], Slices(q), ids, q
-                _, index, ids, q = last
-                qids, qs = _matrix(r["query_ids"], r["query_q"], r["dims"])
-                out = [(int(a), s, i) for a, v in zip(qids, qs, strict=True) for s, i in top_rows(index, ids, q, int(a), v, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)],
-                                                 names=["query_id", "score", "vec_id"])
-    return run
-
-
-def _merge(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A bound on what each task sends on: the k best of each query among the task's rows."""
-        best: dict[int, list[tuple[int, int]]] = {}
-        def held() -> pa.RecordBatch:
-            flat = [(a, s, -i) for a, h in best.items() for s, i in h]
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in flat], pa.int64()) for j in range(3)], names=["query_id", "score", "vec_id"])
-        for b in batches:
-            for a, s, i in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-                h = best.setdefault(a, [])
-                (heapq.heappush if len(h) < k else heapq.heappushpop)(h, (s, -i))
-            if len(best) > HELD:
-                yield held()
-        yield held()
-    return run
-
-
 def top_k(df: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows."""
-    from pyspark.sql import Window
-    rows = stored(quantised(df, id_column, vector_column))
-    segments = stored(rows.mapInArrow(_segments, "dims int, ids binary, q binary"))
-    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("q").alias("q"))
-    n_blocks = max(1, -(-queries.count() // QUERIES))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")
-    blocks = (queries.select("id", "q", F.size("q").alias("dims"), block).groupBy("dims", "block").agg(
-        F.sort_array(F.collect_list(F.struct("id", "q"))).alias("x")).select("dims", "block", F.col("x.id").alias("query_id"), F.col("x.q").alias("query"))
-        .mapInArrow(_pack_queries, "dims int, block long, query_ids binary, query_q binary"))
-    # every query block meets every segment of its dimension (the stated query set, in blocks): segments
-    # are dealt to slots and query blocks to parts, and each (slot, part) is one key
-    slots = max(1, segments.count())
-    parts = max(1, min(n_blocks, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slots)))
-    left = segments.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = blocks.withColumn("part", F.col("block") % parts).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).drop("block")
-    pairs = left.select("dims", F.col("slot").cast("long"), F.col("part").cast("long"), "ids", "q").join(
-        right.select("dims", F.col("slot").cast("long"), F.col("part").cast("long"), "query_ids", "query_q"), ["dims", "slot", "part"])
-    found = pairs.mapInArrow(_search(k), "query_id long, score long, vec_id long").mapInArrow(_merge(k), "query_id long, score long, vec_id long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    def best(ids: np.ndarray, q: np.ndarray):
+        wide = q.astype(np.int64)
+        index = Slices(wide)
+        return lambda query_id, query: [(-s, i) for s, i in top_rows(index, ids, wide, query_id, query.astype(np.int64), k)]
 
-def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = [np.array(x, np.int64).tobytes() for x in b.column("query_id").to_pylist()]
-        q = [np.array(x, np.int32).tobytes() for x in b.column("query").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("dims"), b.column("block"), pa.array(ids, pa.binary()), pa.array(q, pa.binary())],
-                                         names=["dims", "block", "query_ids", "query_q"])
+    found = search(quantised(df, id_column, vector_column), is_query, k, "i4", "long", best)
+    return found.select("query_id", "rank", "vec_id", (-F.col("cost")).alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, licenses, mixing, ngram_join, pii, warc
+from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, licenses, mixing, multi_index, ngram_join, pii, warc
 from portcullis.llm.common import crc_rest, table
 from portcullis.session import checkpoint_dir
 
@@ -110,3 +110,12 @@ sql("op7_warc_normaliser", """WITH p AS (
    CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
    CASE WHEN first <> page_id THEN first END AS refers_to
  FROM d LEFT JOIN f USING (h)""")
+
+
+#: Queries of the approximate search: ids divisible by it.
+EVERY_100 = 100
+
+
+@query
+def op6_multi_index_hashing(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, sf, "embeddings"), lambda i: i % EVERY_100 == 0, k=10)

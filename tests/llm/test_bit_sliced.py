@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from portcullis.llm import bit_sliced as B
+from portcullis.llm import blocks
 from portcullis.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -27,8 +28,8 @@ def brute(rows, k, every):
 
 @pytest.mark.parametrize("segment", [65_536, 4_100])
 def test_equals_brute_force(spark, monkeypatch, segment):
-    monkeypatch.setattr(B, "SEGMENT", segment)
-    monkeypatch.setattr(B, "QUERIES", 7)
+    monkeypatch.setattr(blocks, "SEGMENT", segment)
+    monkeypatch.setattr(blocks, "QUERIES", 7)
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(6) * rng.choice([0.01, 0.3, 2])]) for i in range(500)]
     rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(0, rows[3][1]), (60, None), (61, [None] * 6), (62, [math.nan] + [0.0] * 5),
