@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from portcullis.llm.common import small_batches
+
 #: Pieces whose tokens one worker remembers, and their longest length in characters.
-REMEMBERED_PIECES, REMEMBERED_LENGTH = 400_000, 40
+REMEMBERED_PIECES, REMEMBERED_LENGTH = 250_000, 40
 _NOT_LATIN = regex.compile(r"[^\x00-ɏ]")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xA0  -     　\p{L}\p{N}]+")
 NO_LIMIT = 1 << 60
@@ -217,7 +219,7 @@ def _mapped(docs: DataFrame, column: str, path: str, fields: list[StructField],
             fn: Callable[[Bpe, bytes], tuple]) -> DataFrame:
     """``docs`` without ``column``, and the fields that ``fn`` makes of its text."""
     rest = [i for i, c in enumerate(docs.columns) if c != column]
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    inner = small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     inner = inner.select(*[f"c{i}" for i in rest], F.coalesce(f"c{docs.columns.index(column)}", F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where rows carry whole texts: buffers on both sides of a Python worker stay small.
+TEXT_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands texts to Python in batches of at most ``TEXT_ROWS`` rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > TEXT_ROWS or int(conf.get(key)) <= 0:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder, read back: several readers do
     not recompute it, and a lost executor does not lose it."""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import crc_rest, text_bytes
+from portcullis.llm.common import crc_rest, small_batches, text_bytes
 
 #: Bounds of what is fitted and broadcast.
 SAMPLE, WORD_TERMS, SHAPE_TERMS, DIRECTIONS, NEAREST = 8192, 2048, 1024, 48, 25
@@ -167,7 +167,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEAREST) -> Model:
     """Fit on the bounded sample. The driver receives at most ``sample`` rows of term counts (one row for each
     document of the sample; repeated ids are taken once)."""
-    rows = (training_rows(docs, labels, sample)
+    rows = (small_batches(training_rows(docs, labels, sample))
             .mapInArrow(_count_rows, "_order long, _label double, _at binary, _w binary")
             .groupBy("_order", "_label").agg(F.min(F.struct("_at", "_w")).alias("r")).orderBy("_order").limit(sample).collect())
     got = [(np.frombuffer(r.r._at, np.uint16).astype(np.int64), np.frombuffer(r.r._w, np.float32)) for r in rows]
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEARE
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and _quality_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema_in = docs.withColumn("_quality_text", text_bytes())
+    schema_in = small_batches(docs).withColumn("_quality_text", text_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, terms = shared.value, Terms()

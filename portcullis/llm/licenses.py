@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from portcullis.llm.common import small_batches
+
 # --- fixed values: phrases and their labels ------------------------------------------------------
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -220,7 +222,7 @@ def scan(docs: DataFrame, column: str = "text", templates=TEMPLATES, phrases=PHR
     in words) and _score."""
     from pyspark.sql.pandas.types import to_arrow_type
     names = [f"c{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*names).withColumn("t", F.coalesce(names[docs.columns.index(column)], F.lit("")).cast("binary"))
+    inner = small_batches(docs).toDF(*names).withColumn("t", F.coalesce(names[docs.columns.index(column)], F.lit("")).cast("binary"))
     found_type = to_arrow_type(_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

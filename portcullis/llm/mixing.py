@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import stored, text_bytes
+from portcullis.llm.common import small_batches, stored, text_bytes
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Newton stops when no source misses its target by more than this share, or after so many rounds.
@@ -43,7 +43,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
     """id, source and size (words) of every row."""
-    given = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), text_bytes(text_column).alias("_text"))
+    given = small_batches(docs).select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), text_bytes(text_column).alias("_text"))
     return given.mapInArrow(_sizes, f"id {given.schema['id'].dataType.simpleString()}, source string, size long")
 
 

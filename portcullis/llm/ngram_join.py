@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import (WordHashes, grams, mix, pack, pack_sorted, runs, stored, text_bytes, unpack, unpack_sorted,
+from portcullis.llm.common import (WordHashes, grams, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, unpack, unpack_sorted,
                                    words)
 from portcullis.llm.components import components
 
@@ -44,7 +44,7 @@ SHINGLE = 5
 #: Links need LINK_NUM / LINK_DEN of the union.
 LINK_NUM, LINK_DEN = 3, 4
 #: Shingles one worker sorts at a time, and shingles in one hash range.
-CHUNK, RANGE = 2_000_000, 1_500_000
+CHUNK, RANGE = 1_000_000, 1_000_000
 #: A shingle in at least this share of the documents, or in this many, travels apart.
 HEAVY_SHARE, HEAVY_COUNT = 64, 2_000_000
 SMALL_BUCKET, BLOCK = 32, 256
@@ -436,7 +436,7 @@ def _large_buckets(large: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _classified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, n, k (class), label (component of classes), component_id and class_id of every row."""
-    given = docs.select(F.col(id_column).alias("id"), text_bytes(text_column).alias("_text"))
+    given = small_batches(docs).select(F.col(id_column).alias("id"), text_bytes(text_column).alias("_text"))
     kind = given.schema["id"].dataType.simpleString()
     described = stored(given.mapInArrow(_describe(HEAVY_SHARE), f"id {kind}, k long, n long, token long, docs long"))
     rows = described.where("n IS NOT NULL").select("id", "k", "n")

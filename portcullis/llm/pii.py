@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from portcullis.llm.common import small_batches
+
 #: Key of the registered query; users pass their own.
 SAMPLE_KEY = b"portcullis sample key"
 ROUNDS = 8
@@ -245,7 +247,7 @@ def rewrite(docs: DataFrame, key: bytes = SAMPLE_KEY, column: str = "text") -> D
     """All columns of ``docs`` with the text rewritten, and _pii_count and _pii_kinds (sorted, distinct)."""
     at = docs.columns.index(column)
     # A projection renames, so that names may clash or repeat below Arrow.
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(f"c{at}", F.col(f"c{at}").cast("binary"))
+    inner = small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(f"c{at}", F.col(f"c{at}").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
