@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import PLACES, WordHashes, mix, pack, pack_sorted, runs, stored, text_bytes, unpack, unpack_sorted, words
+from portcullis.llm.common import PLACES, WordHashes, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, unpack, unpack_sorted, words
 
-ORDER = 3
+#: Length of the n-grams, 2 or 3. With 3 the questions alone take three times the input on disk.
+ORDER = 2
 #: Prior weight of the shorter model, for contexts of one and of two words.
 MU = (8.0, 24.0)
 #: Tokens of a chunk, and n-grams of a hash range.
@@ -254,7 +255,7 @@ def score(docs: DataFrame, training: Column, id_column: str = "doc_id", text_col
           mu: tuple[float, ...] = MU) -> DataFrame:
     """id, training, n_tokens, n_known, train_tokens, base_score and score of every row; the rows where
     ``training`` holds are learned from."""
-    given = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("_text"), F.coalesce(training, F.lit(False)).alias("training"))
+    given = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("_text"), F.coalesce(training, F.lit(False)).alias("training"))
     numbered = given.mapInArrow(_pack_chunks, _CHUNKS_SQL)
     # partition and place name a chunk; they are stored with it
     chunks = stored(numbered.withColumn("chunk", F.monotonically_increasing_id()))
