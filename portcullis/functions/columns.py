@@ -79,9 +79,7 @@ def tag_ci(tags: Column, key: str) -> Column:
 
 
 # --- languages ----------------------------------------------------------------------------
-LANGUAGE_ALIASES = {spelling: group.split()[0]
-                    for group in T.LANGUAGE_GROUPS.strip().splitlines()
-                    for spelling in group.split()}
+LANGUAGE_ALIASES = {spelling: group[0] for group in T.LANGUAGE_GROUPS for spelling in group}
 _SPACE = "\t\n\u000b\f\r \u0085\u00a0"
 
 

@@ -143,7 +143,3 @@ def canonical_bytes(s: Column) -> Column:
     t = F.regexp_replace(s, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[ \t]+(?=\n|\z)", "")
     return F.regexp_replace(t, r"\n+\z", "")
-
-
-def is_in(value: Column, values: list[str]) -> Column:
-    return F.array_contains(string_list(values), value)

@@ -10,7 +10,7 @@ _PLAIN = ["srt", "ass", "ssa", "sub", "idx", "vtt", "sfv", "par2", "md5", "sha25
 
 # --- fixed values: default settings --------------------------------------------------------
 HOMELAB = {
-    "description": "Keep all languages, chapters and fonts; strip titles, tags and provenance; never prompt.",
+    "description": "The default: nothing audible or readable is lost, identifying metadata is.",
     "languages.keep": ["*"],
     "languages.prefer_original": True,
     "languages.und": "keep",
@@ -42,14 +42,14 @@ HOMELAB = {
 }
 
 ANIME = {
-    "description": "Keep all languages and fonts, prefer original-language audio, keep signs and songs subtitles.",
+    "description": "For works whose typeset subtitles need their fonts; commentary goes.",
     "audio.drop_commentary": True,
     "attachments.fonts": "keep",
     "sidecars.allow": ["nfo"] + _PLAIN + ["jpg", "jpeg", "png", "webp", "txt", "ttf", "otf", "ttc"],
 }
 
 ARCHIVE = {
-    "description": "English-only archive: drop chapters, attachments, all metadata; links and provenance fail.",
+    "description": "One language and bare parts; foreign links and origin marks stop an item.",
     "languages.keep": ["eng"],
     "languages.prefer_original": False,
     "languages.und": "drop",
@@ -70,7 +70,7 @@ ARCHIVE = {
 
 STRICT = {
     **ARCHIVE,
-    "description": "Archive policy plus full decode verification and required ClamAV scan.",
+    "description": "As archive, with every byte decoded and a signature scan that must have run.",
     "streams.allow_data_tags": ["tmcd"],
     "verify.tier": "full",
     "safety.clamav": "required",

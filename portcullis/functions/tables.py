@@ -44,11 +44,7 @@ DANGEROUS_KINDS = ["executable", "archive", "pdf", "html", "script"]
 # --- fixed values: windows and limits -------------------------------------------------------
 SNIFF_WINDOW = 8192            # bytes of the head that are sniffed
 PAYLOAD_WINDOW = 1 << 20       # bytes of the head / tail searched for appended payloads
-NOTE_WINDOW = 1 << 20          # bytes of a note that are classified
-TEXT_PART_WINDOW = 16 << 20    # characters of a text part searched for links
-LINK_CAP = 20                  # links reported for one text
 SIGNATURE_MAX_BYTES = 2047 << 20
-ATTACHMENT_SNIFF_BYTES = 64 << 20
 EVIDENCE_LINES, EVIDENCE_LINE_BYTES, EVIDENCE_BYTES = 8, 512, 4096
 
 # --- fixed values: appended-payload signatures in the order they are named ------------------
@@ -126,86 +122,21 @@ CONTAINERS_FIRST = {"mpegts": "mpegts", "mpeg": "mpegps",
                     "microdvd": "subtitle", "vobsub": "subtitle"}
 
 # --- fixed values: language codes, canonical form first in each group -------------------------------
-LANGUAGE_GROUPS = """
-eng en
-jpn ja
-ger deu de
-fre fra fr
-spa es
-ita it
-por pt
-rus ru
-chi zho zh
-kor ko
-dut nld nl
-swe sv
-nor no nob nno
-dan da
-fin fi
-pol pl
-cze ces cs
-hun hu
-tur tr
-ara ar
-heb he iw
-hin hi
-tha th
-vie vi
-ind id in
-gre ell el
-rum ron ro
-ukr uk
-bul bg
-hrv hr
-srp sr
-slv sl
-slo slk sk
-tam ta
-tel te
-ben bn
-may msa ms
-per fas fa
-cat ca
-baq eus eu
-glg gl
-ice isl is
-lit lt
-lav lv
-est et
-tgl fil tl
-mal ml
-kan kn
-mar mr
-urd ur
-pan pa
-guj gu
-lat la
-afr af
-alb sqi sq
-arm hye hy
-aze az
-bos bs
-bur mya my
-geo kat ka
-kaz kk
-khm km
-mac mkd mk
-mon mn
-nep ne
-sin si
-swa sw
-uzb uz
-wel cym cy
-gle ga
-mao mri mi
-tib bod bo
-yid yi
-zul zu
-und
-mul
-zxx
-mis
-"""
+LANGUAGE_GROUPS = [
+    ["eng", "en"], ["jpn", "ja"], ["ger", "deu", "de"], ["fre", "fra", "fr"], ["spa", "es"], ["ita", "it"],
+    ["por", "pt"], ["rus", "ru"], ["chi", "zho", "zh"], ["kor", "ko"], ["dut", "nld", "nl"], ["swe", "sv"],
+    ["nor", "no", "nob", "nno"], ["dan", "da"], ["fin", "fi"], ["pol", "pl"], ["cze", "ces", "cs"], ["hun", "hu"],
+    ["tur", "tr"], ["ara", "ar"], ["heb", "he", "iw"], ["hin", "hi"], ["tha", "th"], ["vie", "vi"], ["ind", "id", "in"],
+    ["gre", "ell", "el"], ["rum", "ron", "ro"], ["ukr", "uk"], ["bul", "bg"], ["hrv", "hr"], ["srp", "sr"],
+    ["slv", "sl"], ["slo", "slk", "sk"], ["tam", "ta"], ["tel", "te"], ["ben", "bn"], ["may", "msa", "ms"],
+    ["per", "fas", "fa"], ["cat", "ca"], ["baq", "eus", "eu"], ["glg", "gl"], ["ice", "isl", "is"], ["lit", "lt"],
+    ["lav", "lv"], ["est", "et"], ["tgl", "fil", "tl"], ["mal", "ml"], ["kan", "kn"], ["mar", "mr"], ["urd", "ur"],
+    ["pan", "pa"], ["guj", "gu"], ["lat", "la"], ["afr", "af"], ["alb", "sqi", "sq"], ["arm", "hye", "hy"],
+    ["aze", "az"], ["bos", "bs"], ["bur", "mya", "my"], ["geo", "kat", "ka"], ["kaz", "kk"], ["khm", "km"],
+    ["mac", "mkd", "mk"], ["mon", "mn"], ["nep", "ne"], ["sin", "si"], ["swa", "sw"], ["uzb", "uz"],
+    ["wel", "cym", "cy"], ["gle", "ga"], ["mao", "mri", "mi"], ["tib", "bod", "bo"], ["yid", "yi"], ["zul", "zu"],
+    ["und"], ["mul"], ["zxx"], ["mis"],
+]
 
 # --- fixed values: code points -> names (ITU-T H.273 as media tools name them) ------------------------
 CODE_TABLES = {

@@ -124,27 +124,28 @@ _TLD = "(?:" + "|".join(_fold(t) for t in T.LINK_TLDS) + ")"
 # ASCII word boundary, spelled out because Java's own is Unicode-aware.
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _SCHEME = f"(?:http{_fold('s')}?://|ftp://|www\\.)"
-LINK = (f"(?i)({_SCHEME}[^\\t\\n\\f\\r \"'<>]+|"
-        f"{_EDGE}{_LABEL}(?:\\.{_LABEL})*\\.{_TLD}{_EDGE})")
+# A link with a scheme, or a whole run of dotted labels and the word character behind it. Runs are taken
+# possessively, so a megabyte of labels needs neither stack nor backtracking; the part of a run up to
+# its last top-level domain is cut out by a second, linear pattern.
+LINK = (f"(?i)({_SCHEME}[^\\t\\n\\f\\r \"'<>]++|"
+        f"{_EDGE}{_LABEL}(?:\\.(?!https?://|ftp://){_LABEL})*+[A-Za-z0-9_]?)")
+_IN_RUN = f"(?i)^([{_ALNUM}.-]*\\.{_TLD}){_EDGE}"
+_IN_RUN_WWW = "(?i)(?:^|\\.)(www\\..+)$"
 # Cheap test for the few texts that can hold a link at all.
 MAYBE_LINK = f"(?i){_SCHEME}|\\.{_TLD}"
 
 
 def find_links(s: Column) -> Column:
-    """Link-like tokens: first spelling of each, at most 20, trailing punctuation cut."""
-    found = F.transform(F.regexp_extract_all(s, F.lit(LINK), 1),
-                        lambda m: F.rtrim(m, F.lit(T.LINK_TRAILING)))
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), empty.alias("seen"))
-
-    def step(acc, m):
-        add = (F.size(acc["out"]) < T.LINK_CAP) & ~F.array_contains(acc["seen"], F.lower(m))
-        return F.when(add, F.struct(F.array_append(acc["out"], m).alias("out"),
-                                    F.array_append(acc["seen"], F.lower(m)).alias("seen"))
-                      ).otherwise(acc)
+    """Link-like tokens: first spelling of each, in order, trailing punctuation cut."""
+    def whole(m: Column) -> Column:
+        name = F.regexp_extract(m, _IN_RUN, 1)
+        return F.when(m.rlike(f"^(?i){_SCHEME}"), m).when(name != "", name).otherwise(F.regexp_extract(m, _IN_RUN_WWW, 1))
 
-    links = F.aggregate(found, start, step, lambda acc: acc["out"])
-    return F.when(s.rlike(MAYBE_LINK), links).otherwise(empty)
+    found = F.filter(F.transform(F.regexp_extract_all(s, F.lit(LINK), 1), lambda m: F.rtrim(whole(m), F.lit(T.LINK_TRAILING))), lambda m: m != "")
+    folded = lambda ms: F.transform(ms, F.lower)
+    firsts = let(F.when(s.rlike(MAYBE_LINK), found), lambda ms: let(
+        folded(ms), lambda low: F.filter(ms, lambda m, i: F.array_position(low, F.lower(m)) == i + 1)))
+    return F.coalesce(firsts, F.array().cast("array<string>"))
 
 
 _AUTHORITY = (r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[A-Za-z0-9\-._~!$&'()*+,;=:%@]*@)?"
@@ -259,8 +260,7 @@ def classify_markup_note(s: Column) -> Column:
 
     def report(acc, path, quiet, value):
         found = _outside_links(value, _element_path(path))
-        return F.when((quiet > 0) | (F.size(acc["links"]) >= T.LINK_CAP), acc["links"]).otherwise(
-            F.slice(F.concat(acc["links"], found), 1, T.LINK_CAP))
+        return F.when(quiet > 0, acc["links"]).otherwise(F.concat(acc["links"], found))
 
     def step(acc, t):
         name = F.regexp_extract(t, r"^</?(?:[\w.\-]+:)?([\w.\-]+)", 1)
@@ -293,8 +293,7 @@ def classify_markup_note(s: Column) -> Column:
     def finish(acc):
         words = F.filter(F.split(strip_invisible(acc["rest"]), SPACES), lambda w: w != "")
         one = F.when(F.size(words) == 1, trusted_host(F.get(words, F.lit(0))))
-        trailing = F.slice(F.concat(acc["links"], _outside_links(acc["rest"], F.lit("trailing text"))),
-                           1, T.LINK_CAP)
+        trailing = F.concat(acc["links"], _outside_links(acc["rest"], F.lit("trailing text")))
         return F.when(~acc["closed"], F.lit(None).cast(NOTE_TYPE)).otherwise(
             F.when(one.isNotNull(), _note("mixed", root, one, acc["links"]))
              .otherwise(_note("xml", root, "", trailing)))

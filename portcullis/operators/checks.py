@@ -91,7 +91,7 @@ def note_of(name: Column, content: Column, kind: Column, p: Settings) -> Column:
     e = ext(name)
     reached = ((e == "nfo") & ~F.array_contains(p["sidecars.block"], e) & ~kind.isin(T.DANGEROUS_KINDS)
                & F.array_contains(p["sidecars.allow"], e) & C.ext_allows(e, kind))
-    return F.when(reached, classify_note(decode_text(F.substring(content, 1, T.NOTE_WINDOW))))
+    return F.when(reached, classify_note(decode_text(content)))
 
 
 def note_findings(note: Column, p: Settings) -> list[Column]:
@@ -163,8 +163,3 @@ def stop_at_terminal_rows(rows: DataFrame, item: str = "item_id") -> DataFrame:
     failed = with_stats(kept, [item], salt_of("code", "seq", "message"),
                         {"__bad": ("max", (F.col("severity") >= FAIL) & (F.col("code") != "DECODE_FAIL"))})
     return failed.filter(~(F.col("__bad") & (F.col("code") == "DECODE_FAIL"))).drop("__bad")
-
-
-def checked_rows(items: DataFrame, check: Column, *keys: str) -> DataFrame:
-    """Long findings of one or several checks over items."""
-    return to_rows(items, gather(check), *keys)

@@ -64,20 +64,16 @@ def links_in_attrs(hits: DataFrame, p: Settings, page: int = 4096) -> DataFrame:
         F.array_join("hits", "\n"), seq=F.col("page"))), "item_id")
 
 
-def links_in_text_parts(parts: DataFrame, p: Settings, window: int = T.TEXT_PART_WINDOW) -> DataFrame:
-    """LINK_IN_SUBS findings of text parts; a part longer than the read bound is reported as such."""
+def links_in_text_parts(parts: DataFrame, p: Settings) -> DataFrame:
+    """LINK_IN_SUBS findings of text parts; whole texts are searched."""
     chosen = parts.filter((F.col("type") == "subtitle") & F.col("text_sub") & p["subtitles.scan_links"])
-    found = chosen.withColumn("__links", find_links(F.substring("text", 1, window)))
+    found = chosen.withColumn("__links", find_links(F.col("text")))
     severity = graded(p["subtitles.links"])
     links = finding(F.size("__links") > 0, "text_links", "LINK_IN_SUBS", severity,
                     text("stream #", F.col("idx"), " subtitle text contains ", F.size("__links"), " link(s): ",
                          F.array_join("__links", ", ")),
-                    F.array_join("__links", "\n"), seq=2 * F.col("idx"))
-    cut = finding(F.length("text") > window, "text_links", "LINK_IN_SUBS", severity,
-                  text("stream #", F.col("idx"), " subtitle text is longer than the runner keeps and was not "
-                       "fully checked for links"),
-                  f"only the first {window} bytes of the extracted track were inspected", seq=2 * F.col("idx") + 1)
-    return to_rows(found, gather(links, cut), "item_id", "idx")
+                    F.array_join("__links", "\n"), seq=F.col("idx"))
+    return to_rows(found, gather(links), "item_id", "idx")
 
 
 def bounded_evidence(output: Column, prefix: Column) -> Column:

@@ -11,7 +11,7 @@ from portcullis.functions.content import sniff
 from portcullis.operators.checks import graded
 from portcullis.operators.profiles import Settings
 from portcullis.operators.spread import block_of, with_ordinal, with_stats
-from portcullis.schema import BLOCK, FAIL, PASS, finding, gather, text, to_rows
+from portcullis.schema import BLOCK, FAIL, LAST_SEQ, PASS, finding, gather, text, to_rows
 
 _NO_STRINGS = "array<string>"
 
@@ -278,14 +278,15 @@ def check_parts(parts: DataFrame, p: Settings, keys: list[str] | None = None) ->
         finding((t == "attachment") & ~F.col("container").isin("matroska", "webm"), "parts", "ATTACH_BLOCKED",
                 BLOCK, text("stream #", idx, " is an attachment in a non-Matroska container"), seq=idx),
         finding(first & (F.col("category") == "video") & ~F.col("__video"), "parts", "NO_VIDEO", FAIL,
-                "no video stream in a video container", seq=2147483647),
+                "no video stream in a video container", seq=LAST_SEQ),
         finding(first & (F.col("category") == "audio") & ~F.col("__audio"), "parts", "NO_AUDIO", FAIL,
-                "no audio stream in an audio container", seq=2147483647))
+                "no audio stream in an audio container", seq=LAST_SEQ))
     return to_rows(stats, checks, *keys)
 
 
-def attachment_payload(payload: Column, size: Column) -> Column:
-    """'kind detail' of a dangerous attachment payload, NULL otherwise; large ones are not sniffed."""
+def attachment_payload(payload: Column) -> Column:
+    """'kind detail' of a dangerous attachment payload, NULL otherwise. The head is sniffed whatever the
+    declared size."""
     s = sniff(payload)
-    return F.when((size <= T.ATTACHMENT_SNIFF_BYTES) & s["kind"].isin(T.DANGEROUS_KINDS),
+    return F.when(s["kind"].isin(T.DANGEROUS_KINDS),
                   text(s["kind"], " ", s["detail"]))

@@ -13,7 +13,7 @@ from portcullis.functions.columns import canonical_lang, ext, is_und, let
 from portcullis.operators.metadata import attachment_payload
 from portcullis.operators.profiles import Settings
 from portcullis.operators.spread import block_of, paged_lists, with_flag_from, with_stats
-from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, gather, text, to_rows
+from portcullis.schema import BLOCK, FAIL, LAST_SEQ, PASS, WARN, finding, gather, text, to_rows
 
 COMMENTARY = "(?i)(?<![A-Za-z0-9_])commentar(?:y|ie[s\u017f])(?![A-Za-z0-9_])"
 
@@ -139,7 +139,7 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
 def decision_findings(decided: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Long findings of a decision: extra video, no video, audio fallback, untagged parts."""
     t, idx, first = F.col("type"), F.col("idx"), F.col("idx") == F.col("first_part")
-    big = 2147483647
+    big = LAST_SEQ
     checks = gather(
         finding(F.col("reason") == "secondary video stream", "policy", "VIDEO_EXTRA", WARN,
                 text("stream #", idx, ": extra video stream dropped"), seq=idx),
@@ -189,7 +189,7 @@ def decide_attachments(attachments: DataFrame, parts: DataFrame, p: Settings,
 
 def attachment_findings(decided: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Exactly one finding per attachment; a dangerous payload wins over every policy."""
-    bad = attachment_payload(F.col("payload"), F.col("size"))
+    bad = attachment_payload(F.col("payload"))
     label = text("attachment #", F.col("att_id"), ' "', F.col("file_name"), '" (', F.col("mime"), ", ",
                  F.col("size"), " bytes)")
     code = (F.when(bad.isNotNull(), "ATTACH_EXEC").when(F.col("block"), "ATTACH_BLOCKED")

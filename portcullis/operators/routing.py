@@ -132,7 +132,7 @@ def output_key(path: Column, root: str, out_root: str | None = None, extension:
     """Destination of a rebuilt item: the same relative key with the new extension."""
     root = root.rstrip("/")
     dest = (out_root or f"{root}__remuxed").rstrip("/")
-    rel = F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 65535)).otherwise(base_name(path))
+    rel = F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 2147483647)).otherwise(base_name(path))
     return F.concat(F.lit(dest + "/"), F.regexp_replace(rel, r"\.[^./]*$", ""), F.lit("." + extension))
 
 
@@ -171,7 +171,7 @@ def dry_run(items: DataFrame, root: str, **options) -> DataFrame:
 def quarantine_key(path: Column, root: str) -> Column:
     """Mirrored relative key, or the base name for a path that escapes the root."""
     root = root.rstrip("/")
-    rel = F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 65535))
+    rel = F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 2147483647))
     escapes = rel.isNull() | rel.isin("", ".", "..") | rel.startswith("../") | rel.startswith("/")
     return F.when(escapes, base_name(path)).otherwise(rel)
 

@@ -26,11 +26,12 @@ def verdict_counts(judged: DataFrame, *keys: str) -> DataFrame:
             .select(*keys, severity_name(F.col("verdict")).alias("verdict"), F.col("count").alias("files")))
 
 
-def run_verdict(judged: DataFrame, run_errors: int = 0) -> DataFrame:
-    """One row: the worst verdict; a run-level error raises it to FAIL at least."""
+def run_verdict(judged: DataFrame, run_errors: int | Column = 0, *runs: str) -> DataFrame:
+    """The worst verdict of each run (one row without ``runs``); a run-level error raises it to FAIL at least."""
+    errors = run_errors if isinstance(run_errors, Column) else F.lit(run_errors)
     worst = F.coalesce(F.max("verdict"), F.lit(PASS))
-    return judged.agg(F.greatest(worst, F.lit(FAIL if run_errors else PASS)).alias("verdict"),
-                      F.count("*").alias("files"))
+    raised = F.when(F.coalesce(F.max(errors), F.lit(0)) > 0, F.lit(FAIL)).otherwise(F.lit(PASS))
+    return judged.groupBy(*runs).agg(F.greatest(worst, raised).alias("verdict"), F.count("*").alias("files"))
 
 
 def exit_code(verdict: Column, interrupted: Column) -> Column:
@@ -132,18 +133,3 @@ def report_document(judged: DataFrame, findings: DataFrame, key: str = "item_id"
     fields, errors = _head_fields(**head)
     listed = F.array_sort(F.collect_list("file")).alias("files")
     return files.agg(F.to_json(F.struct(*fields, listed, errors), {"ignoreNullFields": "false"}).alias("document"))
-
-
-def human_lines(judged: DataFrame, findings: DataFrame, key: str = "item_id", verbose: bool = False) -> DataFrame:
-    """Terminal form as rows (item, at, line): verdict line, then findings; ``at`` orders them."""
-    from portcullis.functions.text import sanitize
-    pad = lambda c, n: F.rpad(c, n, " ")
-    head = judged.select(key, F.lit(0).cast("long").alias("at"),
-                         F.concat(pad(severity_name(F.col("verdict")), 5), F.lit(" "), sanitize(F.col("path"))).alias("line"))
-    shown = findings if verbose else findings.filter(F.col("severity") > PASS)
-    body = shown.select(key, (F.col("stage").cast("long") * RANK_SPAN + F.col("seq")).alias("at"), F.concat(
-        F.lit("      "), pad(severity_name(F.col("severity")), 5), F.lit(" "),
-        F.when(F.length("code") < 18, pad(F.col("code"), 18)).otherwise(F.col("code")), F.lit(" "),
-        sanitize(F.coalesce("message", F.lit("")))).alias("line"))
-    return head.unionByName(body)
-

@@ -49,15 +49,22 @@ def compare_parts(pairs: DataFrame) -> DataFrame:
 
 
 def verify_parts(compared: DataFrame, p: Settings) -> DataFrame:
-    """One HASH_OK with the number of parts, or HASH_MISMATCH for the first that differs."""
+    """HASH_OK with the number of parts where every kept part is paired and equal; VERIFY_FAIL where parts are
+    missing or extra, which is settled before any hash; else HASH_MISMATCH for the first that differs."""
     on = p["verify.stream_hash"] & (p["verify.tier"] != "none")
+    status = F.col("status")
     sums = compared.filter(on).groupBy("item_id").agg(
-        F.sum(F.when(F.col("status").isin("packet", "decoded"), 1).otherwise(0)).alias("n"),
-        F.min(F.when(F.col("status") == "mismatch", F.struct("idx", "type"))).alias("bad"))
+        F.sum(F.when(status.isin("packet", "decoded"), 1).otherwise(0)).alias("n"),
+        F.sum(F.when(status == "missing", 1).otherwise(0)).alias("missing"),
+        F.sum(F.when(status == "extra", 1).otherwise(0)).alias("extra"),
+        F.min(F.when(status == "mismatch", F.struct("idx", "type"))).alias("bad"))
+    unpaired = (F.col("missing") > 0) | (F.col("extra") > 0)
     return to_rows(sums, gather(
-        finding(F.col("bad").isNotNull(), "verify", "HASH_MISMATCH", FAIL,
+        finding(unpaired, "verify", "VERIFY_FAIL", FAIL,
+                text(F.col("missing"), " kept stream(s) missing from output, ", F.col("extra"), " not in source")),
+        finding(~unpaired & F.col("bad").isNotNull(), "verify", "HASH_MISMATCH", FAIL,
                 text("stream #", F.col("bad.idx"), " (", F.col("bad.type"), ") differs from source")),
-        finding(F.col("bad").isNull(), "verify", "HASH_OK", PASS,
+        finding(~unpaired & F.col("bad").isNull(), "verify", "HASH_OK", PASS,
                 text(F.col("n"), " stream(s) verified identical to source"))), "item_id")
 
 
@@ -190,6 +197,28 @@ def label_diff(src: Column, out: Column) -> Column:
     return F.when(a != b, text("source video is ", show(a), ", output is ", show(b)))
 
 
+def verify_labels(pairs: DataFrame) -> DataFrame:
+    """HDR_LOST where the signal families of a kept video part (``src_labels``) are not those of its output
+    (``out_labels``)."""
+    said = label_diff(F.col("src_labels"), F.col("out_labels"))
+    return to_rows(pairs, gather(finding(said.isNotNull(), "verify", "HDR_LOST", FAIL, said, seq=F.col("idx"))), "item_id", "idx")
+
+
+def first_failure(steps: DataFrame) -> DataFrame:
+    """The battery of an item ends at its first failure: ``steps`` holds the findings of all checks with ``step``,
+    the place of the check; later steps of an item are dropped."""
+    ends = steps.groupBy("item_id").agg(F.min(F.when(F.col("severity") >= FAIL, F.col("step"))).alias("__end"))
+    return (steps.join(ends, "item_id").where(F.col("__end").isNull() | (F.col("step") <= F.col("__end"))).drop("__end"))
+
+
+def stale_findings(checked: DataFrame) -> DataFrame:
+    """CLEAN_FAIL or REMUX_FAIL for items that are no longer what was scanned; ``checked`` is still_current's
+    result with ``route``."""
+    code = F.when(F.col("route") == "clean", "CLEAN_FAIL").otherwise("REMUX_FAIL")
+    return to_rows(checked.where(F.col("route").isin("clean", "remux")), gather(
+        finding(~F.col("fresh"), "place", code, FAIL, text("not touched: ", F.col("why")))), "item_id")
+
+
 def still_current(decided: DataFrame, current: DataFrame) -> DataFrame:
     """Append ``fresh`` and ``why``: a verdict holds only for the version it was made on.
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["content", "links", "metadata", "policy", "routing", "verification", "arrivals"]
+FAMILIES = ["content", "links", "metadata", "policy", "routing", "verification", "arrivals", "plans"]
 
 
 def load():

@@ -53,9 +53,9 @@ def sql_by_rest(column: str, modulus: int, values: list[str], default: str) -> s
 # --- items ------------------------------------------------------------------------------------
 EXTENSIONS = ["txt", "nfo", "srt", "html", "exe", "mkv", "md5", "zzz"]
 # hex put in front of / behind a body, by doc_id % 53
-PREFIXES = ["4D5A9000", "1A45DFA3", "255044462D", "FFFE", "000000186674797 06D703432".replace(" ", ""),
+PREFIXES = ["4D5A9000", "1A45DFA3", "255044462D", "FFFE", "00000018667479706D703432",
             "23212F62696E2F73680A", "FF", "", "", "524946460000000041564920", "3C68746D6C3E",
-            "", "", "1A45DFA301000000776562 6D".replace(" ", ""), "0001", "7F454C46", "EFBBBF", "424D"]
+            "", "", "1A45DFA3010000007765626D", "0001", "7F454C46", "EFBBBF", "424D"]
 SUFFIXES = {11: "504B0304", 12: "This program cannot be run in DOS mode".encode().hex().upper()}
 
 

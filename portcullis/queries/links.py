@@ -19,10 +19,10 @@ _SITES = "(" + "|".join(s.replace(".", "\\.") for s in T.TRUSTED_SITES) + ")"
 
 
 def links_sql(s: str) -> str:
-    """List of links of a text: trimmed, first spelling of each, at most 20."""
+    """List of links of a text: trimmed, first spelling of each."""
     found = f"list_transform(regexp_extract_all({s}, '{LINK_SQL}'), lambda m: rtrim(m, '{T.LINK_TRAILING}'))"
     return (f"(SELECT list_filter(f, lambda m, i: list_position(list_transform(f, lambda z: lower(z)), lower(m)) = i)"
-            f"[1:{T.LINK_CAP}] FROM (SELECT {found} AS f))")
+            f" FROM (SELECT {found} AS f))")
 
 
 def site_sql(token: str) -> str:
@@ -98,15 +98,13 @@ def _(spark, sf):
     return L.links_in_attrs(L.link_hits(items, parts, attachments=named), P).select("item_id", "code", "severity", "message")
 
 
-@query("l03_links_in_text_parts", f"""WITH {DOCUMENT_PARTS_SQL}, c AS (SELECT *, {links_sql("substr(text || CASE WHEN idx % 5 = 0 THEN ' http://x' || idx || '.example.org/a' ELSE '' END, 1, 2000)")} AS l,
-   length(text || CASE WHEN idx % 5 = 0 THEN ' http://x' || idx || '.example.org/a' ELSE '' END) AS n FROM parts WHERE type = 'subtitle' AND text_sub)
- SELECT item_id, idx, 'LINK_IN_SUBS' AS code, 1 AS severity, 'stream #' || idx || ' subtitle text contains ' || len(l) || ' link(s): ' || array_to_string(l, ', ') AS message FROM c WHERE len(l) > 0
- UNION ALL SELECT item_id, idx, 'LINK_IN_SUBS', 1, 'stream #' || idx || ' subtitle text is longer than the runner keeps and was not fully checked for links' FROM c WHERE n > 2000""")
+@query("l03_links_in_text_parts", f"""WITH {DOCUMENT_PARTS_SQL}, c AS (SELECT *, {links_sql("substr(text || CASE WHEN idx % 5 = 0 THEN ' http://x' || idx || '.example.org/a' ELSE '' END, 1)")} AS l FROM parts WHERE type = 'subtitle' AND text_sub)
+ SELECT item_id, idx, 'LINK_IN_SUBS' AS code, 1 AS severity, 'stream #' || idx || ' subtitle text contains ' || len(l) || ' link(s): ' || array_to_string(l, ', ') AS message FROM c WHERE len(l) > 0""")
 def _(spark, sf):
     i = F.col("idx")
     parts = document_parts(spark, sf).withColumn("text", F.concat("text", F.when(
         i % 5 == 0, F.concat(F.lit(" http://x"), i.cast("string"), F.lit(".example.org/a"))).otherwise("")))
-    return L.links_in_text_parts(parts, P, window=2000).select("item_id", "idx", "code", "severity", "message")
+    return L.links_in_text_parts(parts, P).select("item_id", "idx", "code", "severity", "message")
 
 
 @query("l04_trusted_host", f"WITH {_TOKENS_SQL} SELECT doc_id, token, {site_sql('token')} AS site FROM tok")

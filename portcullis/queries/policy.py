@@ -122,7 +122,13 @@ def _(spark, sf):
     return order_parts(spark, sf).select("item_id", "idx", D.language_matches(F.col("lang"), F.col("ietf"), Settings.of(FIRST)).alias("matches"))
 
 
-_rule("p04_want_part", ["keep", "reason", "set_language"], "keep, reason, set_language", RULES, "type = 'audio' AND NOT audio_fallback")
+@query("p04_want_part", f"""WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {decide_sql(RULES)}
+ SELECT item_id, idx, wk AS keep, wr AS reason, set_language FROM w2 WHERE type IN ('audio', 'subtitle')""")
+def _(spark, sf):
+    parts = order_parts(spark, sf).filter(F.col("type").isin("audio", "subtitle"))
+    return parts.select("item_id", "idx", D.want_part(F.col("lang"), F.col("ietf"), Settings.of(RULES)).alias("w")).select("item_id", "idx", "w.*")
+
+
 _rule("p05_primary_part", ["keep", "reason", "out_default"], "keep, reason, out_default", PROFILES["homelab"], "type = 'video'")
 _rule("p06_drop_commentary", ["keep", "reason"], "keep, reason", PROFILES["archive"], "reason = 'commentary'")
 _rule("p07_rescue_forced", ["keep", "out_forced"], "keep, out_forced", RULES, "reason = 'forced subtitle'")

@@ -61,9 +61,10 @@ def _(spark, sf):
     return V.compare_parts(V.pair_parts(*_turns(spark, sf))).select("item_id", "type", "ordinal", "status")
 
 
-@query("v03_verify_parts", f"""WITH {_TURNS_SQL}, s AS (SELECT item_id, count(*) FILTER (status IN ('packet', 'decoded')) AS n, min(idx) FILTER (status = 'mismatch') AS bad, arg_min(type, idx) FILTER (status = 'mismatch') AS bt FROM cmp GROUP BY item_id)
- SELECT item_id, CASE WHEN bad IS NULL THEN 'HASH_OK' ELSE 'HASH_MISMATCH' END AS code, CASE WHEN bad IS NULL THEN 0 ELSE 3 END AS severity,
-   CASE WHEN bad IS NULL THEN n || ' stream(s) verified identical to source' ELSE 'stream #' || bad || ' (' || bt || ') differs from source' END AS message FROM s""")
+@query("v03_verify_parts", f"""WITH {_TURNS_SQL}, s AS (SELECT item_id, count(*) FILTER (status IN ('packet', 'decoded')) AS n, min(idx) FILTER (status = 'mismatch') AS bad, arg_min(type, idx) FILTER (status = 'mismatch') AS bt,
+   count(*) FILTER (status = 'missing') AS lost, count(*) FILTER (status = 'extra') AS extra FROM cmp GROUP BY item_id)
+ SELECT item_id, CASE WHEN lost + extra > 0 THEN 'VERIFY_FAIL' WHEN bad IS NULL THEN 'HASH_OK' ELSE 'HASH_MISMATCH' END AS code, CASE WHEN lost + extra = 0 AND bad IS NULL THEN 0 ELSE 3 END AS severity,
+   CASE WHEN lost + extra > 0 THEN lost || ' kept stream(s) missing from output, ' || extra || ' not in source' WHEN bad IS NULL THEN n || ' stream(s) verified identical to source' ELSE 'stream #' || bad || ' (' || bt || ') differs from source' END AS message FROM s""")
 def _(spark, sf):
     return V.verify_parts(V.compare_parts(V.pair_parts(*_turns(spark, sf))), P).select("item_id", "code", "severity", "message")
 
@@ -135,9 +136,34 @@ def _(spark, sf):
     return rows(documents_items(spark, sf).filter(F.col("content").isNotNull()), K.check_decode(F.col("content"), "full", F.lit(True)))
 
 
+@query("v05_hdr_lost", """WITH e AS (SELECT event_id AS item_id, CASE event_id % 3 WHEN 0 THEN 'hdr10' WHEN 1 THEN 'hdr10+dv' ELSE '' END AS a, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 3 = 0 THEN 'hdr10' WHEN event_id % 3 = 1 THEN 'hdr10+dv' ELSE '' END AS b FROM events)
+ SELECT item_id, 'HDR_LOST' AS code, 3 AS severity, 'source video is ' || CASE a WHEN '' THEN 'none' ELSE a END || ', output is ' || CASE b WHEN '' THEN 'none' ELSE b END AS message FROM e WHERE a <> b""")
+def _(spark, sf):
+    e = F.col("event_id")
+    none = F.array().cast("array<string>")
+    labels = F.when(e % 3 == 0, F.array(F.lit("hdr10"))).when(e % 3 == 1, F.array(F.lit("hdr10"), F.lit("dv"))).otherwise(none)
+    pairs = table(spark, sf, "events").select(e.alias("item_id"), F.lit(0).alias("idx"), labels.alias("src_labels"),
+                                              F.when(e % 5 == 0, none).otherwise(labels).alias("out_labels"))
+    return V.verify_labels(pairs).select("item_id", "code", "severity", "message")
+
+
+@query("v08_stale", """SELECT doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'CLEAN_FAIL' ELSE 'REMUX_FAIL' END AS code, 3 AS severity,
+   'not touched: ' || CASE WHEN doc_id % 17 = 0 THEN 'vanished' ELSE 'changed since the scan' END AS message
+ FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0""")
+def _(spark, sf):
+    d = F.col("item_id")
+    checked = V.still_current(*_versions(spark, sf)).withColumn("route", F.when(d % 2 == 0, "clean").otherwise("remux"))
+    return V.stale_findings(checked).select("item_id", "code", "severity", "message")
+
+
 @query("v08_still_current", """WITH d AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 17 = 0 THEN 'vanished' WHEN doc_id % 19 = 0 OR doc_id % 23 = 0 THEN 'changed since the scan' ELSE '' END AS why FROM documents)
  SELECT item_id, why, why = '' AS fresh FROM d""")
 def _(spark, sf):
+    return V.still_current(*_versions(spark, sf)).select("item_id", "why", "fresh")
+
+
+def _versions(spark, sf):
+    """The documents as they were scanned, and as they are now."""
     d = F.col("doc_id")
     docs = table(spark, sf, "documents")
     at = F.lit("2026-01-01 00:00:00").cast("timestamp")
@@ -145,7 +171,7 @@ def _(spark, sf):
     now = docs.filter(d % 17 != 0).select(
         d.alias("item_id"), (F.length("text") + F.when(d % 19 == 0, 1).otherwise(0)).alias("length"),
         F.when(d % 23 == 0, at + F.expr("INTERVAL 1 SECOND")).otherwise(at).alias("modified"), F.sha2("text", 256).alias("digest"))
-    return V.still_current(before, now).select("item_id", "why", "fresh")
+    return before, now
 
 
 # --- verdicts ----------------------------------------------------------------------------------------------
@@ -175,9 +201,10 @@ def _(spark, sf):
     return A.verdict_counts(A.verdicts(*_found(spark, sf)), "grp")
 
 
-@query("a03_run_verdict", f"WITH {_FOUND_SQL} SELECT greatest(max(verdict), 3) AS verdict, count(*) AS files FROM judged WHERE verdict < 2")
+@query("a03_run_verdict", f"WITH {_FOUND_SQL} SELECT grp, CASE WHEN length(grp) % 2 = 0 THEN greatest(max(verdict), 3) ELSE max(verdict) END AS verdict, count(*) AS files FROM judged GROUP BY grp")
 def _(spark, sf):
-    return A.run_verdict(A.verdicts(*_found(spark, sf)).filter("verdict < 2"), run_errors=1)
+    """Each source is a run; every other one ended with an error of its own."""
+    return A.run_verdict(A.verdicts(*_found(spark, sf)), (F.length("grp") + 1) % 2, "grp")
 
 
 @query("a04_exit_code", f"WITH {_FOUND_SQL} SELECT item_id, CASE WHEN item_id % 2 = 0 AND verdict = 0 THEN 130 ELSE verdict END AS exit_code FROM judged")

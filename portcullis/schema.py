@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from portcullis.functions.tables import BLOCK, FAIL, PASS, SEVERITY_NAMES, USAGE, WARN  # noqa: F401
 
-FINDING_TYPE = ("struct<stage:int,seq:int,terminal:boolean,code:string,severity:int,"
+FINDING_TYPE = ("struct<stage:int,seq:long,terminal:boolean,code:string,severity:int,"
                 "message:string,detail:string>")
+#: Places behind every numbered part.
+LAST_SEQ = 1 << 62
 FINDING_COLUMNS = ["stage", "seq", "terminal", "code", "severity", "message", "detail"]
 
 # Position of each check in the run over one item; F15 and the report order rest on it.
@@ -35,7 +37,7 @@ def finding(condition, stage: str, code: str, severity, message, detail=None, *,
     """A finding struct where ``condition`` holds, NULL elsewhere."""
     body = F.struct(
         F.lit(STAGE[stage]).alias("stage"),
-        as_col(seq).cast("int").alias("seq"),
+        as_col(seq).cast("long").alias("seq"),
         as_col(terminal).cast("boolean").alias("terminal"),
         as_col(code).alias("code"),
         as_col(severity).cast("int").alias("severity"),

@@ -20,9 +20,6 @@ SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Plans are built from many small expressions; recording a call site for each triples the time.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # The link pattern backtracks recursively on very long dotted names.
-    "spark.executor.extraJavaOptions": "-Xss16m",
-    "spark.driver.extraJavaOptions": "-Xss16m",
 }
 
 
@@ -35,11 +32,13 @@ def builder(app: str = "portcullis", **extra: str) -> SparkSession.Builder:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is
-    unset (tests on one machine)."""
+    unset and everything runs in one process. Executors elsewhere would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

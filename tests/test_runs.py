@@ -89,6 +89,20 @@ def test_ingest_run(spark):
     assert {("a", "METADATA"), ("a", "ATTACH_OK"), ("c", "REFUSED"), ("b", "ROUTE"), ("d", "ROUTE")} <= codes
 
 
+def test_ingest_of_audio_and_data_streams(spark):
+    """An audio file needs no video; a data stream blocks; a missing video stream fails a video file."""
+    rows = [("song", "song.ogg", b"OggS\0\2"), ("odd", "odd.mkv", b"\x1a\x45\xdf\xa3"), ("deaf", "deaf.mkv", b"\x1a\x45\xdf\xa3")]
+    items = spark.createDataFrame(rows, "item_id string, name string, content binary").withColumns({
+        "path": F.concat(F.lit("/in/"), "name"), "container": F.when(F.col("item_id") == "song", "ogg").otherwise("matroska"), "copies": F.lit(1),
+        "tool_warning": F.lit(False), "chapter_n": F.lit(0), "title": F.lit(""), "global_tags": F.lit(0), "track_tags": F.lit(0), "muxing_app": F.lit(""),
+        "writing_app": F.lit(""), "tags": F.create_map(F.lit("note"), F.lit("www.a.to"))})
+    parts = spark.createDataFrame([("song", 0, "audio"), ("odd", 0, "video"), ("odd", 1, "data"), ("deaf", 0, "audio")], "item string, idx long, type string")
+    run = ingest(items, as_parts(parts, item_id="item", idx="idx", type="type", lang=F.lit("fin"), codec=F.lit("c")), HOME)
+    assert {r.item_id: (NAMES[r.verdict], r.route) for r in run.items.collect()} == {"song": ("WARN", "clean"), "odd": ("BLOCK", "skip"), "deaf": ("FAIL", "skip")}
+    codes = {(r.item_id, r.code) for r in run.findings.collect()}
+    assert {("odd", "DATA_STREAM"), ("odd", "REFUSED"), ("deaf", "NO_VIDEO"), ("song", "LINK_IN_TAG")} <= codes and ("song", "NO_VIDEO") not in codes
+
+
 # --- settle ------------------------------------------------------------------------------------------
 def observed(spark, rows):
     return spark.createDataFrame([(p, v, t) for p, v, t in rows], "path string, version string, s long").select(
