@@ -143,7 +143,7 @@ def clean_sidecar(path: Column, p: Settings, remove_blocked: bool, dry_run: bool
         said = text("would remove blocked sidecar .", e) if dry_run else F.lit("blocked sidecar removed")
     else:
         code, sev = "SKIPPED", WARN
-        said = text("blocked sidecar .", e, " left in place (use --remove-blocked-sidecars)")
+        said = text("blocked sidecar .", e, " stays; its removal was not asked for")
     rest = finding(F.lit(True), "clean", "NOTHING_TO_CLEAN", PASS, "sidecar; nothing to clean")
     if xattr is not None:
         rest = F.coalesce(xattr, rest)
@@ -157,12 +157,12 @@ def clean_dispatch(container: Column, strip_audio: bool = False, command: str =
         return F.struct(F.lit(cleaner).alias("cleaner"), F.lit(code).alias("code"),
                         F.lit(severity).alias("severity"), m.alias("message"))
 
-    advice = ("audio tags left alone; ingest does not strip audio tags" if command == "ingest"
-              else "audio tags left alone (use --strip-audio-tags)")
+    advice = ("audio tags stay in an ingest run" if command == "ingest"
+              else "audio tags stay unless their removal is asked for")
     audio = out("rewrite") if strip_audio else out("none", "SKIPPED", PASS, advice)
     return (F.when(container.isin("matroska", "webm"), out("header"))
              .when(container.isin("mp4", "avi", "flv"), out("rewrite"))
              .when(container.isin("mpegts", "mpegps"),
-                   out("none", "NOTHING_TO_CLEAN", PASS, text(container, " carries no writable metadata; use remux to convert")))
+                   out("none", "NOTHING_TO_CLEAN", PASS, text(container, " holds no metadata that can be rewritten; rebuild it instead")))
              .when(container.isin("mp3", "flac", "ogg", "wav"), audio)
              .otherwise(out("none", "SKIPPED", WARN, text("no cleaner for container ", container))))

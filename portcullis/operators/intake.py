@@ -55,11 +55,10 @@ def check_positional() -> Column:
     n, mapped = F.size("args"), _var("SAB_COMPLETE_DIR") != ""
     return (F.when(n == 0, F.lit(None).cast("string"))
              .when((n == 7) & mapped, text(
-                 "SABnzbd set SAB_COMPLETE_DIR and passes eight parameters, got ", n, ' beginning with "', _arg(0),
-                 '"; a flag that takes a value written before "$@" in the wrapper swallows the first one'))
-             .when(~n.isin(7, 8), text("expected no positional arguments or SABnzbd's seven or eight parameters, got ",
-                                       n, ' beginning with "', _arg(0), '"'))
-             .when(_arg(6) == "", "SABnzbd's seventh parameter, the post-processing status, is empty"))
+                 "with SAB_COMPLETE_DIR set eight parameters are due, not ", n, ' (first: "', _arg(0),
+                 '")'))
+             .when(~n.isin(7, 8), text("parameters must number none, seven or eight, not ", n, ' (first: "', _arg(0), '")'))
+             .when(_arg(6) == "", "parameter seven (the status) has no value"))
 
 
 def explode_list(value: Column) -> Column:
@@ -84,8 +83,8 @@ def parse_jobs(intake: DataFrame) -> DataFrame:
     mapped, listed = _var("SAB_COMPLETE_DIR") != "", F.size("args") > 0
     status = F.when(mapped, _var("SAB_PP_STATUS")).otherwise(_arg(6))
     bad = F.coalesce(check_positional(), F.when(
-        mapped & (_var("SAB_PP_STATUS") == ""), "not started by SABnzbd: SAB_COMPLETE_DIR is set but SAB_PP_STATUS is not").when(
-        ~mapped & ~listed, "not started by SABnzbd: SAB_COMPLETE_DIR is not set and no arguments were given"))
+        mapped & (_var("SAB_PP_STATUS") == ""), "SAB_COMPLETE_DIR came without SAB_PP_STATUS").when(
+        ~mapped & ~listed, "neither SAB_COMPLETE_DIR nor parameters were given"))
     why = text("post-processing status ", status, "; the files are not usable",
                F.when(_var("SAB_FAIL_MSG") != "", F.concat(F.lit(": "), _var("SAB_FAIL_MSG"))))
     sab = job(F.array(F.when(mapped, _var("SAB_COMPLETE_DIR")).otherwise(_arg(0))), none,
@@ -99,8 +98,8 @@ def parse_jobs(intake: DataFrame) -> DataFrame:
     both = text(total, F.when(detail != "", F.concat(F.lit("/"), detail)))
     nzb = job(F.array(final), none, _var("NZBPP_NZBNAME"), _var("NZBPP_CATEGORY"), text("status ", both),
               F.when(total != "SUCCESS", text("download status ", both, "; the files are not usable")).otherwise(none),
-              None, F.when(total == "", "not started by NZBGet: NZBPP_TOTALSTATUS is not set (NZBGet 13 or newer is required)")
-              .when(final == "", "not started by NZBGet: neither NZBPP_FINALDIR nor NZBPP_DIRECTORY is set"))
+              None, F.when(total == "", "NZBPP_TOTALSTATUS is missing")
+              .when(final == "", "NZBPP_FINALDIR and NZBPP_DIRECTORY are both missing"))
 
     # third and fourth dialect: an event with its variables
     def events(name, program, path_key, list_key, lang_key, title_key):
@@ -116,7 +115,7 @@ def parse_jobs(intake: DataFrame) -> DataFrame:
                    F.when(run, label).otherwise(none), none, event,
                    F.when((event != "Test") & ~run, text("event ", event, "; nothing to ingest")).otherwise(none),
                    event == "Test",
-                   F.when(event == "", f"not started by {program}: {name}_eventtype is not set")
+                   F.when(event == "", f"{name}_eventtype is missing")
                    .when(run & (F.size(paths) == 0), lacking))
 
     series = events("sonarr", "Sonarr", "sonarr_episodefile_path", "sonarr_episodefile_paths",

@@ -17,10 +17,10 @@ def refuse(path: Column, verdict: Column, parsed: Column, force: Column) -> Colu
         return F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(reason).alias("reason"))
 
     media = category(ext(path)).isNotNull()
-    return (F.when(media & (verdict >= BLOCK), out(BLOCK, "scan blocked this file; not ingested", "scan verdict BLOCK"))
+    return (F.when(media & (verdict >= BLOCK), out(BLOCK, "blocked by the scan", "scan verdict BLOCK"))
              .when(media & (verdict >= FAIL) & ~force,
-                   out(FAIL, "scan failed this file; use --force to remux anyway", "scan verdict FAIL"))
-             .when(media & ~parsed, out(FAIL, "scan produced no probe result; not ingested", "no probe result")))
+                   out(FAIL, "failed by the scan; only a forced run goes on", "scan verdict FAIL"))
+             .when(media & ~parsed, out(FAIL, "the scan found no parts in it", "no probe result")))
 
 
 def rebuild_reasons(decided: DataFrame, attachments: DataFrame | None, chapters: DataFrame | None,
@@ -120,9 +120,7 @@ def route_findings(routed: DataFrame, reasons: DataFrame, force: bool = False, p
     checks = gather(
         finding(first & refused.isNotNull(), "route", "REFUSED", refused["severity"], refused["message"]),
         finding(first & linked, "route", "HARDLINKED", WARN, F.when(side, text(
-            "file has ", F.col("copies"), " hard links; audio and subtitle files are edited in place, which would "
-            "change every link")).otherwise(text("file has ", F.col("copies"),
-                                                 " hard links; skipped (safety.hardlinks = skip)")), seq=1),
+            F.col("copies"), " names share this file, and an edit in place would show under all of them")).otherwise(text(F.col("copies"), " names share this file; left alone (safety.hardlinks = skip)")), seq=1),
         finding(shown, "route", "ROUTE", PASS, text(F.col("route"), ": ", why),
                 seq=2 + F.coalesce("__page", F.lit(0))))
     return to_rows(joined, checks, *keys)

@@ -72,9 +72,9 @@ def jobs_intake(spark, sf):
 
 JOBS_SQL = f"""j AS (SELECT o_orderkey AS job_id, o_orderkey AS o, {sql_by_rest('o_orderkey', 4, T.ADAPTERS, '')} AS adapter, o_orderstatus AS st, lower(string_split(o_orderpriority, '-')[-1]) AS cat,
    CASE o_orderstatus WHEN 'O' THEN '0' WHEN 'F' THEN '1' ELSE '' END AS code, o_orderkey % 5 = 0 AS five, o_orderkey % 3 AS m FROM orders),
- e AS (SELECT *, CASE adapter WHEN 'sabnzbd' THEN CASE WHEN m = 0 AND code = '' THEN 'not started by SABnzbd: SAB_COMPLETE_DIR is set but SAB_PP_STATUS is not' WHEN m = 1 AND code = '' THEN 'SABnzbd''s seventh parameter, the post-processing status, is empty'
-      WHEN m = 2 THEN 'not started by SABnzbd: SAB_COMPLETE_DIR is not set and no arguments were given' ELSE '' END
-    WHEN 'nzbget' THEN CASE WHEN st = 'P' THEN 'not started by NZBGet: NZBPP_TOTALSTATUS is not set (NZBGet 13 or newer is required)' ELSE '' END
+ e AS (SELECT *, CASE adapter WHEN 'sabnzbd' THEN CASE WHEN m = 0 AND code = '' THEN 'SAB_COMPLETE_DIR came without SAB_PP_STATUS' WHEN m = 1 AND code = '' THEN 'parameter seven (the status) has no value'
+      WHEN m = 2 THEN 'neither SAB_COMPLETE_DIR nor parameters were given' ELSE '' END
+    WHEN 'nzbget' THEN CASE WHEN st = 'P' THEN 'NZBPP_TOTALSTATUS is missing' ELSE '' END
     WHEN 'radarr' THEN CASE WHEN five THEN 'event Download without radarr_moviefile_path' ELSE '' END ELSE '' END AS error FROM j),
  jobs AS (SELECT job_id, adapter, error, adapter = 'sonarr' AND st = 'F' AS test, CASE WHEN error <> '' THEN '' WHEN adapter = 'sabnzbd' THEN CASE WHEN m = 0 THEN '/dl/' || o ELSE '/argv/' || o END
       WHEN adapter = 'nzbget' THEN CASE WHEN five THEN '/f/' || o ELSE '/d/' || o END WHEN adapter = 'sonarr' THEN CASE WHEN st = 'O' THEN '/a' || o || '|/b' || o ELSE '' END ELSE '/m/' || o END AS paths,
@@ -95,8 +95,8 @@ def _(spark, sf):
 
 
 @query("h02_check_positional", """WITH a AS (SELECT p_partkey, p_partkey % 11 AS n, p_partkey % 2 = 0 AS mapped, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '0' END AS st FROM part)
- SELECT p_partkey, CASE WHEN n = 0 THEN '' WHEN n = 7 AND mapped THEN 'SABnzbd set SAB_COMPLETE_DIR and passes eight parameters, got 7 beginning with "/x' || p_partkey || '"; a flag that takes a value written before "$@" in the wrapper swallows the first one'
-   WHEN n NOT IN (7, 8) THEN 'expected no positional arguments or SABnzbd''s seven or eight parameters, got ' || n || ' beginning with "/x' || p_partkey || '"' WHEN st = '' THEN 'SABnzbd''s seventh parameter, the post-processing status, is empty' ELSE '' END AS error,
+ SELECT p_partkey, CASE WHEN n = 0 THEN '' WHEN n = 7 AND mapped THEN 'with SAB_COMPLETE_DIR set eight parameters are due, not 7 (first: "/x' || p_partkey || '")'
+   WHEN n NOT IN (7, 8) THEN 'parameters must number none, seven or eight, not ' || n || ' (first: "/x' || p_partkey || '")' WHEN st = '' THEN 'parameter seven (the status) has no value' ELSE '' END AS error,
    CASE WHEN n = 1 THEN '/x' || p_partkey WHEN n = 9 AND st = '0' THEN 'http://h/9' ELSE '' END AS stray FROM a""")
 def _(spark, sf):
     k = F.col("p_partkey")

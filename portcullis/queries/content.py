@@ -229,12 +229,12 @@ def _(spark, sf):
     return K.stop_at_terminal_rows(long).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("flagship_scan_verdicts", f"""WITH {_RUN_SQL}, worst AS (SELECT item_id, max(severity) AS v FROM kept GROUP BY item_id),
+@query("f15_item_verdicts", f"""WITH {_RUN_SQL}, worst AS (SELECT item_id, max(severity) AS v FROM kept GROUP BY item_id),
  judged AS (SELECT i.grp, coalesce(w.v, 0) AS v FROM items i LEFT JOIN worst w USING (item_id))
  SELECT grp, CASE v WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARN' WHEN 3 THEN 'FAIL' ELSE 'BLOCK' END AS verdict, count(*) AS files
  FROM judged GROUP BY ALL""")
-def flagship(spark, sf):
-    """Verdict counts per source of a whole scan."""
+def item_verdicts(spark, sf):
+    """Verdict counts per source of the item checks, without notes and decode checks."""
     scanned = scan_items(documents_items(spark, sf).drop("declared"), HOME, tier="none")
     quiet = scanned.withColumn("verdict", F.coalesce(F.array_max(F.transform(
         F.filter("findings", lambda f: f["code"] != "LINK_IN_SIDECAR"), lambda f: f["severity"])), F.lit(0)))

@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from portcullis.functions import tables as T
+from portcullis.operators.verdict import verdict_counts
 from portcullis.plans.ingest import ingest, scan_run
 from portcullis.queries.base import ORDER_PARTS_SQL, order_parts, query, sql_list
 from portcullis.queries.metadata import ALIAS_SQL
 from portcullis.queries.policy import PROFILES
 from portcullis.queries.routing import _MEDIA, ORDER_ITEMS_SQL, _route_sql, order_items
-from portcullis.functions import tables as T
 
 HOME = PROFILES["homelab"]
 # every tenth item is a program under a media or note name; the seventh line of an order is a data stream
@@ -71,3 +72,11 @@ def _(spark, sf):
 def _(spark, sf):
     run = ingest(gate_items(spark, sf), gate_parts(spark, sf), HOME)
     return run.items.select("item_id", "verdict", "route", "reason")
+
+
+@query("flagship_scan_verdicts", f"""WITH {_SCAN_SQL} SELECT container, CASE s.verdict WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARN' WHEN 3 THEN 'FAIL' ELSE 'BLOCK' END AS verdict, count(*) AS files
+ FROM ox0 JOIN scanned s USING (item_id) GROUP BY ALL""")
+def flagship(spark, sf):
+    """Verdict counts per container of a whole scan, nothing left out."""
+    judged, _ = scan_run(gate_items(spark, sf), gate_parts(spark, sf), HOME)
+    return verdict_counts(judged, "container")

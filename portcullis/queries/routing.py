@@ -106,9 +106,9 @@ def _(spark, sf):
 
 
 @query("r04_route_findings", f"""WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {ORDER_ITEMS_SQL}, {_route_sql(ARCHIVE, False)}
- SELECT item_id, 'REFUSED' AS code, CASE WHEN verdict >= 4 THEN 4 ELSE 3 END AS severity, CASE WHEN verdict >= 4 THEN 'scan blocked this file; not ingested' WHEN verdict >= 3 THEN 'scan failed this file; use --force to remux anyway' ELSE 'scan produced no probe result; not ingested' END AS message
+ SELECT item_id, 'REFUSED' AS code, CASE WHEN verdict >= 4 THEN 4 ELSE 3 END AS severity, CASE WHEN verdict >= 4 THEN 'blocked by the scan' WHEN verdict >= 3 THEN 'failed by the scan; only a forced run goes on' ELSE 'the scan found no parts in it' END AS message
    FROM routed WHERE media AND (verdict >= 3 OR NOT parsed)
- UNION ALL SELECT item_id, 'HARDLINKED', 1, CASE WHEN side THEN 'file has ' || copies || ' hard links; audio and subtitle files are edited in place, which would change every link' ELSE 'file has ' || copies || ' hard links; skipped (safety.hardlinks = skip)' END FROM routed WHERE reason LIKE 'hard-linked%'
+ UNION ALL SELECT item_id, 'HARDLINKED', 1, CASE WHEN side THEN copies || ' names share this file, and an edit in place would show under all of them' ELSE copies || ' names share this file; left alone (safety.hardlinks = skip)' END FROM routed WHERE reason LIKE 'hard-linked%'
  UNION ALL SELECT item_id, 'ROUTE', 0, route || ': ' || reason FROM routed""")
 def _(spark, sf):
     items, _, reasons = _ready(spark, sf, PA)
@@ -235,7 +235,7 @@ _SIDE = f"CASE WHEN ext IN {sql_list(HOME['sidecars.block'])}"
 
 
 @query("c05_clean_sidecars", f"""WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'exe' WHEN 1 THEN 'nfo' ELSE 'txt' END AS ext FROM part)
- SELECT p_partkey, {_SIDE} THEN 'SKIPPED' ELSE 'NOTHING_TO_CLEAN' END AS code, {_SIDE} THEN 1 ELSE 0 END AS severity, {_SIDE} THEN 'blocked sidecar .' || ext || ' left in place (use --remove-blocked-sidecars)' ELSE 'sidecar; nothing to clean' END AS message FROM s""")
+ SELECT p_partkey, {_SIDE} THEN 'SKIPPED' ELSE 'NOTHING_TO_CLEAN' END AS code, {_SIDE} THEN 1 ELSE 0 END AS severity, {_SIDE} THEN 'blocked sidecar .' || ext || ' stays; its removal was not asked for' ELSE 'sidecar; nothing to clean' END AS message FROM s""")
 def _(spark, sf):
     k = F.col("p_partkey")
     s = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("p"), k.cast("string"), F.lit("."), by_rest(k, 3, ["exe", "nfo"], "txt")).alias("path"))
@@ -248,7 +248,7 @@ _BOXES = ["matroska", "mp4", "avi", "mpegts", "mp3", "flac", "asf", "webm", "sub
 @query("c06_clean_dispatch", f"""WITH b AS (SELECT l_partkey, {sql_by_rest('l_partkey', 9, _BOXES, '')} AS c FROM lineitem)
  SELECT c AS container, CASE WHEN c IN ('matroska', 'webm') THEN 'header' WHEN c IN ('mp4', 'avi', 'flv') THEN 'rewrite' ELSE 'none' END AS cleaner,
   CASE WHEN c IN ('matroska', 'webm', 'mp4', 'avi', 'flv') THEN '' WHEN c IN ('mpegts', 'mpegps') THEN 'NOTHING_TO_CLEAN' ELSE 'SKIPPED' END AS code, CASE WHEN c IN ('asf', 'subtitle') THEN 1 ELSE 0 END AS severity,
-  CASE WHEN c IN ('matroska', 'webm', 'mp4', 'avi', 'flv') THEN '' WHEN c = 'mpegts' THEN 'mpegts carries no writable metadata; use remux to convert' WHEN c IN ('mp3', 'flac') THEN 'audio tags left alone (use --strip-audio-tags)' ELSE 'no cleaner for container ' || c END AS message, count(*) AS n FROM b GROUP BY ALL""")
+  CASE WHEN c IN ('matroska', 'webm', 'mp4', 'avi', 'flv') THEN '' WHEN c = 'mpegts' THEN 'mpegts holds no metadata that can be rewritten; rebuild it instead' WHEN c IN ('mp3', 'flac') THEN 'audio tags stay unless their removal is asked for' ELSE 'no cleaner for container ' || c END AS message, count(*) AS n FROM b GROUP BY ALL""")
 def _(spark, sf):
     b = table(spark, sf, "lineitem").select(by_rest(F.col("l_partkey"), 9, _BOXES, "").alias("container"))
     d = b.withColumn("d", C.clean_dispatch(F.col("container")))
