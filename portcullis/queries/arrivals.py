@@ -1,21 +1,36 @@
 """Queries of sources, intake and the settle window."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
 from portcullis.operators import intake as H
 from portcullis.queries.base import EVENT_ATTRS_SQL, by_rest, event_attrs, query, sql_by_rest, table
+from portcullis.session import checkpoint_dir
 from portcullis.sources import items as S
+from portcullis.sources.sinks import write_report
 from portcullis.streaming import gate as J
 from portcullis.streaming import settle as W
 
 
 # --- sources ----------------------------------------------------------------------------------------
-@query("s01_list_items")
+@query("s01_list_items", "SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def _(spark, sf):
+    """The documents written as files, one folder for each source, and listed; no body is read."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/listed-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").select(F.col("text").alias("value"), F.col("source").alias("folder")).write.partitionBy("folder").text(root)
+    files = S.list_items(spark, root, complete=False).filter(F.col("name").startswith("part-"))
+    return files.groupBy(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
+@query("s04_write_report", """SELECT '{"doc_id":' || doc_id || ',"source":"' || source || '"}' AS line FROM documents""")
 def _(spark, sf):
-    """The given folder's own files; no body is read."""
-    return S.list_items(spark, sf).select("name", (F.col("length") > 0).alias("has_bytes"))
+    """A report written and read back; a second write to the same place is refused."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    write_report(table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", "source")).alias("line")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("s02_union_roots", "SELECT doc_id % 2 AS root, source, count(*) AS n FROM documents GROUP BY ALL")

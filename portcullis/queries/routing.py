@@ -1,6 +1,8 @@
 """Queries of routing, destinations, quarantine and cleaning."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
@@ -13,6 +15,8 @@ from portcullis.queries.base import (EVENT_ATTRS_SQL, ORDER_PARTS_SQL, by_rest,
                                      sql_by_rest, sql_list, table)
 from portcullis.queries.metadata import ALIAS_SQL
 from portcullis.queries.policy import PROFILES, RULES, decide_sql
+from portcullis.session import checkpoint_dir
+from portcullis.sources.sinks import write_clean, write_quarantine
 
 HOME, ARCHIVE = PROFILES["homelab"], PROFILES["archive"]
 P, PA, PR = Settings.of(HOME), Settings.of(ARCHIVE), Settings.of(RULES)
@@ -158,6 +162,33 @@ def _(spark, sf):
     return R.plan_quarantine(items, "/in", "/q", stored).select("item_id", "key", "moved", "severity", "message")
 
 
+# order items named by their number, so that paths are unique; three share one target
+def _named(spark, sf):
+    n = F.col("n").cast("string")
+    return order_items(spark, sf).withColumn("path", F.concat(F.lit("/in/"), F.floor(F.col("n") / 3).cast("string"), F.lit("."), n)).withColumn(
+        "content", F.encode(F.concat(F.lit("body "), n), "UTF-8"))
+
+
+_NAMED_SQL = f"{ORDER_ITEMS_SQL}, nm AS (SELECT item_id, verdict, n, '/in/' || (n // 3) || '.' || n AS path FROM ox)"
+
+
+@query("s06_write_clean", f"""WITH {_NAMED_SQL}, d AS (SELECT *, n // 3 || '.mkv' AS rel FROM nm WHERE verdict < 3)
+ SELECT rel, min(path) AS path, 'body ' || arg_min(n, path) AS content FROM d GROUP BY rel""")
+def _(spark, sf):
+    """Outputs written and read back: the first of the items that share a target."""
+    store = f"{checkpoint_dir(spark).rstrip('/')}/clean-{uuid.uuid4().hex}"
+    write_clean(_named(spark, sf).withColumn("eligible", F.col("verdict") < 3), "/in", store)
+    return spark.read.parquet(store).select(F.substring_index("key", "/", -1).alias("rel"), "path", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("s05_write_quarantine", f"WITH {_NAMED_SQL} SELECT substr(path, 5) AS key, path, 'body ' || n AS content FROM nm WHERE verdict = 4")
+def _(spark, sf):
+    """Blocked items moved to the store, mirrored below it, and read back."""
+    store = f"{checkpoint_dir(spark).rstrip('/')}/quarantine-{uuid.uuid4().hex}"
+    write_quarantine(_named(spark, sf), "/in", store)
+    return spark.read.parquet(store).select("key", "path", F.decode("content", "UTF-8").alias("content"))
+
+
 # --- cleaning ------------------------------------------------------------------------------------------
 _WHAT_SQL = f"""{ORDER_ITEMS_SQL}, {ORDER_PARTS_SQL}, what AS (SELECT item_id, 0 AS r, (global_tags + track_tags) || ' tag entries' AS w FROM ox WHERE global_tags + track_tags > 0
    UNION ALL SELECT item_id, 1, 'title' FROM ox WHERE title <> '' UNION ALL SELECT item_id, 2, 'muxing/writing app, date' FROM ox WHERE muxing_app <> ''

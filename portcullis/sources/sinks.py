@@ -24,18 +24,21 @@ def _existing(df: DataFrame, path: str) -> DataFrame | None:
 
 def write_quarantine(items: DataFrame, root: str, store: str) -> DataFrame:
     """Move BLOCK items (path, verdict, content) to a parquet store keyed by mirrored path; returns the
-    plan rows as the QUARANTINED findings. The plan is checkpointed, so what is reported is what was
-    written even when a task has to be repeated."""
+    plan rows as the QUARANTINED findings. The plan is made without bodies and checkpointed, so what is
+    reported is what was written even when a task has to be repeated; bodies are joined once, to be
+    written."""
     stored = _existing(items, store)
-    plan = cut(plan_quarantine(items, root, store, stored))
-    (plan.filter("moved").select("key", "path", "content").write.mode("append").parquet(store))
+    plan = cut(plan_quarantine(items.drop("content"), root, store, stored))
+    plan.filter("moved").select("key", "path").join(items.select("path", "content"), "path").select(
+        "key", "path", "content").write.mode("append").parquet(store)
     return plan.select("path", "dest", F.lit("QUARANTINED").alias("code"), "severity", "message")
 
 
 def write_clean(items: DataFrame, root: str, store: str, **options) -> DataFrame:
     """Place accepted items (path, eligible, content) without clobbering; returns PLACED and
-    OUTPUT_EXISTS rows."""
+    OUTPUT_EXISTS rows. Bodies are joined to the finished plan."""
     stored = _existing(items, store)
-    plan = cut(plan_destinations(items, root, store, existing=None if stored is None else stored.select("key"), **options))
-    plan.filter("placed").select(F.col("dest").alias("key"), "path", "content").write.mode("append").parquet(store)
+    plan = cut(plan_destinations(items.drop("content"), root, store, existing=None if stored is None else stored.select("key"), **options))
+    plan.filter("placed").select(F.col("dest").alias("key"), "path").join(items.select("path", "content"), "path").select(
+        "key", "path", "content").write.mode("append").parquet(store)
     return plan.filter(F.col("code").isNotNull()).select("path", "dest", "code", "severity", "message")

@@ -131,14 +131,16 @@ def settle(obs: DataFrame, window_seconds: int, silence: bool = False, lateness:
 def settle_files(spark: SparkSession, source: str, read, window_seconds: int, work: str | None = None) -> DataFrame:
     """Run the settle stream over what lies at ``source`` now and return what settled.
 
-    ``source`` is a folder, or one file of a folder named with its extension. ``read`` turns its rows into observations. State and output live in the shared folder,
-    so a lost executor loses nothing."""
+    ``source`` is a folder, a table written as one, or one file. ``read`` turns its rows into observations. State
+    and output live in the shared folder, so a lost executor loses nothing."""
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     work = work or f"{checkpoint_dir(spark)}/settle-{uuid.uuid4().hex}"
     folder, _, name = source.rpartition("/")
     stream = spark.readStream.schema(spark.read.parquet(source).schema)
-    rows = stream.option("pathGlobFilter", name).parquet(folder) if "." in name else stream.parquet(source)
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    is_folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    rows = stream.parquet(source) if is_folder else stream.option("pathGlobFilter", name).parquet(folder)
     done = (settle(read(rows), window_seconds).writeStream.format("parquet").option("path", f"{work}/out")
             .option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start())
     done.awaitTermination()
