@@ -156,10 +156,10 @@ def stop_at_terminal(findings: Column) -> Column:
 
 def stop_at_terminal_rows(rows: DataFrame, item: str = "item_id") -> DataFrame:
     """The same rule over long findings of any volume per item."""
-    from portcullis.operators.spread import salt_of, with_stats
-    stopped = with_stats(rows, [item], salt_of("code", "seq", "message"),
+    from portcullis.operators.spread import with_stats
+    stopped = with_stats(rows, [item],
                          {"__last": ("min", F.when(F.col("terminal"), F.col("stage")))})
     kept = stopped.filter(F.col("stage") <= F.coalesce("__last", F.lit(999))).drop("__last")
-    failed = with_stats(kept, [item], salt_of("code", "seq", "message"),
+    failed = with_stats(kept, [item],
                         {"__bad": ("max", (F.col("severity") >= FAIL) & (F.col("code") != "DECODE_FAIL"))})
     return failed.filter(~(F.col("__bad") & (F.col("code") == "DECODE_FAIL"))).drop("__bad")

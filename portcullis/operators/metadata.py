@@ -10,7 +10,7 @@ from portcullis.functions.columns import is_und, let, lookup, string_list
 from portcullis.functions.content import sniff
 from portcullis.operators.checks import graded
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import block_of, with_ordinal, with_stats
+from portcullis.operators.spread import with_ordinal, with_stats
 from portcullis.schema import BLOCK, FAIL, LAST_SEQ, PASS, finding, gather, text, to_rows
 
 _NO_STRINGS = "array<string>"
@@ -259,7 +259,7 @@ def check_parts(parts: DataFrame, p: Settings, keys: list[str] | None = None) ->
     """Long findings about the parts of items; ``parts`` carries ``category`` and ``container`` of
     its item, ``labels`` (signal families), ``codec`` and ``codec_tag``."""
     keys = keys or ["item_id"]
-    stats = with_stats(parts, keys, block_of("idx"), {
+    stats = with_stats(parts, keys, {
         "__video": ("max", (F.col("type") == "video") & ~F.col("attached_pic")),
         "__audio": ("max", F.col("type") == "audio"),
         "__first": ("min", F.col("idx"))})

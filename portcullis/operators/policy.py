@@ -12,7 +12,7 @@ from portcullis.functions import tables as T
 from portcullis.functions.columns import canonical_lang, ext, is_und, let
 from portcullis.operators.metadata import attachment_payload
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import block_of, paged_lists, with_flag_from, with_stats
+from portcullis.operators.spread import paged_lists, with_flag_from, with_stats
 from portcullis.schema import BLOCK, FAIL, LAST_SEQ, PASS, WARN, finding, gather, text, to_rows
 
 COMMENTARY = "(?i)(?<![A-Za-z0-9_])commentar(?:y|ie[s\u017f])(?![A-Za-z0-9_])"
@@ -90,7 +90,7 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
             .withColumn("__rank", F.when(F.coalesce(F.col("__spoken") == F.col("__orig"), F.lit(False)), F.lit(0))
                         .when(F.col("is_default"), F.lit(RANK_SPAN)).otherwise(F.lit(2 * RANK_SPAN)) + F.col("idx")))
     audio, kept_audio = t == "audio", (t == "audio") & F.col("__keep")
-    rows = with_stats(rows, keys, block_of("idx"), {
+    rows = with_stats(rows, keys, {
         "__first_video": ("min", F.when((t == "video") & ~F.col("attached_pic"), F.col("idx"))),
         "__audio": ("max", audio), "__kept": ("max", kept_audio),
         "__first_audio": ("min", F.when(audio, F.col("idx"))),
@@ -108,7 +108,7 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
                         .otherwise(F.coalesce("__pick_kept", "__pick_all") % F.lit(RANK_SPAN))))
     sdh = F.lit(False)
     if p.may("subtitles.drop_sdh_duplicates"):
-        rows = with_stats(rows, [*keys, "__lang"], block_of("idx"), {
+        rows = with_stats(rows, [*keys, "__lang"], {
             "__plain": ("max", (t == "subtitle") & F.col("__keep") & ~F.col("hearing_imp"))})
         sdh = (p["subtitles.drop_sdh_duplicates"] & (t == "subtitle") & F.col("__keep")
                & F.col("hearing_imp") & F.col("__plain"))
@@ -181,7 +181,7 @@ def decide_attachments(attachments: DataFrame, parts: DataFrame, p: Settings,
     """Append kind, keep, block, reason to every attachment (item_id, att_id, file_name, mime, size)."""
     keys = keys or ["item_id"]
     text_parts = parts.filter((F.col("type") == "subtitle") & F.col("text_sub"))
-    flagged = with_flag_from(attachments, text_parts, keys, block_of("att_id"), "has_text_sub")
+    flagged = with_flag_from(attachments, text_parts, keys, "has_text_sub")
     acted = (flagged.withColumn("kind", attachment_kind(F.col("mime"), F.col("file_name")))
              .withColumn("__a", attachment_action(F.col("kind"), F.col("has_text_sub"), p)))
     return acted.withColumns({c: F.col(f"__a.{c}") for c in ("keep", "block", "reason")}).drop("__a")

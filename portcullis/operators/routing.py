@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from portcullis.functions.columns import base_name, category, ext
 from portcullis.operators.policy import ACTION_SPAN
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import paged_lists, salt_of, with_flag_from, with_stats
+from portcullis.operators.spread import paged_lists, with_flag_from, with_stats
 from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, gather, text, to_rows
 
 
@@ -145,10 +145,10 @@ def plan_destinations(items: DataFrame, root: str, out_root: str | None = None,
     planned = planned.withColumn("__slot", slot)
     if existing is not None:
         there = existing.select((F.lower("key") if fold_case else F.col("key")).alias("__slot"))
-        planned = with_flag_from(planned, there, ["__slot"], salt_of("path"), "__taken")
+        planned = with_flag_from(planned, there, ["__slot"], "__taken")
     else:
         planned = planned.withColumn("__taken", F.lit(False))
-    planned = with_stats(planned, ["__slot"], salt_of("path"), {
+    planned = with_stats(planned, ["__slot"], {
         "__winner": ("min", F.when(F.col("eligible") & ~F.col("__taken"), F.col("path")))})
     placed = F.col("eligible") & ~F.col("__taken") & (F.col("path") == F.col("__winner"))
     done = (F.lit("DRY_RUN"), text("would write ", F.col("dest"))) if dry_run else (
@@ -191,10 +191,10 @@ def plan_quarantine(items: DataFrame, root: str, quarantine: str, stored: DataFr
     blocked = (items.filter(F.col("verdict") == BLOCK)
                .withColumn("key", quarantine_key(F.col("path"), root)))
     if stored is not None:
-        blocked = with_flag_from(blocked, stored.select("key"), ["key"], salt_of("path"), "__taken")
+        blocked = with_flag_from(blocked, stored.select("key"), ["key"], "__taken")
     else:
         blocked = blocked.withColumn("__taken", F.lit(False))
-    blocked = with_stats(blocked, ["key"], salt_of("path"), {"__winner": ("min", F.col("path"))})
+    blocked = with_stats(blocked, ["key"], {"__winner": ("min", F.col("path"))})
     usable = F.col("key") != ""
     moved = usable & ~F.col("__taken") & (F.col("path") == F.col("__winner"))
     dest = F.concat(F.lit(quarantine.rstrip("/") + "/"), F.col("key"))

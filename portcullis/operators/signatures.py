@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
 from portcullis.functions.columns import let
-from portcullis.operators.spread import salt_of, with_stats
+from portcullis.operators.spread import with_stats
 from portcullis.schema import BLOCK, FAIL, WARN, finding, gather, text, to_rows
 
 MAX_GRAM = 4                       # interior words that anchor a signature
@@ -65,7 +65,7 @@ def anchors(signatures: DataFrame) -> DataFrame:
     for k in range(2, MAX_GRAM + 1):
         own = own.when(F.col("k") == k, _grams(F.col("inner"), k))
     grams = inner.select("sig_id", "k", F.explode_outer(own).alias("gram")).filter(F.col("gram").isNotNull())
-    counted = with_stats(grams, ["gram"], salt_of("sig_id"), {"n": ("count", F.lit(1))})
+    counted = with_stats(grams, ["gram"], {"n": ("count", F.lit(1))})
     return counted.groupBy("sig_id").agg(F.min(F.struct("n", "gram", "k")).alias("a")).select(
         "sig_id", F.col("a.k").alias("k"), F.col("a.gram").alias("gram"))
 
@@ -141,5 +141,5 @@ def signature_findings(items: DataFrame, matches: DataFrame) -> DataFrame:
 def multi_named(items: DataFrame, digest: str = "digest") -> DataFrame:
     """Append how many items have the same content. A third of all items may be copies of one: the
     count is built per slice of the copies and joined back per slice."""
-    return with_stats(items, [digest], salt_of("item_id"), {"copies": ("count", F.lit(1))})
+    return with_stats(items, [digest], {"copies": ("count", F.lit(1))})
 

@@ -1,9 +1,9 @@
 """Group statistics and running values that survive one group holding a third of all rows.
 
-A window over a hot group sends the whole group to one task. Here rows are first reduced per
-(group, block), where a block is a bounded slice of the group's order; only those block rows,
-at most one per 65 536 rows of a group, are combined per group, and the result is joined back on
-(group, block). The big side is therefore shuffled once, on a key that splits hot groups.
+A window over a hot group sends the whole group to one task. Statistics are therefore aggregates that are
+joined back. Running values first reduce rows per (group, block), where a block is a slice of the
+group's order of 65 536 places; the block rows are combined per group and joined back on (group, block).
+Where numbers are sparse a block holds few rows and the block rows are as many as the group's.
 """
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65536
-SALTS = 64
 
 
 def block_of(order: str, size: int = BLOCK_ROWS) -> Column:
@@ -19,11 +18,6 @@ def block_of(order: str, size: int = BLOCK_ROWS) -> Column:
     return F.expr(f"`{order}` div {size}L")
 
 
-def salt_of(*columns: str, salts: int = SALTS) -> Column:
-    """Slice of rows that have no whole-number order: bounded number of slices per group."""
-    return F.pmod(F.xxhash64(*columns), F.lit(salts))
-
-
 def _join_back(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     renamed = small.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
                            *[c for c in small.columns if c not in keys])
@@ -34,20 +28,17 @@ def _join_back(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, condition, "left").drop(*[f"__k_{k}" for k in keys])
 
 
-_COMBINE = {"min": (F.min, F.min), "max": (F.max, F.max), "sum": (F.sum, F.sum),
-            "count": (F.count, F.sum)}
+_AGGREGATE = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 
 
-def with_stats(rows: DataFrame, keys: list[str], block: Column,
-               stats: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Append group-level ``stats`` (name -> (min|max|sum|count, expression)) to every row."""
-    blocked = rows.withColumn("__block", block)
-    partial = blocked.groupBy(*keys, "__block").agg(
-        *[_COMBINE[how][0](expr).alias(name) for name, (how, expr) in stats.items()])
-    group = Window.partitionBy(*keys)
-    merged = partial.select(*keys, "__block", *[
-        _COMBINE[how][1](name).over(group).alias(name) for name, (how, _) in stats.items()])
-    return _join_back(blocked, merged, [*keys, "__block"]).drop("__block")
+def with_stats(rows: DataFrame, keys: list[str], stats: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Append group-level ``stats`` (name -> (min|max|sum|count, expression)) to every row.
+
+    The statistics are one aggregate, combined before the shuffle, so a hot group sends one row from each
+    task; the join that brings them back has one row a group on its small side, and Spark splits the
+    large side where a group is hot (or broadcasts the small one where it is small)."""
+    merged = rows.groupBy(*keys).agg(*[_AGGREGATE[how](expr).alias(name) for name, (how, expr) in stats.items()])
+    return _join_back(rows, merged, keys)
 
 
 def with_ordinal(rows: DataFrame, keys: list[str], order: str, name: str,
@@ -103,15 +94,7 @@ def paged_lists(rows: DataFrame, keys: list[str], order: str, value: Column, nam
                         F.transform("__l", lambda e: e["__v"]).alias(name))
 
 
-def with_flag_from(rows: DataFrame, other: DataFrame, keys: list[str], block: Column,
-                   name: str) -> DataFrame:
-    """Append whether ``other`` has a row of the same group (an existence join safe for hot groups)."""
-    blocked = rows.withColumn("__block", block.cast("long"))
-    mine = blocked.select(*keys, "__block").distinct().withColumn("__flag", F.lit(0))
-    theirs = (other.select(*keys).distinct()
-              .select(*keys, F.lit(None).cast("long").alias("__block"), F.lit(1).alias("__flag")))
-    group = Window.partitionBy(*keys)
-    merged = (mine.unionByName(theirs)
-              .withColumn(name, F.max("__flag").over(group) == 1)
-              .filter(F.col("__block").isNotNull()).drop("__flag"))
-    return _join_back(blocked, merged, [*keys, "__block"]).drop("__block")
+def with_flag_from(rows: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Append whether ``other`` has a row of the same group."""
+    there = other.select(*keys).distinct().withColumn(name, F.lit(True))
+    return _join_back(rows, there, keys).withColumn(name, F.coalesce(name, F.lit(False)))

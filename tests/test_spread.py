@@ -23,7 +23,7 @@ def same(a, b, cols):
 
 def test_stats_ordinals_and_carry(spark):
     df, w = hot(spark), Window.partitionBy("k")
-    got = S.with_stats(df, ["k"], S.block_of("o", 64), {"lo": ("min", F.col("v")), "n": ("count", F.col("v")), "s": ("sum", F.col("o")), "hi": ("max", F.struct("o", "v"))})
+    got = S.with_stats(df, ["k"], {"lo": ("min", F.col("v")), "n": ("count", F.col("v")), "s": ("sum", F.col("o")), "hi": ("max", F.struct("o", "v"))})
     want = df.withColumns({"lo": F.min("v").over(w), "n": F.count("v").over(w), "s": F.sum("o").over(w), "hi": F.max(F.struct("o", "v")).over(w)})
     same(got, want, ["k", "o", "lo", "n", "s", "hi"])
     run = w.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,7 +53,7 @@ def test_flag_from_other_table(spark):
     df = hot(spark)
     other = df.filter("v > 2900").select("k")
     want = {r.k for r in other.distinct().collect()}
-    for r in S.with_flag_from(df, other, ["k"], S.block_of("o", 64), "f").select("k", "f").distinct().collect():
+    for r in S.with_flag_from(df, other, ["k"], "f").select("k", "f").distinct().collect():
         assert r.f == (r.k in want)
 
 
