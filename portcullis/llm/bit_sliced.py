@@ -93,9 +93,8 @@ def count(bitmap: np.ndarray) -> int:
     return int(np.bitwise_count(bitmap).sum())
 
 
-def leading_sum(index: Slices, query: np.ndarray, leading: int) -> tuple[list[np.ndarray], int, int, int]:
-    """Slices of the leading sum, its shift to the real score, how much the dropped digits may add, and the
-    weight of the lowest slice. Negative factors count the complement of a slice: -w * b = w * (1 - b) - w."""
+def leading_sum(index: Slices, query: np.ndarray, leading: int) -> tuple[list[np.ndarray], int, int]:
+    """Slices of the leading sum, its shift to the real score, and how much the dropped digits may add. Negative factors count the complement of a slice: -w * b = w * (1 - b) - w."""
     columns, shift, slack = Columns(), int((index.low * query).sum()), 0
     ones = None
     for d, factor in enumerate(query.tolist()):
@@ -117,7 +116,7 @@ def leading_sum(index: Slices, query: np.ndarray, leading: int) -> tuple[list[np
                 if size >> w & 1:
                     columns.put(b + w, bitmap)
                 w += 1
-    return columns.settled(index.words), shift, slack, 0
+    return columns.settled(index.words), shift, slack
 
 
 def at_least(slices: list[np.ndarray], bound: int, alive: np.ndarray) -> np.ndarray:
@@ -160,7 +159,7 @@ def top_rows(index: Slices, ids: np.ndarray, q: np.ndarray, query_id: int, query
     n = count(alive)
     if not n:
         return []
-    slices, _, slack, _ = leading_sum(index, query, leading)
+    slices, _, slack = leading_sum(index, query, leading)
     # the dropped digits of a row add between 0 and slack to its leading sum
     rows = at_least(slices, kth_largest(slices, min(k, n), alive) - slack, alive)
     at = np.nonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))[0]

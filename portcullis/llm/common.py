@@ -2,10 +2,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,15 +122,3 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
         return []
     cut = (np.nonzero(values[1:] != values[:-1])[0] + 1).tolist()
     return list(zip([0, *cut], [*cut, len(values)], strict=True))
-
-
-def arrow_rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
-
-
-def per_batch(fn: Callable[[dict], list[list]], schema: pa.Schema):
-    """A mapInArrow function that turns each batch (a dict of Python lists) into rows of ``schema``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield arrow_rows(schema, fn({n: batch.column(n).to_pylist() for n in batch.schema.names}))
-    return run

@@ -23,7 +23,6 @@ gives an empty result.
 from __future__ import annotations
 
 import gzip
-import hashlib
 import io
 import zlib
 from collections.abc import Iterator
@@ -239,7 +238,3 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     revisit = F.col("record_type") == "revisit"
     return read.select("page_id", F.when(revisit, F.col("claimed_bytes")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
                        F.when(revisit, F.col("claimed_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"), "record_type", "refers_to")
-
-
-def digest_of(payload: bytes) -> str:
-    return hashlib.sha256(payload).hexdigest()
