@@ -8,11 +8,11 @@ from portcullis.functions import tables as T
 from portcullis.functions.columns import let
 from portcullis.operators.spread import with_stats
 from portcullis.schema import BLOCK, FAIL, WARN, finding, gather, text, to_rows
+from portcullis.session import kept
 
 MAX_GRAM = 4                       # interior words that anchor a signature
 SHORT_LITERALS = 200               # one- and two-word signatures tested in place
 SHORT_LITERAL_CHARS = 4096
-MAX_ANCHOR_ROWS = 2_000_000        # anchors up to this many are sent to every executor
 
 
 def effective_mode(mode: Column, forced: Column) -> Column:
@@ -101,25 +101,23 @@ def signature_match(items: DataFrame, signatures: DataFrame) -> DataFrame:
     """(item_id, sig_id, how): digest equality, or the signature's text inside the body.
 
     Candidates share an anchor; each is confirmed by ``contains``. Bodies are never paired with
-    signatures they share nothing with. The anchor table is broadcast only when it was counted and
-    is small; otherwise both sides are shuffled on the anchor. Bodies do not travel with their
-    grams: the few candidate pairs are joined back to the bodies by item."""
+    signatures they share nothing with. The anchors are stored once, so Spark knows their bytes and
+    picks the join by its own bound. Bodies do not travel with their grams: the few candidate pairs
+    are joined back to the bodies by item."""
     digests = signatures.select("sig_id", "digest")
     exact = (items.select("item_id", F.sha2("body", 256).alias("digest"))
              .join(digests, "digest").select("item_id", "sig_id", F.lit("digest").alias("how")))
 
-    anchored = anchors(signatures)
-    facts = anchored.agg(F.collect_set("k").alias("sizes"), F.count("*").alias("n")).first()
-    sizes = facts.sizes  # at most MAX_GRAM numbers
+    anchored = kept(anchors(signatures))
+    sizes = anchored.agg(F.collect_set("k").alias("sizes")).first().sizes  # at most MAX_GRAM numbers
     spoken = items.filter(F.col("body").isNotNull())
     found = exact
     if sizes:
-        small = facts.n <= MAX_ANCHOR_ROWS
         grams = let(_words(F.col("body")), lambda w: F.flatten(F.array(
             *[F.coalesce(_grams(w, k), F.array().cast("array<bigint>")) for k in sorted(sizes)])))
         keyed = spoken.select("item_id", F.explode_outer(grams).alias("gram")).filter(F.col("gram").isNotNull())
         keys = anchored.select("sig_id", "gram")
-        pairs = keyed.join(F.broadcast(keys) if small else keys, "gram").select("item_id", "sig_id").distinct()
+        pairs = keyed.join(keys, "gram").select("item_id", "sig_id").distinct()
         hits = (spoken.select("item_id", "body").join(pairs, "item_id")
                 .join(signatures.select("sig_id", "text"), "sig_id")
                 .filter(F.contains("body", "text")).select("item_id", "sig_id"))
