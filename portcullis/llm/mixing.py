@@ -180,7 +180,8 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     groups = stored(plan.groupBy(F.col(id_column).alias("_id"), F.col("size").alias("_size")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
     if groups.where("_rows > 1").isEmpty():
-        joined = docs.join(groups.where("_copies > 0").select("_id", "_copies"), F.col(id_column).eqNullSafe(F.col("_id")))
+        # every document has a row in the plan: both sides grow alike, so the join is a shuffled one at every size
+        joined = docs.join(groups.where("_copies > 0").select("_id", "_copies").hint("merge"), F.col(id_column).eqNullSafe(F.col("_id")))
         return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
     with_size = docs.withColumn("_size", _words(text_bytes(text_column)))
     g = groups.withColumnRenamed("_size", "_s2")
