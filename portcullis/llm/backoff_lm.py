@@ -10,11 +10,11 @@ the token, or takes failure arcs until there is one, and adds up the weights.
 The model of a corpus grows with it and is never in one place. Texts are packed once into stored chunks
 of word numbers. Every chunk asks for the n-grams it holds, as sorted hashes by hash range with its own
 training counts; each range adds up the counts of all chunks and answers every chunk in the order of its
-question; a chunk with its answers is the part of the automaton that its texts can visit. Unigram totals
-come from an aggregate of pre-aggregated counts.
+question; a chunk with its answers is the part of the automaton that its texts can visit. The number of
+training words and of distinct ones come from the chunks' own vocabularies, by hash range.
 
 Hot words and n-grams are counted per chunk before they travel, so a range receives each n-gram at most
-once from a chunk. Hashes have 64 bits.
+once from a chunk. A word's hash has 63 bits, an n-gram's 56.
 
 Defined results: null and empty texts consist of the end token; repeated rows count and are scored each;
 a null doc_id is hashed as the empty text; without training texts N = V = 0 and all words are unknown.
@@ -73,6 +73,11 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
+def word_key(h: np.ndarray) -> np.ndarray:
+    """56-bit key of a word in questions."""
+    return mix(h, 101) >> np.uint64(8)
+
+
 class Chunk:
     """The unpacked texts of a chunk."""
 
@@ -91,7 +96,7 @@ class Chunk:
         longer runs that would begin before it are 0."""
         h = self.vocabulary[self.tokens]
         if k == 1:
-            return mix(h, 101)
+            return word_key(h)
         n = len(h)
         begin = np.zeros(n, np.int64)
         begin[self.ends[:-1]] = 1
@@ -103,10 +108,15 @@ class Chunk:
             back[:j] = 0
             token = np.where(at >= j, back, START)
             out += token * PLACES[j]
-        return np.where(at >= k - 2, mix(out, 100 + k), np.uint64(0))
+        return np.where(at >= k - 2, mix(out, 100 + k) >> np.uint64(8), np.uint64(0))
+
+    def keys(self, order: int) -> np.ndarray:
+        """Ascending distinct n-gram hashes of all orders."""
+        found = [self.ngrams(k) for k in range(1, order + 1)]
+        return np.unique(np.concatenate([*[g[g != 0] for g in found], np.array([START])]))
 
     def questions(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending distinct n-gram hashes of all orders and their counts in the training texts."""
+        """The keys and their counts in the training texts."""
         found, learned = [], []
         for k in range(1, order + 1):
             g = self.ngrams(k)
@@ -121,7 +131,7 @@ class Chunk:
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    return (((keys >> np.uint64(24)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
 def _ask(order: int, ranges: int):
@@ -167,7 +177,7 @@ class Automaton:
         tokens, size = chunk.tokens, len(chunk.vocabulary)
         first = np.zeros(len(tokens), bool)
         first[chunk.ends - chunk.lengths] = True
-        c1 = count(mix(chunk.vocabulary, 101))
+        c1 = count(word_key(chunk.vocabulary))
         begins = int(count(np.array([START]))[0])
         self.size, self.known = size, c1 > 0
         p1 = (c1 + 1) / (n + v + 1)
@@ -228,7 +238,7 @@ def _traverse(order: int, mu: tuple[float, ...], n: int, v: int):
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
         for row in left.to_pylist():
             chunk = Chunk(row)
-            keys, _ = chunk.questions(order)
+            keys = chunk.keys(order)
             totals = np.concatenate([unpack(answers[b]) for b in sorted(answers)])
             auto = Automaton(chunk, keys, totals, n, v, order, mu)
             starts = chunk.ends - chunk.lengths
@@ -242,13 +252,26 @@ def _traverse(order: int, mu: tuple[float, ...], n: int, v: int):
     return run
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in b.to_pylist():
-            chunk = Chunk(row)
-            c = np.bincount(chunk.tokens[chunk.learned], minlength=len(chunk.vocabulary))
-            at = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.vocabulary[at].view(np.int64)), pa.array(c[at].astype(np.int64))], names=["word", "c"])
+_WORDS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("n", pa.int64())])
+
+
+def _training_words(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct training words of each chunk by hash range, and its number of training tokens."""
+        for b in batches:
+            for row in b.to_pylist():
+                chunk = Chunk(row)
+                learned = chunk.vocabulary[np.bincount(chunk.tokens[chunk.learned], minlength=len(chunk.vocabulary)) > 0]
+                bucket = (learned >> np.uint64(64 - bits)).astype(np.int64)
+                out = [(int(bucket[lo]), pack_sorted(learned[lo:hi]), 0) for lo, hi in runs(bucket)]
+                out.append((0, pack_sorted(learned[:0]), int(chunk.learned.sum())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _WORDS, strict=True)], schema=_WORDS)
+    return run
+
+
+def _distinct_words(table: pa.Table) -> pa.Table:
+    words = [unpack_sorted(w) for w in table.column("words").to_pylist()]
+    return pa.table({"v": pa.array([len(np.unique(np.concatenate(words)))], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
 
 def score(docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER,
@@ -259,8 +282,9 @@ def score(docs: DataFrame, training: Column, id_column: str = "doc_id", text_col
     numbered = given.mapInArrow(_pack_chunks, _CHUNKS_SQL)
     # partition and place name a chunk; they are stored with it
     chunks = stored(numbered.withColumn("chunk", F.monotonically_increasing_id()))
-    totals = (chunks.mapInArrow(_unigrams, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-              .agg(F.sum("c").alias("n"), F.count("*").alias("v")).first())
+    bits = min(20, max(6, (chunks.count() // 8).bit_length()))  # some eight chunks' words in a range
+    totals = (chunks.mapInArrow(_training_words(bits), "bucket int, words binary, n long").groupBy("bucket")
+              .applyInArrow(_distinct_words, "v long, n long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first())
     n, v = totals.n or 0, totals.v or 0
     ranges = int(min(max(64, n * order // RANGE), 32_768))
     asked = chunks.mapInArrow(_ask(order, ranges), "bucket int, chunk long, keys binary, counts binary")
