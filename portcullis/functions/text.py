@@ -244,9 +244,13 @@ def _element_path(path: Column) -> Column:
     return F.when(F.length(p) > 120, F.concat(F.lit("..."), F.right(p, F.lit(120)))).otherwise(p)
 
 
+_BROKEN = -1  # of a note that closes what it never opened
+
+
 def classify_markup_note(s: Column) -> Column:
     """A note that is a document with a known root: links in allow-listed elements are expected,
-    all others are reported with their element; NULL when the root is unknown or never closes."""
+    all others are reported with their element; NULL when the root is unknown, never closes, or a tag
+    closes what is not open."""
     root = F.regexp_extract(s, _ROOT, 1)
     tokens = F.regexp_extract_all(s, F.lit(_TOKEN), 1)
     empty = F.array().cast("array<string>")
@@ -269,22 +273,25 @@ def classify_markup_note(s: Column) -> Column:
         inside = F.size(acc["path"]) > 0
         deeper = F.array_append(acc["path"], name)
         hush = acc["quiet"] + F.when(F.array_contains(allowed, name), 1).otherwise(0)
-        top = F.element_at(acc["path"], -1)
-        up = F.slice(acc["path"], F.lit(1), F.size(acc["path"]) - 1)
-        less = acc["quiet"] - F.when(F.array_contains(allowed, top), 1).otherwise(0)
+        # a closing tag closes everything inside the innermost element of its name
+        above = F.size(acc["path"]) - F.array_position(F.reverse(acc["path"]), name).cast("int")
+        up = F.slice(acc["path"], F.lit(1), above)
+        less = F.size(F.filter(up, lambda n: F.array_contains(allowed, n)))
+        known = F.array_contains(acc["path"], name)
         attributes = _unescape(F.concat_ws(" ", F.transform(
             F.regexp_extract_all(t, F.lit(r"=\s*(?:\"([^\"]*)\"|'[^']*')"), 0),
             lambda a: F.regexp_replace(a, r"^=\s*[\"']|[\"']$", ""))))
         cdata = t.startswith("<![CDATA[")
         words = F.when(cdata, F.regexp_extract(t, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)).otherwise(_unescape(t))
         is_text = cdata | ~t.startswith("<")
-        return (F.when(acc["closed"], state(acc["path"], acc["quiet"], acc["closed"], acc["links"],
+        return (F.when(acc["quiet"] == _BROKEN, acc)
+                 .when(acc["closed"], state(acc["path"], acc["quiet"], acc["closed"], acc["links"],
                                             F.concat(acc["rest"], t)))
                  .when(opens & selfclosed,
                        state(acc["path"], acc["quiet"], ~inside, report(acc, deeper, hush, attributes), acc["rest"]))
                  .when(opens, state(deeper, hush, acc["closed"], report(acc, deeper, hush, attributes), acc["rest"]))
-                 .when(ends & inside,
-                       state(up, less, F.size(acc["path"]) == 1, acc["links"], acc["rest"]))
+                 .when(ends & inside & known, state(up, less, above == 0, acc["links"], acc["rest"]))
+                 .when(ends & inside, state(acc["path"], F.lit(_BROKEN), acc["closed"], acc["links"], acc["rest"]))
                  .when(is_text & inside,
                        state(acc["path"], acc["quiet"], acc["closed"], report(acc, acc["path"], acc["quiet"], words),
                              acc["rest"]))

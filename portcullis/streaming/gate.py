@@ -50,15 +50,19 @@ def pass_writer(report_path: str, profile: Profile, act: Callable[[DataFrame], N
 
     The report is written under the pass number, so a repeated pass replaces its own report."""
     def write(batch: DataFrame, number: int) -> None:
-        judged = batch.withColumn("path", F.col("item_id")) if "path" not in batch.columns else batch
-        if judged.isEmpty():
-            return
-        now = F.current_timestamp()
-        head = run_header(judged, tool="portcullis", version="0.1.0", command="watch", profile=profile.name,
-                          started=now, finished=now)
-        head.select(F.col("header").alias("value")).write.mode("overwrite").text(f"{report_path}/pass={number}")
-        if act is not None:
-            act(batch)
+        batch.persist()  # used three times; what a lost executor held is scanned again
+        try:
+            judged = batch.withColumn("path", F.col("item_id")) if "path" not in batch.columns else batch
+            if judged.isEmpty():
+                return
+            now = F.current_timestamp()
+            head = run_header(judged, tool="portcullis", version="0.1.0", command="watch", profile=profile.name,
+                              started=now, finished=now)
+            head.select(F.col("header").alias("value")).write.mode("overwrite").text(f"{report_path}/pass={number}")
+            if act is not None:
+                act(batch)
+        finally:
+            batch.unpersist()
     return write
 
 

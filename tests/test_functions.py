@@ -83,6 +83,8 @@ NOTES = [
     ("<movie><note><![CDATA[<b> http://a.example.com/4]]></note></movie>", "xml", "movie", "", ["movie/note: http://a.example.com/4"]),
     ("<movie><note>htt&#112;&#x3a;//a.example.com/5</note></movie>", "xml", "movie", "", ["movie/note: http://a.example.com/5"]),
     ("<movie><note>http://a.exa\u200bmple.com/6</note></movie>", "xml", "movie", "", ["movie/note: http://a.example.com/6"]),
+    ("<movie><thumb>http://a.example.com/t</movie>", "xml", "movie", "", []), ("<movie><a><b>x</a><c>http://a.example.com/7</c></movie>", "xml", "movie", "", ["movie/c: http://a.example.com/7"]),
+    ("<movie></year></movie>", "text", "", "", []),
     ("<m:movie xmlns:m='urn:x'><m:note>fine</m:note></m:movie>", "xml", "movie", "", []),
     ("<movie>" + "".join(f"<n>http://h{i}.example.com</n>" for i in range(45)) + "</movie>", "xml", "movie", "", [f"movie/n: http://h{i}.example.com" for i in range(45)]),
 ]
