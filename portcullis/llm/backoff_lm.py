@@ -11,7 +11,8 @@ The model of a corpus grows with it and is never in one place. Texts are packed
 of word numbers. Every chunk asks for the n-grams it holds, as sorted hashes by hash range with its own
 training counts; each range adds up the counts of all chunks and answers every chunk in the order of its
 question; a chunk with its answers is the part of the automaton that its texts can visit. The number of
-training words and of distinct ones come from the chunks' own vocabularies, by hash range.
+training words and of distinct ones come from the chunks' own vocabularies, by hash range. The ranges are
+asked in ``PASSES`` turns: only the answers of a turn are stored, its questions leave the disk.
 
 Hot words and n-grams are counted per chunk before they travel, so a range receives each n-gram at most
 once from a chunk. A word's hash has 63 bits, an n-gram's 56.
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from portcullis.llm.common import PLACES, WordHashes, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, unpack, unpack_sorted, words
 
-#: Length of the n-grams, 2 or 3. With 3 the questions alone take three times the input on disk.
-ORDER = 2
+#: Length of the n-grams, 2 or 3.
+ORDER = 3
 #: Prior weight of the shorter model, for contexts of one and of two words.
 MU = (8.0, 24.0)
 #: Tokens of a chunk, and n-grams of a hash range.
 CHUNK, RANGE = 600_000, 1_500_000
+#: Turns in which the ranges are asked: so many times less of the questions is on disk at once.
+PASSES = 3
 #: Hashes of the marks; no word hashes to them, as words are hashed to even numbers.
 START, END = np.uint64(1), np.uint64(3)
 
@@ -115,17 +118,17 @@ class Chunk:
         found = [self.ngrams(k) for k in range(1, order + 1)]
         return np.unique(np.concatenate([*[g[g != 0] for g in found], np.array([START])]))
 
-    def questions(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys and their counts in the training texts."""
+    def questions(self, order: int, ranges: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys in the ranges of one turn, and their counts in the training texts."""
         found, learned = [], []
         for k in range(1, order + 1):
             g = self.ngrams(k)
-            used = g != 0
+            used = (g != 0) & (_range_of(g, ranges) % PASSES == turn)
             found.append(g[used])
             learned.append(self.learned[used])
-        # how often each text is begun
-        found.append(np.full(len(self.lengths), START))
-        learned.append(self.training)
+        if turn == 0:  # how often each text is begun; the mark lies in the first range
+            found.append(np.full(len(self.lengths), START))
+            learned.append(self.training)
         keys, at = np.unique(np.concatenate(found), return_inverse=True)
         return keys, np.bincount(at, weights=np.concatenate(learned), minlength=len(keys)).astype(np.uint64)
 
@@ -134,13 +137,13 @@ def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return (((keys >> np.uint64(24)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def _ask(order: int, ranges: int):
+def _ask(order: int, ranges: int, turn: int):
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                keys, counts = Chunk(row).questions(order)
+                keys, counts = Chunk(row).questions(order, ranges, turn)
                 to = _range_of(keys, ranges)
                 out = [(int(to[lo]), row["chunk"], pack_sorted(keys[lo:hi]), pack(counts[lo:hi])) for lo, hi in runs(to)]
                 for lo in range(0, len(out), 64):
@@ -287,8 +290,11 @@ def score(docs: DataFrame, training: Column, id_column: str = "doc_id", text_col
               .applyInArrow(_distinct_words, "v long, n long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first())
     n, v = totals.n or 0, totals.v or 0
     ranges = int(min(max(64, n * order // RANGE), 32_768))
-    asked = chunks.mapInArrow(_ask(order, ranges), "bucket int, chunk long, keys binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, totals binary")
+    answered = None
+    for turn in range(PASSES):
+        asked = chunks.mapInArrow(_ask(order, ranges, turn), "bucket int, chunk long, keys binary, counts binary")
+        part = stored(asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, totals binary"))
+        answered = part if answered is None else answered.union(part)
     out = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(
         _traverse(order, mu, n, v), "id long, training boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_column), "training", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -18,6 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Spark deletes an action's own shuffle files when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch where rows carry whole texts: buffers on both sides of a Python worker stay small.
 TEXT_ROWS = 1000
 
@@ -32,10 +34,15 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder, read back: several readers do
-    not recompute it, and a lost executor does not lose it."""
+    not recompute it, and a lost executor does not lose it. The shuffle files of the write go with it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -59,3 +59,14 @@ def test_empty_and_no_training(spark):
     two = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = L.score(spark.createDataFrame([(two, "x y")], "doc_id long, text string"), crc_rest("doc_id", 7) != 2).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_query_scores_with_contexts_of_two_words(spark, tmp_path):
+    """The registered query has the model of three words, whatever turns its ranges are asked in."""
+    from portcullis.llm.queries import QUERIES
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(12))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in QUERIES["op3_backoff_automaton"](spark, str(tmp_path)).collect()}
+    for w in brute(rows, 3, L.MU):
+        assert math.isclose(got[w[0]], w[6], rel_tol=1e-9), w
