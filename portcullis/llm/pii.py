@@ -34,11 +34,11 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 _WORD = r"(?<![A-Za-z0-9_])"
 _END = r"(?![A-Za-z0-9_])"
-PATTERN = re.compile("|".join([
+KINDS = [
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})",
     rf"(?P<access_key>{_WORD}(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END})",
-    r"(?P<assigned>(?i:password|passwd|secret|token|api_?key)(?:\s{0,3}[=:]\s{0,3})[\"']?(?P<value>[A-Za-z0-9+/_-]{8,128}))",
-    rf"(?P<prefixed>{_WORD}(?:ghp_|gho_|sk-|xoxb-|xoxp-)(?P<rest>[A-Za-z0-9-]{{16,128}}){_END})",
+    r"(?P<assigned>(?i:password|passwd|secret|token|api_?key)(?:\s{0,3}[=:]\s{0,3})[\"']?(?P<value>[A-Za-z0-9+/_-]{8,}))",
+    rf"(?P<prefixed>{_WORD}(?:ghp_|gho_|sk-|xoxb-|xoxp-)(?P<rest>[A-Za-z0-9-]{{16,}}){_END})",
     rf"(?P<iban>{_WORD}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}{_END})",
     rf"(?P<iso_date>{_WORD}(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}{_END})",
     rf"(?P<day_date>{_WORD}[0-9]{{2}}[/.][0-9]{{2}}[/.](?:19|20)[0-9]{{2}}{_END})",
@@ -46,7 +46,16 @@ PATTERN = re.compile("|".join([
     rf"(?P<ssn>{_WORD}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?!-?[0-9A-Za-z_]))",
     rf"(?P<card>{_WORD}[0-9](?:[ -]?[0-9]){{12,18}}{_END})",
     r"(?P<phone>(?<![A-Za-z0-9_+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z_]))",
-]))
+]
+PATTERN = re.compile("|".join(KINDS))
+#: The same kinds one by one, for what else may begin where a value is not valid.
+EACH = {re.match(r"\(\?P<(\w+)>", p)[1]: re.compile(p) for p in KINDS}
+#: Characters (without separators) of the shortest value of a kind whose match may run into the next word.
+SHORTEST = {"card": 13, "iban": 15}
+#: Kinds whose written form is decisive: an impossible date or number of that form is nothing else.
+DECISIVE = {"ssn", "iso_date", "day_date"}
+_WORD_CHARACTER = re.compile(r"[A-Za-z0-9_]")
+_ACCESS = re.compile("AKIA|ASIA")
 _RUN = re.compile(r"[A-Za-z0-9]+|.", re.S)
 _NEEDED = bytes(c for c in range(256) if c not in b"0123456789@")
 
@@ -207,10 +216,9 @@ _NUMBERS = {"email": _email, "card": _card, "ip": _ip, "iso_date": _iso_date, "d
             "phone": _phone}
 
 
-def replacement(m: re.Match, key: bytes, back: bool = False) -> tuple[str, str] | None:
-    """(kind, new text) of a match, or None where the value is not valid."""
+def replacement(m: re.Match, key: bytes, back: bool, kind: str) -> tuple[str, str] | None:
+    """(kind, new text) of a match of that kind, or None where the value is not valid."""
     found = m.group()
-    kind = next(k for k in (*_NUMBERS, "access_key", "assigned", "prefixed") if m.group(k) is not None)
     if kind == "access_key":
         return "secret", found[:4] + permute_characters(key, "access", found[4:], back)
     if kind in ("assigned", "prefixed"):
@@ -223,18 +231,48 @@ def replacement(m: re.Match, key: bytes, back: bool = False) -> tuple[str, str]
     return None if new is None else (kind, new)
 
 
+def _first_valid(m: re.Match, key: bytes, back: bool) -> tuple[int, tuple[str, str]] | None:
+    """End and replacement of the valid value that begins where ``m`` does: the longest of the first kind that
+    has one. A card or IBAN may have run into the number or word behind it, so its shorter ends count too."""
+    text, start = m.string, m.start()
+    first = next(k for k in EACH if m.group(k) is not None)
+    kinds = list(EACH)
+    for kind in [first] if first in DECISIVE else kinds[kinds.index(first):]:
+        k = m if kind == first else EACH[kind].match(text, start)
+        while k is not None:
+            got = replacement(k, key, back, kind)
+            if got is not None:
+                return k.end(), got
+            if kind not in SHORTEST:
+                break
+            end = k.end() - 1
+            k = None
+            while end > start and k is None:
+                if sum(c.isalnum() for c in text[start:end]) < SHORTEST[kind]:
+                    break
+                # a value ends where no letter or digit follows
+                if text[end - 1].isalnum() and not _WORD_CHARACTER.match(text, end):
+                    k = EACH[kind].fullmatch(text, start, end)
+                end -= 1
+    return None
+
+
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """New text and (start, end, kind) of each finding. ``back`` inverts the map on such a text."""
     spans, out, at, start = [], [], 0, 0
     while (m := PATTERN.search(text, start)) is not None:
-        got = replacement(m, key, back)
-        if got is None:
+        found = _first_valid(m, key, back)
+        if found is None:
             # not valid: look again behind its first run of digits or letters
             start = max(_RUN.match(text, m.start()).end(), m.start() + 1)
+            if m.group("prefixed") is not None:  # without digits: only an access key can begin inside, the rest is not read again
+                inside = _ACCESS.search(text, start, m.end())
+                start = inside.start() if inside else m.end()
             continue
+        end, got = found
         out += [text[at:m.start()], got[1]]
-        spans.append((m.start(), m.end(), got[0]))
-        at = start = m.end()
+        spans.append((m.start(), end, got[0]))
+        at = start = end
     return ("".join(out) + text[at:], spans) if spans else (text, spans)
 
 

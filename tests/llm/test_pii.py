@@ -65,3 +65,24 @@ def test_rows(spark):
     assert out[2][5] == "phone" and len(out[2][1]) == len("call +1 (212) 555-0101 ") + 400000
     assert out[3] == out[4] and out[3][1] == P.pseudonymise("é 10.20.30.40 ß", KEY)[0] != "é 10.20.30.40 ß"
     assert P.rewrite(docs.limit(0)).count() == 0
+
+
+def test_values_before_numbers_words_and_long_secrets():
+    """A valid value counts although the longest match runs on into what follows it."""
+    for value, kind, behind in [
+            ("4111111111111111", "card", " 123"), ("4111 1111 1111 1111", "card", " 05/27"), ("4111-1111-1111-1111", "card", " 12 345 6"),
+            ("GB82WEST12345698765432", "iban", " BIC DEUTDEFF"), ("GB82 WEST 1234 5698 7654 32", "iban", " EUR"),
+            ("GB82WEST12345698765432", "iban", " EUR 100")]:
+        text = f"pay {value}{behind}"
+        new, spans = P.pseudonymise(text, KEY)
+        assert spans[0] == (4, 4 + len(value), kind) and value not in new and len(new) == len(text), text
+        assert P.pseudonymise(new, KEY, back=True)[0] == text
+    # a failed card number may be a telephone number
+    assert [s[2] for s in P.pseudonymise("0044 20 7946 0958", KEY)[1]] == ["phone"]
+    for head in ("password=", "ghp_"):
+        secret = "a1B2c3D4e5" * 30
+        new, spans = P.pseudonymise(f"x {head}{secret} y", KEY)
+        assert [s[2] for s in spans] == ["secret"] and secret[-100:] not in new
+        assert P.pseudonymise(new, KEY, back=True)[0] == f"x {head}{secret} y"
+    plain = "sk-" * 100_000 + "AKIA" + "ABCD" * 4
+    assert [t[2] for t in P.pseudonymise(plain, KEY)[1]] == ["secret"]
