@@ -131,6 +131,11 @@ def _round(cells: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
     """id, size, source_size, target, taken and copies of every row."""
+    return _planned(docs, id_column, source_column, text_column).drop("source").toDF(id_column, "size", "source_size", "target", "taken", "copies")
+
+
+def _planned(docs: DataFrame, id_column: str, source_column: str, text_column: str) -> DataFrame:
+    """id, source, size, words, target, taken and copies of every row."""
     rows = stored(sized(docs, id_column, source_column, text_column))
     cells = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
@@ -145,7 +150,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     copies = rated.select("source", "size", "n", "rate").groupBy("source").applyInPandas(_round, "source string, size long, copies long")
     plan = (rated.drop("rate").alias("r").join(copies.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")))
             .select("r.source", "r.size", "n", "words", "target", "copies"))
-    return _spread(rows, stored(plan)).toDF(id_column, "size", "source_size", "target", "taken", "copies")
+    return _spread(rows, stored(plan))
 
 
 def _spread(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -169,24 +174,23 @@ def _spread(rows: DataFrame, plan: DataFrame) -> DataFrame:
     place = F.col("rank") + F.coalesce("begin", F.lit(0))
     each = F.floor(F.col("copies") / F.col("n"))
     n = each + F.when(place <= F.col("copies") - each * F.col("n"), 1).otherwise(0)
-    return ranked.select("id", "size", "words", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
+    return ranked.select("id", "source", "size", "words", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
 
 
 def repeated(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. Rows that share an id, source and size share
     their copies as evenly as the mix dealt them."""
     from pyspark.sql import Window
-    plan = mix(docs, id_column, source_column, text_column)
-    groups = stored(plan.groupBy(F.col(id_column).alias("_id"), F.col("size").alias("_size")).agg(
+    plan = _planned(docs, id_column, source_column, text_column)
+    groups = stored(plan.groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_s2")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
+    with_size = small_batches(docs).withColumn("_size", _words(text_bytes(text_column)))
+    # every document has a row in the plan: both sides grow alike, so the join is a shuffled one at every size
+    joined = with_size.join(groups.where("_copies > 0").hint("merge"), F.col(id_column).eqNullSafe(F.col("_id"))
+                            & F.col(source_column).cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_s2")))
     if groups.where("_rows > 1").isEmpty():
-        # every document has a row in the plan: both sides grow alike, so the join is a shuffled one at every size
-        joined = docs.join(groups.where("_copies > 0").select("_id", "_copies").hint("merge"), F.col(id_column).eqNullSafe(F.col("_id")))
         return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
-    with_size = docs.withColumn("_size", _words(text_bytes(text_column)))
-    g = groups.withColumnRenamed("_size", "_s2")
-    joined = with_size.join(g, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s2")))
-    rank = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.col(source_column), F.xxhash64(text_column)))
+    rank = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_column)))
     each = F.floor(F.col("_copies") / F.col("_rows"))
     n = each + F.when(rank <= F.col("_copies") - each * F.col("_rows"), 1).otherwise(0)
     return (joined.withColumn("_n", n.cast("int")).where("_n > 0")

@@ -84,3 +84,20 @@ def test_rates_are_the_tilted_ones(spark):
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
     assert [tuple(r) for r in M.mix(spark.createDataFrame([(1, None, None)], "doc_id long, source string, text string")).collect()] == [(1, 0, 0, 0.0, 0, 0)]
+
+
+def test_repeated_keeps_the_bound_for_ids_of_several_sizes(spark):
+    """Rows of one id, or of none, that differ in size or source each take their own copies."""
+    given = [(1, "a", "x " * 3), (1, "a", "x " * 7), (1, "b", "y " * 3), (2, "b", "z " * 5), *[(None, "a", "n " * k) for k in range(1, 12)]]
+    docs = spark.createDataFrame(given, "doc_id long, source string, text string")
+    plan = defaultdict(int)
+    for r in M._planned(docs, "doc_id", "source", "text").collect():
+        plan[r.id, r.source, r.size] += r.copies
+    got = defaultdict(int)
+    for r in M.repeated(docs).collect():
+        got[r.doc_id, r.source, len(r.text.split())] += 1
+    assert max(got.values()) <= M.MOST and got == {k: n for k, n in plan.items() if n}
+    again = defaultdict(int)
+    for r in M.repeated(docs.union(spark.createDataFrame([(1, "b", "v " * 3)], docs.schema))).collect():
+        again[r.doc_id, r.source, len(r.text.split())] += 1
+    assert all(n <= M.MOST * (2 if k == (1, "b", 3) else 1) for k, n in again.items())
