@@ -18,6 +18,11 @@ works on classes.
    several small ones; blocks that share a bucket are compared, in memory, for the pairs between components
    only. A pair is verified only if its prefixes meet in all three orders.
 
+Steps 3 and 4 give components without all links. ``link_counts`` verifies every pair of classes whose
+prefixes meet in all three orders: pairs of small buckets as rows, classes of larger ones in blocks of a
+family (classes that large buckets connect), each pair of blocks compared once, in memory, and only numbers
+of links leave it.
+
 No bucket is capped: whatever is not settled by its hub goes through step 4. Hashes have 48 bits inside a
 set and 64 bits for a class; two texts are confused with a chance below 1e-8 a pair.
 
@@ -434,14 +439,80 @@ def _large_buckets(large: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_compare_blocks, "a long, b long")
 
 
-def _classified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, n, k (class), label (component of classes), component_id and class_id of every row."""
+def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of links that each class has in pairs of two blocks, or of a block with itself."""
+    for b in batches:
+        for xs, ys, same in zip(b.column("xs").to_pylist(), b.column("ys").to_pylist(), b.column("same").to_pylist(), strict=True):
+            size, key = np.array([y["n"] for y in ys]), np.array([y["k"] for y in ys])
+            orders = [_Stack([unpack_sorted(y[p]) for y in ys]) for p in ("p1", "p2", "p3")]
+            whole = [unpack_sorted(y["t"]) for y in ys]
+            links: dict[int, int] = {}
+            for x in xs:
+                may = (LINK_DEN * size >= LINK_NUM * x["n"]) & (LINK_DEN * x["n"] >= LINK_NUM * size)
+                if same:
+                    may &= key > x["k"]
+                for order, p in zip(orders, ("p1", "p2", "p3"), strict=True):
+                    if not may.any():
+                        break
+                    may &= order.meet(unpack_sorted(x[p])) > 0
+                if not may.any():
+                    continue
+                t = unpack_sorted(x["t"])
+                for j in np.nonzero(may)[0]:
+                    if linked(meet(t, whole[j]), x["n"], ys[j]["n"]):
+                        for k in (x["k"], ys[j]["k"]):
+                            links[k] = links.get(k, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64())], names=["k", "links"])
+
+
+def _pack_p1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        p1 = pa.array([pack_sorted(np.array(p, np.uint64)) for p in b.column("p1").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([p1 if c == "p1" else b.column(c) for c in b.schema.names], names=b.schema.names)
+
+
+def link_counts(sets: DataFrame) -> DataFrame:
+    """k and links, the number of other classes it links with, of every class that has a link."""
+    postings = sets.select("k", "n", F.explode("p1").alias("token"))
+    buckets = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("k").alias("head")).where("c > 1")
+    shared = stored(postings.join(buckets, "token"))
+    small = shared.where(F.col("c") <= SMALL_BUCKET)
+    other = small.select("token", F.col("k").alias("b"), F.col("n").alias("nb"))
+    pairs = small.join(other, "token").where((F.col("k") < F.col("b")) & _near("n", "nb")).select(F.col("k").alias("a"), "b").distinct()
+    large = shared.where(F.col("c") > SMALL_BUCKET)
+    counts = None
+    if not large.isEmpty():
+        family = components(large.select(F.col("k").alias("a"), F.col("head").alias("b")))
+        family = stored(family.select(F.col("node").alias("k"), F.col("label").alias("family")))
+        slices = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
+        placed = stored(family.join(slices, "family").select("k", F.xxhash64("family", F.pmod(F.xxhash64("k"), "slices")).alias("block")))
+        # tokens of the same blocks count once
+        at = large.select("token", "k").join(placed, "k").groupBy("token").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
+        met = stored(at.select("blocks", F.explode("blocks").alias("block")).select("block", F.explode("blocks").alias("block2"))
+                     .where("block <= block2").distinct())
+        blocks = stored(placed.join(sets.drop("central").mapInArrow(_pack_p1, "k long, n long, t binary, p1 binary, p2 binary, p3 binary"), "k")
+                        .groupBy("block").agg(F.collect_list(F.struct("k", "n", "t", "p1", "p2", "p3")).alias("xs")))
+        both = met.join(blocks, "block").join(blocks.toDF("block2", "ys"), "block2").select("xs", "ys", (F.col("block") == F.col("block2")).alias("same"))
+        counts = both.mapInArrow(_count_blocks, "k long, links long")
+        # pairs whose blocks are compared are counted there
+        place = placed.select(F.col("k").alias("_k"), "block")
+        pairs = (pairs.join(place.toDF("_a", "x"), F.col("a") == F.col("_a"), "left").join(place.toDF("_b", "y"), F.col("b") == F.col("_b"), "left")
+                 .join(met, (F.least("x", "y") == F.col("block")) & (F.greatest("x", "y") == F.col("block2"))
+                       & F.col("x").isNotNull() & F.col("y").isNotNull(), "left_anti").select("a", "b"))
+    found = verify(pairs, sets).select(F.explode(F.array("a", "b")).alias("k"), F.lit(1).cast("long").alias("links"))
+    return (found if counts is None else found.union(counts)).groupBy("k").agg(F.sum("links").alias("links"))
+
+
+def _classified(docs: DataFrame, id_column: str, text_column: str, count_links: bool = False) -> DataFrame:
+    """id, n, k (class), label (component of classes), component_id and class_id of every row; with
+    ``count_links`` also links, from all pairs."""
     given = small_batches(docs).select(F.col(id_column).alias("id"), text_bytes(text_column).alias("_text"))
     kind = given.schema["id"].dataType.simpleString()
     described = stored(given.mapInArrow(_describe(HEAVY_SHARE), f"id {kind}, k long, n long, token long, docs long"))
     rows = described.where("n IS NOT NULL").select("id", "k", "n")
     classes = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("class_id"))
-    label = components(links(candidate_sets(given, described)))
+    sets = candidate_sets(given, described)
+    label = components(links(sets))
     joined = stored(label.select(F.col("node").alias("k"), "label").join(classes, "k"))
     named = joined.join(joined.groupBy("label").agg(F.min("class_id").alias("component_id")), "label").select("k", "label", "component_id")
     every = classes.join(named, "k", "left").select("k", F.coalesce("label", "k").alias("label"), "class_id",
@@ -450,7 +521,18 @@ def _classified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     nothing = F.lit(None).cast("long")
     without = rows.where("k IS NULL").select("id", "n", nothing.alias("k"), nothing.alias("label"), F.col("id").alias("component_id"),
                                              F.col("id").alias("class_id"))
-    return with_words.union(without)
+    if not count_links:
+        return with_words.union(without)
+    counted = stored(link_counts(sets)).withColumnRenamed("k", "_k")
+    return (with_words.join(counted, F.col("k") == F.col("_k"), "left").select(*with_words.columns, F.coalesce("links", F.lit(0)).alias("links"))
+            .union(without.withColumn("links", F.lit(0).cast("long"))))
+
+
+def linked_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The columns of ``near_duplicates`` and n_links, the number of other classes (different sets) that the row's
+    class links with, over all pairs."""
+    return _classified(docs, id_column, text_column, count_links=True).select("id", "n", "component_id", "class_id", "links").toDF(
+        id_column, "n_shingles", "component_id", "class_id", "n_links")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

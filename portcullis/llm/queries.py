@@ -51,7 +51,7 @@ def op8_bpe_backtracking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+    return ngram_join.linked_documents(table(spark, sf, "documents"))
 
 
 @query

@@ -65,3 +65,23 @@ def test_empty_and_clashing_columns(spark):
     assert J.near_duplicates(none).count() == 0
     one = spark.createDataFrame([(1, "x", 1, 1)], "doc_id long, text string, k int, id int")
     assert [tuple(r) for r in J.near_duplicates(one).collect()] == [(1, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("small", [32, 4])
+def test_all_links_are_counted(spark, monkeypatch, tmp_path, small):
+    """The registered query gives each row the number of all different sets that link with its own."""
+    from portcullis.llm.queries import QUERIES
+    monkeypatch.setattr(J, "SMALL_BUCKET", small)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    # one word changed at a time: many links, and pairs on both sides of the bound
+    near = [(800000 + i, " ".join(f"n{j}" if j != i % 100 else f"x{i}" for j in range(150 if i % 3 else 118))) for i in range(80)]
+    rows = [*corpus(random.Random(3), groups=4), *near, (900001, None), (900003, "a b c d e f"), (900004, "A b c d e f")]
+    sets = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets[d] = frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    every = set(sets.values())
+    want = {s: sum(o != s and 4 * len(s & o) >= 3 * len(s | o) for o in every) for s in every}
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_links for r in QUERIES["op2_ngram_jaccard"](spark, str(tmp_path)).collect()}
+    assert got == {d: want[s] for d, s in sets.items()} and max(got.values()) > 40
