@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import backoff_lm, bit_sliced, bpe, knn_quality, licenses, mixing, multi_index, ngram_join, pii, warc
+from portcullis.llm import backoff_lm, bit_sliced, bpe, importance, knn_quality, licenses, mixing, multi_index, ngram_join, pii, warc
 from portcullis.llm.common import crc_rest, table
 from portcullis.session import checkpoint_dir
 
@@ -119,3 +119,36 @@ EVERY_100 = 100
 @query
 def op6_multi_index_hashing(spark: SparkSession, sf: str) -> DataFrame:
     return multi_index.neighbours(table(spark, sf, "embeddings"), lambda i: i % EVERY_100 == 0, k=10)
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    out = importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of a list of bytes, by its bitwise table of 256 entries.
+_SQL_CRC = """byte_table AS (SELECT list(c ORDER BY i) AS crc FROM (
+   SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+   FROM (SELECT unnest(range(256)) AS i)))"""
+
+sql("op12_importance_resampling", f"""WITH {_SQL_CRC},
+ texts AS (SELECT doc_id, false AS target, row_number() OVER () AS r, text FROM documents
+           UNION ALL SELECT NULL, true, row_number() OVER (), text FROM benchmark),
+ split AS (SELECT doc_id, target, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM texts),
+ used AS (SELECT target, r, w, count(*) AS n FROM (SELECT target, r, unnest(ws) AS w FROM split) GROUP BY ALL),
+ hexed AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM used)),
+ bucketed AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2),
+      lambda i: CAST((instr('0123456789ABCDEF', x[i:i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1:i + 1]) - 1 AS BIGINT))),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, byte_table),
+ f AS (SELECT target, r, bucket, n FROM used JOIN bucketed USING (w)),
+ counted AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (NOT target), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (target), 0) AS DOUBLE) AS t FROM f GROUP BY bucket),
+ gained AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counted) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counted) + 10000)))) AS BIGINT) AS gain FROM counted),
+ summed AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN gained USING (bucket) WHERE NOT target GROUP BY r),
+ scored AS (SELECT doc_id, r, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+   FROM split LEFT JOIN summed USING (r) WHERE NOT target),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) AS place,
+   count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM scored)
+ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed""")
