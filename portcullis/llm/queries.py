@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import backoff_lm, bit_sliced, bpe, importance, knn_quality, licenses, mixing, multi_index, ngram_join, pii, warc
+from portcullis.llm import backoff_lm, bit_sliced, bpe, importance, knn_quality, licenses, mixing, multi_index, ngram_join, pii, prefix_trie, warc
 from portcullis.llm.common import crc_rest, table
 from portcullis.session import checkpoint_dir
 
@@ -152,3 +152,36 @@ sql("op12_importance_resampling", f"""WITH {_SQL_CRC},
  placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) AS place,
    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM scored)
  SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed""")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
+sql("op13_prefix_trie", f"""WITH {_SQL_CRC},
+ given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ ids AS (SELECT conv_id, turn, md5(CAST(length(role) AS VARCHAR) || ':' || role || text) AS id,
+   len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM given),
+ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS p FROM ids),
+ decimals AS (SELECT conv_id AS c, hex(encode(CAST(conv_id AS VARCHAR))) AS x FROM given GROUP BY conv_id),
+ c AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2),
+      lambda i: CAST((instr('0123456789ABCDEF', x[i:i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1:i + 1]) - 1 AS BIGINT))),
+      lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM decimals, byte_table),
+ r AS (SELECT c, 0 AS part, p, id, words FROM c JOIN t ON t.conv_id = c.base AND p <= h
+       UNION ALL SELECT c, 1, p, id, words FROM c JOIN t ON t.conv_id = c.c AND p > h),
+ placed AS (SELECT c, id, words, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM r),
+ paths AS (SELECT c.c, list(id ORDER BY d) FILTER (d IS NOT NULL) AS path, count(d) AS n FROM c LEFT JOIN placed USING (c) GROUP BY c.c),
+ pre AS (SELECT c, n, d, CASE WHEN d = 0 THEN '' ELSE array_to_string(path[1:d], ',') END AS node FROM (SELECT c, path, n, unnest(range(n + 1)) AS d FROM paths)),
+ nodes AS (SELECT node, any_value(pre.d) AS d, min(pre.c) AS conv_id, count(*) AS n_convs, max(coalesce(words, 0)) AS words, max(n) AS longest,
+     coalesce(string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c) FILTER (n = pre.d), '') AS ending
+   FROM pre LEFT JOIN placed ON placed.c = pre.c AND placed.d = pre.d GROUP BY node),
+ up AS (SELECT DISTINCT a.node AS top, b.node FROM pre a JOIN pre b ON a.c = b.c AND a.d <= b.d),
+ under AS (SELECT top, sum(CASE WHEN longest = d THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved
+   FROM up JOIN nodes USING (node) GROUP BY top),
+ parents AS (SELECT DISTINCT b.node, a.node AS parent FROM pre a JOIN pre b ON a.c = b.c AND a.d + 1 = b.d),
+ kids AS (SELECT parent, count(*) AS n_children FROM parents GROUP BY parent)
+ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+   CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ending) AS ends_sha256
+ FROM nodes n JOIN under u ON u.top = n.node LEFT JOIN kids k ON k.parent = n.node
+   LEFT JOIN parents p ON p.node = n.node LEFT JOIN nodes q ON q.node = p.parent""")
