@@ -46,7 +46,8 @@ def turns(conversations: DataFrame) -> DataFrame:
     digest = F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary")))
     t = F.concat(digest, F.unhex(F.lpad(F.hex(words), 16, "0")))
     given = conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), t.alias("t"))
-    return with_group_position(given, "conv_id", [F.col("turn").asc_nulls_first(), F.col("t")], "p").select("conv_id", "p", "t")
+    # stored first: the range partitions are sampled, and texts are read once
+    return with_group_position(stored(given), "conv_id", [F.col("turn").asc_nulls_first(), F.col("t")], "p").select("conv_id", "p", "t")
 
 
 def words_of(t: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import backoff_lm, bit_sliced, bpe, importance, knn_quality, licenses, mixing, multi_index, ngram_join, pii, prefix_trie, warc
+from portcullis.llm import backoff_lm, bit_sliced, bpe, importance, knn_quality, licenses, mixing, multi_index, ngram_join, pii, prefix_trie, toxicity, warc
 from portcullis.llm.common import crc_rest, table
 from portcullis.session import checkpoint_dir
 
@@ -185,3 +185,15 @@ sql("op13_prefix_trie", f"""WITH {_SQL_CRC},
    CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ending) AS ends_sha256
  FROM nodes n JOIN under u ON u.top = n.node LEFT JOIN kids k ON k.parent = n.node
    LEFT JOIN parents p ON p.node = n.node LEFT JOIN nodes q ON q.node = p.parent""")
+
+
+#: Documents whose score reaches it count as toxic.
+TOXIC_THRESHOLD = 0.5
+
+
+@query
+def op11_toxicity_bigru(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), (crc_rest("id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
