@@ -289,7 +289,7 @@ def score(docs: DataFrame, training: Column, id_column: str = "doc_id", text_col
     totals = (chunks.mapInArrow(_training_words(bits), "bucket int, words binary, n long").groupBy("bucket")
               .applyInArrow(_distinct_words, "v long, n long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first())
     n, v = totals.n or 0, totals.v or 0
-    ranges = int(min(max(64, n * order // RANGE), 32_768))
+    ranges = int(max(64, n * order // RANGE))
     answered = None
     for turn in range(PASSES):
         asked = chunks.mapInArrow(_ask(order, ranges, turn), "bucket int, chunk long, keys binary, counts binary")

@@ -42,6 +42,16 @@ def quantised(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
         "id", F.transform("v", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
 
 
+def packed_kind(rows: DataFrame, is_query) -> str:
+    """numpy's narrowest type that holds every component. An error where an inner product may leave 64 bits."""
+    weight = F.aggregate("v", F.lit(0.0), lambda total, c: total + F.abs(c.cast("double")))
+    r = rows.agg(F.max(F.array_max("v")).alias("hi"), F.min(F.array_min("v")).alias("lo"), F.max(F.when(is_query(F.col("id")), weight)).alias("most")).first()
+    most = max(abs(r.hi or 0), abs(r.lo or 0))
+    if most * (r.most or 0.0) >= 2.0 ** 62:
+        raise OverflowError(f"components up to {most} against a query of weight {r.most:g}: an inner product may leave 64 bits")
+    return next(kind for kind, bits in (("i2", 15), ("i4", 31), ("i8", 63)) if most < 1 << bits)
+
+
 class Slices:
     """The index of one segment: for each attribute its least value and its bitmaps, lowest digit first."""
 
@@ -175,5 +185,5 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector
         index = Slices(wide)
         return lambda query_id, query: [(-s, i) for s, i in top_rows(index, ids, wide, query_id, query.astype(np.int64), k)]
 
-    found = search(quantised(df, id_column, vector_column), is_query, k, "i4", "long", best)
+    found = search(quantised(df, id_column, vector_column), is_query, k, lambda rows: packed_kind(rows, is_query), "long", best)
     return found.select("query_id", "rank", "vec_id", (-F.col("cost")).alias("score"))

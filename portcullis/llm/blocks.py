@@ -79,17 +79,17 @@ def _merge(k: int):
     return run
 
 
-def search(rows: DataFrame, is_query: Callable, k: int, kind: str, cost: str,
+def search(rows: DataFrame, is_query: Callable, k: int, kind: str | Callable[[DataFrame], str], cost: str,
            best: Callable[[np.ndarray, np.ndarray], Callable[[int, np.ndarray], list[tuple]]], segment: int | None = None,
            block: int | None = None) -> DataFrame:
     """``rows``: id and v (an array without nulls). ``best(ids, matrix)`` indexes a segment and returns the function that
     maps (query id, query vector) to its k best (cost, id) there, cheapest first. ``kind`` is numpy's type of
-    packed components, ``cost`` Spark's type of costs. Returns query_id, rank, vec_id and cost.
+    packed components, or gives it from the rows, ``cost`` Spark's type of costs. Returns query_id, rank, vec_id and cost.
 
     Segments are dealt to slots and query blocks to parts; each (slot, part) is one key, so the work of a
     query block is spread over all segments and none of it meets in one task."""
-    dtype = np.dtype(kind)
     rows = stored(rows)
+    dtype = np.dtype(kind(rows) if callable(kind) else kind)
     segments = stored(rows.mapInArrow(_segments(segment or SEGMENT, dtype), "dims int, ids binary, v binary"))
     queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-queries.count() // (block or QUERIES)))

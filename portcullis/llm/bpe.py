@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from portcullis.llm.common import small_batches
+from portcullis.llm.common import small_batches, tidy
 
 #: Pieces whose tokens one worker remembers, and their longest length in characters.
-REMEMBERED_PIECES, REMEMBERED_LENGTH = 250_000, 40
+REMEMBERED_PIECES, REMEMBERED_LENGTH = 120_000, 40
 _NOT_LATIN = regex.compile(r"[^\x00-ɏ]")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xA0  -     　\p{L}\p{N}]+")
 NO_LIMIT = 1 << 60
@@ -103,9 +103,14 @@ class Bpe:
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the memories, which would stay in the worker; the tables of the vocabulary stay."""
+        self.pieces.clear()
+        self.compatible.clear()
+
     def may_follow(self, left: int, right: int) -> bool:
         """True if the merges leave ``left`` and ``right`` as they are side by side; remembered."""
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > 500_000:
             self.compatible.clear()
         known = self.compatible[left << 20 | right] = self._stay_apart(left, right)
         return known
@@ -230,12 +235,13 @@ def _mapped(docs: DataFrame, column: str, path: str, fields: list[StructField],
                 made = [fn(bpe, t) for t in part.column(part.num_columns - 1).to_pylist()]
                 columns = [pa.array([m[i] for m in made], f) for i, f in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=names)
+        bpe.forget()
 
     from pyspark.sql.pandas.types import to_arrow_type
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = [*[f"c{i}" for i in rest], *[f"n{i}" for i in range(len(fields))]]
     kept = [f for f in inner.schema.fields if f.name != "t"]
-    out = inner.mapInArrow(run, StructType([*kept, *[StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)]]))
+    out = inner.mapInArrow(tidy(run), StructType([*kept, *[StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)]]))
     return out.toDF(*[docs.columns[i] for i in rest], *[f.name for f in fields])
 
 

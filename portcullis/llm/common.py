@@ -1,9 +1,15 @@
 """Words, hashes, packed integers and stored tables that the operators of this package share."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +17,7 @@ from pyspark.sql import functions as F
 from portcullis.session import checkpoint_dir
 
 #: Distinct words whose hashes one worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +38,41 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _release() -> None:
+    """Give freed memory back to the system: Spark's Python workers live on after a task, for other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives back its memory when its partition ends."""
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function over one group's table."""
+    @functools.wraps(run)
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _release()
+    return tidied
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: names of an operator cannot clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder, read back: several readers do
     not recompute it, and a lost executor does not lose it. The shuffle files of the write go with it."""

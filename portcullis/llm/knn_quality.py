@@ -25,17 +25,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from portcullis.llm.common import crc_rest, small_batches, text_bytes
+from portcullis.llm.common import by_place, crc_rest, small_batches, text_bytes, tidy
 
 #: Bounds of what is fitted and broadcast.
 SAMPLE, WORD_TERMS, SHAPE_TERMS, DIRECTIONS, NEAREST = 8192, 2048, 1024, 48, 25
 TERMS = WORD_TERMS + SHAPE_TERMS
 #: Power of the cosine in a vote.
 SHARPNESS = 4.0
-BLOCK = 512
+BLOCK = 128
 #: Distinct words whose terms one worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 #: Byte classes: upper case, lower case and non-ASCII, digits; every other byte stands for itself.
@@ -168,16 +169,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEARE
     """Fit on the bounded sample. The driver receives at most ``sample`` rows of term counts (one row for each
     document of the sample; repeated ids are taken once)."""
     rows = (small_batches(training_rows(docs, labels, sample))
-            .mapInArrow(_count_rows, "_order long, _label double, _at binary, _w binary")
+            .mapInArrow(tidy(_count_rows), "_order long, _label double, _at binary, _w binary")
             .groupBy("_order", "_label").agg(F.min(F.struct("_at", "_w")).alias("r")).orderBy("_order").limit(sample).collect())
     got = [(np.frombuffer(r.r._at, np.uint16).astype(np.int64), np.frombuffer(r.r._w, np.float32)) for r in rows]
     return fit_model(got, np.array([r._label for r in rows], np.float64), k)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and _quality_score."""
+    """All columns of ``docs`` and, behind them, _quality_score. Columns may have any names, that one as well."""
+    return _scored(docs, model).toDF(*docs.columns, "_quality_score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``least``; columns may have any names."""
+    return _scored(docs, model).where(F.col("score") >= least).drop("score").toDF(*docs.columns)
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs`` by place, and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema_in = small_batches(docs).withColumn("_quality_text", text_bytes())
+    given = by_place(small_batches(docs))
+    schema_in = given.withColumn("t", text_bytes(f"c{docs.columns.index('text')}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, terms = shared.value, Terms()
@@ -187,7 +199,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for lo in range(0, b.num_rows, BLOCK):
                 part = texts.slice(lo, BLOCK).to_pylist()
                 got[lo:lo + len(part)] = m.scores(np.stack([m.vector(*term_counts(t, terms)) for t in part]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got)], names=[*b.schema.names[:-1], "_quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got)], names=[*b.schema.names[:-1], "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    return schema_in.mapInArrow(run, StructType([*docs.schema.fields, StructField("_quality_score", DoubleType())]))
+    return schema_in.mapInArrow(tidy(run), StructType([*given.schema.fields, StructField("score", DoubleType())]))

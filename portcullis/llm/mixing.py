@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import small_batches, stored, text_bytes
+from portcullis.llm.common import by_place, small_batches, stored, text_bytes, tidy
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Newton stops when no source misses its target by more than this share, or after so many rounds.
@@ -44,7 +44,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
     """id, source and size (words) of every row."""
     given = small_batches(docs).select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), text_bytes(text_column).alias("_text"))
-    return given.mapInArrow(_sizes, f"id {given.schema['id'].dataType.simpleString()}, source string, size long")
+    return given.mapInArrow(tidy(_sizes), f"id {given.schema['id'].dataType.simpleString()}, source string, size long")
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -113,6 +113,9 @@ def balance(cells: DataFrame, wanted: DataFrame) -> DataFrame:
             F.when(F.col("done"), F.col("low")).otherwise(F.col("_lo")).alias("low"),
             F.when(F.col("done"), F.col("high")).otherwise(F.col("_hi")).alias("high"),
             (F.col("done") | F.col("_close")).alias("done")))
+    else:
+        if not state.where("NOT done").isEmpty():
+            raise ArithmeticError(f"the tilts of some sources have not met their targets after {ROUNDS} rounds")
     return state.select("source", "words", "target", "mean", "dual")
 
 
@@ -178,8 +181,13 @@ def _spread(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them. Rows that share an id, source and size share
-    their copies as evenly as the mix dealt them."""
+    """The rows of ``docs``, whose columns may have any names, as often as the mix takes them. Rows that share an id,
+    source and size share their copies as evenly as the mix dealt them."""
+    place = lambda c: f"c{docs.columns.index(c)}"
+    return _repeated(by_place(docs), place(id_column), place(source_column), place(text_column)).toDF(*docs.columns)
+
+
+def _repeated(docs: DataFrame, id_column: str, source_column: str, text_column: str) -> DataFrame:
     from pyspark.sql import Window
     plan = _planned(docs, id_column, source_column, text_column)
     groups = stored(plan.groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_s2")).agg(

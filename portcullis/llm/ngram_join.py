@@ -41,15 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import (WordHashes, grams, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, unpack, unpack_sorted,
-                                   words)
+from portcullis.llm.common import (WordHashes, by_place, grams, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, tidy, tidy_group,
+                                   unpack, unpack_sorted, words)
 from portcullis.llm.components import components
 
 SHINGLE = 5
 #: Links need LINK_NUM / LINK_DEN of the union.
 LINK_NUM, LINK_DEN = 3, 4
 #: Shingles one worker sorts at a time, and shingles in one hash range.
-CHUNK, RANGE = 1_000_000, 1_000_000
+CHUNK, RANGE = 750_000, 750_000
 #: A shingle in at least this share of the documents, or in this many, travels apart.
 HEAVY_SHARE, HEAVY_COUNT = 64, 2_000_000
 SMALL_BUCKET, BLOCK = 32, 256
@@ -311,7 +311,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         return sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("t").alias(f"t{x}"), F.col("p2").alias(f"p2{x}"),
                            F.col("p3").alias(f"p3{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_pairs, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(_verify_pairs), "a long, b long")
 
 
 def _near(a: str, b: str) -> F.Column:
@@ -380,11 +380,11 @@ def candidate_sets(given: DataFrame, described: DataFrame) -> DataFrame:
     heavy = sorted(r.token for r in described.where("token IS NOT NULL").groupBy("token").agg(F.sum("docs").alias("c"))
                    .where(F.col("c") >= at_least).select("token").collect())
     shared = spark.sparkContext.broadcast(np.array(heavy, np.uint64))
-    ranges = int(min(max(64, tokens // RANGE), 32_768))
+    ranges = int(max(64, tokens // RANGE))
     class_ranges = max(64, ranges // 4)
-    blocks = given.select("_text").mapInArrow(_split(ranges, class_ranges, shared), _BLOCK_ROWS)
-    counted = blocks.groupBy("bucket").applyInArrow(_count(class_ranges), "bucket int, t binary, df binary, k binary, n binary, c binary")
-    return stored(counted.groupBy("bucket").applyInArrow(_assemble, _SETS_SQL))
+    blocks = given.select("_text").mapInArrow(tidy(_split(ranges, class_ranges, shared)), _BLOCK_ROWS)
+    counted = blocks.groupBy("bucket").applyInArrow(tidy_group(_count(class_ranges)), "bucket int, t binary, df binary, k binary, n binary, c binary")
+    return stored(counted.groupBy("bucket").applyInArrow(tidy_group(_assemble), _SETS_SQL))
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -436,7 +436,7 @@ def _large_buckets(large: DataFrame, sets: DataFrame) -> DataFrame:
                                                                                | (F.col("own") != F.col("own2"))))
              .select("block", "block2").distinct())
     both = pairs.join(blocks, "block").join(blocks.toDF("block2", "ys"), "block2").select("xs", "ys")
-    return both.mapInArrow(_compare_blocks, "a long, b long")
+    return both.mapInArrow(tidy(_compare_blocks), "a long, b long")
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +493,7 @@ def link_counts(sets: DataFrame) -> DataFrame:
         blocks = stored(placed.join(sets.drop("central").mapInArrow(_pack_p1, "k long, n long, t binary, p1 binary, p2 binary, p3 binary"), "k")
                         .groupBy("block").agg(F.collect_list(F.struct("k", "n", "t", "p1", "p2", "p3")).alias("xs")))
         both = met.join(blocks, "block").join(blocks.toDF("block2", "ys"), "block2").select("xs", "ys", (F.col("block") == F.col("block2")).alias("same"))
-        counts = both.mapInArrow(_count_blocks, "k long, links long")
+        counts = both.mapInArrow(tidy(_count_blocks), "k long, links long")
         # pairs whose blocks are compared are counted there
         place = placed.select(F.col("k").alias("_k"), "block")
         pairs = (pairs.join(place.toDF("_a", "x"), F.col("a") == F.col("_a"), "left").join(place.toDF("_b", "y"), F.col("b") == F.col("_b"), "left")
@@ -508,7 +508,7 @@ def _classified(docs: DataFrame, id_column: str, text_column: str, count_links:
     ``count_links`` also links, from all pairs."""
     given = small_batches(docs).select(F.col(id_column).alias("id"), text_bytes(text_column).alias("_text"))
     kind = given.schema["id"].dataType.simpleString()
-    described = stored(given.mapInArrow(_describe(HEAVY_SHARE), f"id {kind}, k long, n long, token long, docs long"))
+    described = stored(given.mapInArrow(tidy(_describe(HEAVY_SHARE)), f"id {kind}, k long, n long, token long, docs long"))
     rows = described.where("n IS NOT NULL").select("id", "k", "n")
     classes = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("class_id"))
     sets = candidate_sets(given, described)
@@ -542,9 +542,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id (null
+    """The rows of ``docs``, whose columns may have any names, without near duplicates: of each component the row with the smallest id (null
     last) stays, of its repeated rows one; rows without words all stay. Texts are joined to the removed
     ids only; rows with a null or repeated id are matched by their set as well."""
+    place = lambda c: f"c{docs.columns.index(c)}"
+    return _one_of_each(by_place(docs), place(id_column), place(text_column)).toDF(*docs.columns)
+
+
+def _one_of_each(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     info = stored(_classified(docs, id_column, text_column).select("id", "k", "label"))
     with_words = info.where("k IS NOT NULL")
     chosen = with_words.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("r")).select("r.id", "r.k")

@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from portcullis.llm.common import small_batches
+from portcullis.llm.common import small_batches, tidy
 
 #: Key of the registered query; users pass their own.
+#: For the registered query, the pipeline's runs on test tables and tests alone: who has it can invert every pseudonym.
 SAMPLE_KEY = b"portcullis sample key"
 ROUNDS = 8
 #: Dates are permuted among the days of these years.
@@ -281,8 +282,19 @@ def may_hold(text: bytes) -> bool:
     return bool(text.translate(None, _NEEDED)) or b"AKIA" in text or b"ASIA" in text
 
 
-def rewrite(docs: DataFrame, key: bytes = SAMPLE_KEY, column: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text rewritten, and _pii_count and _pii_kinds (sorted, distinct)."""
+def rewrite(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
+    """All columns of ``docs`` with the text rewritten, and, behind them, _pii_count and _pii_kinds (sorted, distinct).
+    Columns may have any names, those as well."""
+    return _rewritten(docs, key, column).toDF(*docs.columns, "_pii_count", "_pii_kinds")
+
+
+def hidden(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
+    """``docs`` with the text rewritten; columns may have any names."""
+    return _rewritten(docs, key, column).drop("n", "k").toDF(*docs.columns)
+
+
+def _rewritten(docs: DataFrame, key: bytes, column: str) -> DataFrame:
+    """The columns of ``docs`` by place, n and k."""
     at = docs.columns.index(column)
     # A projection renames, so that names may clash or repeat below Arrow.
     inner = small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(f"c{at}", F.col(f"c{at}").cast("binary"))
@@ -303,6 +315,6 @@ def rewrite(docs: DataFrame, key: bytes = SAMPLE_KEY, column: str = "text") -> D
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "n", "k"])
 
     kind = StructType([*inner.schema.fields, StructField("n", LongType()), StructField("k", StringType())])
-    out = inner.mapInArrow(run, kind)
-    return out.withColumn(f"c{at}", F.col(f"c{at}").cast("string")).toDF(*docs.columns, "_pii_count", "_pii_kinds")
+    out = inner.mapInArrow(tidy(run), kind)
+    return out.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
 

@@ -8,8 +8,8 @@ each by itself.
 
 Archives hold at most about ``ARCHIVE`` bytes of payload (one record more), so a task inflates one
 archive at a time in bounded memory. Files are written under a name that begins with a dot and renamed
-when complete, and names come from a task's partition and attempt-independent content, so a task that
-runs again replaces its own files with equal ones. Folders may lie in any store that pyarrow opens by
+when complete, and an archive's name holds its task's attempt: a task that runs again may get its rows in another
+order, so it writes files of its own, and only those that the finished task returned are read. Folders may lie in any store that pyarrow opens by
 its address (file, hdfs, s3, gs) and must be shared by all executors.
 
 Of records with equal payloads of ``SMALLEST_REVISIT`` bytes or more, the one with the smallest page_id is
@@ -127,13 +127,13 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         from pyspark import TaskContext
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        part, number, paths = TaskContext.get().partitionId(), 0, []
+        part, attempt, number, paths = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, []
         buffer, size, packer = io.BytesIO(), 0, None
 
         def close() -> None:
             nonlocal buffer, size, packer, number
             packer.close()
-            path = f"{base}/part-{part:06d}-{number:05d}.warc.gz"
+            path = f"{base}/part-{part:06d}-{number:05d}-{attempt}.warc.gz"
             _put(fs, path, lambda f: f.write(buffer.getvalue()))
             paths.append(path)
             buffer, size, packer, number = io.BytesIO(), 0, None, number + 1
@@ -230,11 +230,25 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Write the pages, normalise the archives, read them back: page_id, payload_bytes, payload_digest,
     record_type, refers_to. Lengths and digests of responses are taken from the payload read; those of
-    revisits from their headers, checked against the response they name."""
+    revisits from the response they name, which must have been read with the digest that the revisit claims; a revisit
+    whose response is missing or damaged raises an error."""
     raw = stored(write_archives(with_revisits(pages), f"{folder}/monolithic"))
     tasks = max(1, min(raw.count(), MOST_TASKS))  # the lists are small, the work behind them is not
     indexes = stored(normalise(raw.repartition(tasks, "path"), f"{folder}/members"))
     read = read_records(indexes.repartition(tasks, "index"), f"{folder}/members")
+    return resolved(stored(read.select("page_id", "record_type", "refers_to", "claimed_bytes", "claimed_digest",
+                                       F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"))))
+
+
+def resolved(read: DataFrame) -> DataFrame:
+    """``read``: one narrow row a record, n and digest taken from the payload read. Revisits get those of their response."""
+    responses = (read.where((F.col("record_type") == "response") & (F.col("n") >= SMALLEST_REVISIT))
+                 .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("n").alias("_n")).distinct())
     revisit = F.col("record_type") == "revisit"
-    return read.select("page_id", F.when(revisit, F.col("claimed_bytes")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
-                       F.when(revisit, F.col("claimed_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"), "record_type", "refers_to")
+    j = read.join(responses, revisit & F.col("refers_to").eqNullSafe(F.col("_page")) & (F.col("claimed_digest") == F.col("_digest")), "left")
+    lost = revisit & (F.col("_n").isNull() | (F.col("_n") != F.col("claimed_bytes")))
+    told = F.raise_error(F.format_string("page %s revisits %s, whose response was not read as claimed",
+                                         F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))
+    size = F.when(lost, told.cast("long")).when(revisit, F.col("_n")).otherwise(F.col("n"))
+    return j.select("page_id", size.alias("payload_bytes"), F.when(revisit, F.col("_digest")).otherwise(F.col("digest")).alias("payload_digest"),
+                    "record_type", "refers_to")

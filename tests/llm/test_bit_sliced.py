@@ -65,3 +65,11 @@ def test_oracle(spark):
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     want = sorted(con.execute(f"select query_id, rank, vec_id, score from ({ORACLES[name]})").fetchall())
     assert sorted(tuple(r) for r in QUERIES[name](spark, SF).select("query_id", "rank", "vec_id", "score").collect()) == want
+
+
+def test_components_beyond_32_bits(spark):
+    rows = [(50, [256.0, 1.0]), (1, [1e7, 0.0]), (2, [3.0, 5.0]), (3, [-1e7, 0.0])]
+    got = B.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 65536 * 2560000000), (2, 2, 65536 * 768 + 256 * 1280), (3, 3, -65536 * 2560000000)]
+    with pytest.raises(OverflowError):
+        B.top_k(spark.createDataFrame([(50, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>"), lambda i: i % 50 == 0)

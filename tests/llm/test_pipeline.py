@@ -73,3 +73,34 @@ def test_repeated_ids_share_copies(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_runs_on_the_given_tables(spark):
     assert 0 < C.run(spark, SF).count() < 400
+
+
+CLASHING = ["_n", "_size", "_id", "_k", "_text", "_quality_text", "_quality_score", "_pii_count", "score", "t", "n", "id", "source2"]
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, text(rng, 40) if i % 3 else f"W{i % 3}!! " * 30, rng.choice(["a", "b"]), *[f"{c}{i}" for c in CLASHING]) for i in range(60)]
+    rows += [(100 + i, rows[i][1], "a", *[f"{c}{100 + i}" for c in CLASHING]) for i in range(0, 30, 4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHING])
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = {r[0]: r for r in rows}
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r[2:] == known[r[0]][2:] for r in got), name
+    assert len(C.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == len(rows)
+
+
+def test_columns_of_one_name(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, "d e f", "t")], "doc_id long, text string, source string").selectExpr("*", "1 AS x", "2 AS x")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in C.STAGES[:-1]:
+        assert [tuple(r)[3:] for r in stage(spark, docs, str(tmp_path)).collect()][:1] == [(1, 2)], name
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0

@@ -73,3 +73,13 @@ def test_oracle(spark):
     names = [d[0] for d in r.description]
     want = sorted(r.fetchall())
     assert sorted(tuple(r) for r in QUERIES[name](spark, SF).select(*names).collect()) == want
+
+
+def test_revisits_are_checked_against_their_response(spark):
+    schema = "page_id long, record_type string, refers_to long, claimed_bytes long, claimed_digest string, n long, digest string"
+    good = [(1, "response", None, 200, "aa", 200, "aa"), (2, "revisit", 1, 200, "aa", 0, "ee"), (3, "response", None, 5, "cc", 5, "cc")]
+    out = W.resolved(spark.createDataFrame(good, schema)).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 200, "aa", "response", None), (2, 200, "aa", "revisit", 1), (3, 5, "cc", "response", None)]
+    for bad in ([good[1]], [(1, "response", None, 200, "aa", 200, "damaged"), good[1]], [(1, "response", None, 199, "aa", 199, "aa"), good[1]]):
+        with pytest.raises(Exception, match="was not read as claimed"):
+            W.resolved(spark.createDataFrame(bad, schema)).collect()
