@@ -5,17 +5,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from portcullis.llm import bpe, knn_quality, mixing, ngram_join, pii
-from portcullis.llm.queries import QUALITY_THRESHOLD
+from portcullis.llm.queries import PII_KEY, QUALITY_THRESHOLD
 from portcullis.session import checkpoint_dir
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = knn_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return knn_quality.score(docs, model).where(F.col("_quality_score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    return knn_quality.accepted(docs, model, QUALITY_THRESHOLD)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +24,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; they keep their length, so n_chars stays right."""
-    return pii.rewrite(docs).select(*docs.columns)
+    return pii.hidden(docs, PII_KEY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
