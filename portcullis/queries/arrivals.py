@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
 from portcullis.operators import intake as H
+from portcullis.operators.profiles import Profile
 from portcullis.queries.base import EVENT_ATTRS_SQL, by_rest, event_attrs, query, sql_by_rest, table
 from portcullis.session import checkpoint_dir
 from portcullis.sources import items as S
@@ -16,13 +17,42 @@ from portcullis.streaming import settle as W
 
 
 # --- sources ----------------------------------------------------------------------------------------
-@query("s01_list_items", "SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source")
-def _(spark, sf):
-    """The documents written as files, one folder for each source, and listed; no body is read."""
+_FOLDER_BYTES = """SELECT coalesce(source, '') AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents GROUP BY ALL
+ UNION ALL SELECT '', 0"""
+
+
+def _as_files(spark, sf):
+    """The documents as files, one folder for each source; the writer adds an empty _SUCCESS at the root."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/listed-{uuid.uuid4().hex}"
-    table(spark, sf, "documents").select(F.col("text").alias("value"), F.col("source").alias("folder")).write.partitionBy("folder").text(root)
-    files = S.list_items(spark, root, complete=False).filter(F.col("name").startswith("part-"))
-    return files.groupBy(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder")).agg(F.sum("length").alias("bytes"))
+    rows = table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.col("source").alias("folder"))
+    rows.repartition("folder").write.partitionBy("folder").text(root)
+    return root
+
+
+def _folder_bytes(files):
+    """Bytes of every file, empty and hidden ones too, but for the writer's checksums."""
+    return (files.filter(~F.col("name").endswith(".crc")).groupBy(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder"))
+            .agg(F.sum("length").alias("bytes")))
+
+
+@query("s01_list_items", _FOLDER_BYTES)
+def _(spark, sf):
+    """A whole tree listed, hidden and empty files as well; no body is read."""
+    return _folder_bytes(S.list_items(spark, _as_files(spark, sf), bodies=False))
+
+
+@query("j07_gate_stream", _FOLDER_BYTES)
+def _(spark, sf):
+    """The tree as a stream, scanned as its files arrive: two passes over one checkpoint scan every file once."""
+    root, at = _as_files(spark, sf), f"{checkpoint_dir(spark).rstrip('/')}/gated-{uuid.uuid4().hex}"
+    scanned = J.gate_stream(spark, root, Profile.load("homelab")).select("path", "name", "length", "verdict")
+
+    def start():
+        return (scanned.writeStream.format("parquet").option("path", f"{at}/scanned").option("checkpointLocation", f"{at}/state")
+                .trigger(availableNow=True).start())
+
+    J.run_once(start)
+    return _folder_bytes(spark.read.schema(scanned.schema).parquet(f"{at}/scanned"))
 
 
 @query("s04_write_report", """SELECT '{"doc_id":' || doc_id || ',"source":"' || source || '"}' AS line FROM documents""")

@@ -6,7 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+from portcullis.sources.tree import WHOLE, WINDOW, listing, listing_stream, with_bodies
+
 TEMP_PREFIX, TEMP_SUFFIX = ".portcullis-", ".tmp"
 IGNORED_NAMES = [".DS_Store"]
 
@@ -16,6 +17,10 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def _named(files: DataFrame) -> DataFrame:
+    return files.withColumn("name", F.substring_index("path", "/", -1))
+
+
 def _listed(files: DataFrame, exclude: list[str]) -> DataFrame:
     path = plain_path(F.col("path"))
     name = F.substring_index(path, "/", -1)
@@ -26,71 +31,17 @@ def _listed(files: DataFrame, exclude: list[str]) -> DataFrame:
     return files.filter(keep).withColumn("path", path).withColumn("name", name)
 
 
-def _unlisted(spark: SparkSession, root: str) -> tuple[list[tuple], list[tuple]]:
-    """Files the file source leaves out: (path, modified, length) of empty and of hidden ones.
-
-    They are listed on the driver, as the source's own index is; only the exceptions are kept."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    skip = len(fs.makeQualified(base).toString().rstrip("/"))
-    empty, hidden = [], []
-    files = fs.listFiles(base, True)
-    while files.hasNext():
-        status = files.next()
-        path = status.getPath().toString()
-        if status.getLen() == 0:
-            empty.append((path, status.getModificationTime(), 0))
-        elif any(part[:1] in (".", "_") for part in path[skip:].split("/")):
-            hidden.append((path, status.getModificationTime(), status.getLen()))
-    return empty, hidden
-
-
-def _read_bodies(batches):
-    """Contents of files the file source refuses to open; NULL for one that cannot be read."""
-    from pyarrow import fs
-
-    def body(path):
-        try:
-            if path.startswith("file:"):
-                store, inner = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-            else:
-                store, inner = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(inner) as f:
-                return f.read()
-        except Exception:
-            return None
-
-    for pdf in batches:
-        yield pdf.assign(content=[body(p) for p in pdf["path"]])
-
-
-def list_items(spark: SparkSession, path: str, exclude: list[str] | None = None, complete: bool = True) -> DataFrame:
-    """Every file below ``path``. Without a use of ``content`` no body is read.
-
-    Spark's file source skips empty files and names that begin with '.' or '_'. ``complete`` adds
-    them back: an empty or hidden file must not pass unseen."""
-    reader = spark.read.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-    files = reader.load(path)
-    if complete:
-        empty, hidden = _unlisted(spark, path)
-        schema = "path string, ms long, length long"
-        stamp = F.timestamp_millis("ms").alias("modificationTime")
-        if hidden:
-            bodies = spark.createDataFrame(hidden, schema).repartition("path").mapInPandas(
-                _read_bodies, schema + ", content binary")
-            files = files.unionByName(bodies.select("path", stamp, "length", "content"))
-        if empty:
-            none = spark.createDataFrame(empty, schema)
-            files = files.unionByName(none.select("path", stamp, "length", F.lit(b"").alias("content")))
-    return _listed(files, exclude or [])
-
-
-def stream_items(spark: SparkSession, path: str, exclude: list[str] | None = None, per_batch: int = 1000) -> DataFrame:
-    """The same listing as files arrive."""
-    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path))
-    return _listed(files, exclude or [])
+def list_items(spark: SparkSession, path: str, exclude: list[str] | None = None, bodies: bool = True, whole: int = WHOLE,
+               window: int = WINDOW) -> DataFrame:
+    """Every file below ``path``, empty and hidden ones as well: path, modificationTime, length and name, and with
+    ``bodies`` content (of files above ``whole`` bytes their first and last ``window`` bytes), whole and error."""
+    files = _listed(listing(spark, path), exclude or [])
+    return _named(with_bodies(files, whole, window)) if bodies else files
+
+
+def stream_items(spark: SparkSession, path: str, exclude: list[str] | None = None, whole: int = WHOLE, window: int = WINDOW) -> DataFrame:
+    """The same with bodies, as files arrive or change."""
+    return _named(with_bodies(_listed(listing_stream(spark, path), exclude or []), whole, window))
 
 
 def union_roots(frames: list[DataFrame]) -> DataFrame:

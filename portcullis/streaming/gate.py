@@ -12,11 +12,12 @@ from portcullis.operators.verdict import run_header
 from portcullis.operators.verify import still_current
 from portcullis.plans.scan import scan_items
 from portcullis.schema import severity_name
-from portcullis.sources.items import FILE_SCHEMA, stream_items
+from portcullis.sources.items import stream_items
+from portcullis.sources.tree import with_bodies
 
 
 def gate_stream(spark: SparkSession, path: str, profile: Profile, **options) -> DataFrame:
-    """Scan of files as they arrive; the checks are stateless, so the stream keeps no state."""
+    """Scan of files as they arrive or change. The checks are stateless; the stream's state holds the versions seen."""
     files = stream_items(spark, path, **options).withColumn("item_id", F.col("path"))
     return scan_items(files, profile)
 
@@ -27,22 +28,10 @@ def version_of(files: DataFrame) -> DataFrame:
 
 
 def recheck(scanned: DataFrame) -> DataFrame:
-    """Scanned files with whether they still are what was scanned, read again by path.
-
-    To be used per batch: the batch's own paths are read, not the whole tree."""
-    spark = scanned.sparkSession
-    paths = [r.item_id for r in scanned.select("item_id").collect()]  # bounded by the batch size
-    before = scanned.select("item_id", "length", F.col("modificationTime").alias("modified"),
-                            F.sha2("content", 256).alias("digest"))
-    if not paths:
-        return before.withColumn("why", F.lit("")).withColumn("fresh", F.lit(True))
-    now = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").schema(FILE_SCHEMA)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    there = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(
-        jvm.org.apache.hadoop.fs.Path(p))]
-    current = now.load(there) if there else spark.createDataFrame([], FILE_SCHEMA)
-    current = current.withColumn("item_id", F.regexp_replace("path", "^file:/+", "/"))
-    return still_current(before, version_of(current))
+    """Scanned files with whether they still are what was scanned: each is read again by its path, inside tasks."""
+    before = scanned.select("item_id", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("digest"))
+    now = with_bodies(scanned.select(F.col("item_id").alias("path"))).where("error IS NULL").withColumn("item_id", F.col("path"))
+    return still_current(before, version_of(now))
 
 
 def pass_writer(report_path: str, profile: Profile, act: Callable[[DataFrame], None] | None = None):

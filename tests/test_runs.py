@@ -168,5 +168,5 @@ def test_gate_stream_reports_each_pass(spark, tree, tmp_path):
     late = os.path.join(tree, "late.txt")
     gate.run_once(start, lambda: open(late, "w").write("hello"))
     reports = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "reports")).collect()]
-    assert sorted(sum(r["counts"].values()) for r in reports) == [1, len(EXPECTED) - 2]   # a stream sees no empty or hidden file
+    assert sorted(sum(r["counts"].values()) for r in reports) == [1, len(EXPECTED)]   # empty and hidden files as well
     assert all(fresh for batch in seen for fresh, _ in batch.values())
