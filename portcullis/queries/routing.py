@@ -16,7 +16,7 @@ from portcullis.queries.base import (EVENT_ATTRS_SQL, ORDER_PARTS_SQL, by_rest,
 from portcullis.queries.metadata import ALIAS_SQL
 from portcullis.queries.policy import PROFILES, RULES, decide_sql
 from portcullis.session import checkpoint_dir
-from portcullis.sources.sinks import write_clean, write_quarantine
+from portcullis.sources.sinks import stored_items, write_clean, write_quarantine
 
 HOME, ARCHIVE = PROFILES["homelab"], PROFILES["archive"]
 P, PA, PR = Settings.of(HOME), Settings.of(ARCHIVE), Settings.of(RULES)
@@ -177,16 +177,18 @@ _NAMED_SQL = f"{ORDER_ITEMS_SQL}, nm AS (SELECT item_id, verdict, n, '/in/' || (
 def _(spark, sf):
     """Outputs written and read back: the first of the items that share a target."""
     store = f"{checkpoint_dir(spark).rstrip('/')}/clean-{uuid.uuid4().hex}"
-    write_clean(_named(spark, sf).withColumn("eligible", F.col("verdict") < 3), "/in", store)
-    return spark.read.parquet(store).select(F.substring_index("key", "/", -1).alias("rel"), "path", F.decode("content", "UTF-8").alias("content"))
+    for _ in range(2):  # a repeat of the same run changes nothing
+        write_clean(_named(spark, sf).withColumn("eligible", F.col("verdict") < 3), "/in", store, run="first")
+    return stored_items(spark, store).select(F.substring_index("key", "/", -1).alias("rel"), "path", F.decode("content", "UTF-8").alias("content"))
 
 
 @query("s05_write_quarantine", f"WITH {_NAMED_SQL} SELECT substr(path, 5) AS key, path, 'body ' || n AS content FROM nm WHERE verdict = 4")
 def _(spark, sf):
     """Blocked items moved to the store, mirrored below it, and read back."""
     store = f"{checkpoint_dir(spark).rstrip('/')}/quarantine-{uuid.uuid4().hex}"
-    write_quarantine(_named(spark, sf), "/in", store)
-    return spark.read.parquet(store).select("key", "path", F.decode("content", "UTF-8").alias("content"))
+    for run in ("first", "first", "second"):  # neither a repeat nor another run moves a key again
+        write_quarantine(_named(spark, sf), "/in", store, run=run)
+    return stored_items(spark, store).select("key", "path", F.decode("content", "UTF-8").alias("content"))
 
 
 # --- cleaning ------------------------------------------------------------------------------------------

@@ -1,11 +1,11 @@
 """Sinks: reports, quarantine and clean output. Nothing that exists is ever overwritten."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portcullis.operators.routing import plan_destinations, plan_quarantine
-from portcullis.session import cut
+from portcullis.sources import ledger
 
 
 def write_report(lines: DataFrame, path: str, column: str = "line") -> None:
@@ -13,32 +13,29 @@ def write_report(lines: DataFrame, path: str, column: str = "line") -> None:
     lines.select(F.col(column).alias("value")).write.mode("errorifexists").text(path)
 
 
-def _existing(df: DataFrame, path: str) -> DataFrame | None:
-    spark = df.sparkSession
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(p) and fs.globStatus(
-        jvm.org.apache.hadoop.fs.Path(path + "/*.parquet")) else None
-
-
-def write_quarantine(items: DataFrame, root: str, store: str) -> DataFrame:
-    """Move BLOCK items (path, verdict, content) to a parquet store keyed by mirrored path; returns the
-    plan rows as the QUARANTINED findings. The plan is made without bodies and checkpointed, so what is
-    reported is what was written even when a task has to be repeated; bodies are joined once, to be
-    written."""
-    stored = _existing(items, store)
-    plan = cut(plan_quarantine(items.drop("content"), root, store, stored))
-    plan.filter("moved").select("key", "path").join(items.select("path", "content"), "path").select(
-        "key", "path", "content").write.mode("append").parquet(store)
+def write_quarantine(items: DataFrame, root: str, store: str, run: str | None = None) -> DataFrame:
+    """Move BLOCK items (path, verdict, content) to a store keyed by mirrored path; returns the plan rows as the
+    QUARANTINED findings. The plan is made without bodies and stored, so what is reported is what was written even
+    when a task has to be repeated; bodies are joined once, to be written. Runs may add at once, and a repeat of
+    ``run`` answers as the first time (see ``ledger``)."""
+    plan = ledger.add(
+        items.sparkSession, store, run, lambda stored: plan_quarantine(items.drop("content"), root, store, stored),
+        lambda made: made.filter("moved").select("key", "path").join(items.select("path", "content"), "path").select("key", "path", "content"))
     return plan.select("path", "dest", F.lit("QUARANTINED").alias("code"), "severity", "message")
 
 
-def write_clean(items: DataFrame, root: str, store: str, **options) -> DataFrame:
-    """Place accepted items (path, eligible, content) without clobbering; returns PLACED and
-    OUTPUT_EXISTS rows. Bodies are joined to the finished plan."""
-    stored = _existing(items, store)
-    plan = cut(plan_destinations(items.drop("content"), root, store, existing=None if stored is None else stored.select("key"), **options))
-    plan.filter("placed").select(F.col("dest").alias("key"), "path").join(items.select("path", "content"), "path").select(
-        "key", "path", "content").write.mode("append").parquet(store)
+def write_clean(items: DataFrame, root: str, store: str, run: str | None = None, **options) -> DataFrame:
+    """Place accepted items (path, eligible, content) without clobbering; returns PLACED and OUTPUT_EXISTS rows.
+    Bodies are joined to the finished plan; runs and repeats as in ``write_quarantine``."""
+    plan = ledger.add(
+        items.sparkSession, store, run,
+        lambda stored: plan_destinations(items.drop("content"), root, store, existing=None if stored is None else stored.select("key"), **options),
+        lambda made: (made.filter("placed").select(F.col("dest").alias("key"), "path").join(items.select("path", "content"), "path")
+                      .select("key", "path", "content")))
     return plan.filter(F.col("code").isNotNull()).select("path", "dest", "code", "severity", "message")
+
+
+def stored_items(spark: SparkSession, store: str) -> DataFrame:
+    """key, path and content of everything that finished runs have moved or placed into a store."""
+    rows = ledger.stored_rows(spark, store)
+    return spark.createDataFrame([], "key string, path string, content binary") if rows is None else rows

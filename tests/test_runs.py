@@ -11,7 +11,7 @@ from portcullis.operators.verdict import report_document, run_header, verdicts
 from portcullis.plans.ingest import ingest
 from portcullis.plans.scan import finding_rows, scan_items
 from portcullis.sources.items import as_attachments, as_parts, list_items
-from portcullis.sources.sinks import write_clean, write_quarantine, write_report
+from portcullis.sources.sinks import stored_items, write_clean, write_quarantine, write_report
 from portcullis.streaming import gate, settle
 
 HOME = Profile.load("homelab")
@@ -58,7 +58,7 @@ def test_quarantine_never_overwrites(spark, tree, tmp_path):
     first = write_quarantine(items, tree, store).collect()
     again = write_quarantine(items.withColumn("content", F.lit(b"other")), tree, store).collect()
     assert [r.severity for r in first] == [4] and [r.severity for r in again] == [1]
-    kept = spark.read.parquet(store).collect()
+    kept = stored_items(spark, store).collect()
     assert [(r.key, bytes(r.content)) for r in kept] == [("exe.mkv", b"MZ\x90\x00")]
     for bad in (tree, tree + "/x"):
         with pytest.raises(ValueError):
@@ -71,7 +71,7 @@ def test_clean_output_is_placed_once(spark, tmp_path):
     codes = {r.path: r.code for r in write_clean(items, "/in", store).collect()}
     assert codes == {"/in/a.avi": "PLACED", "/in/a.mp4": "OUTPUT_EXISTS"}
     assert {r.code for r in write_clean(items, "/in", store).collect()} == {"OUTPUT_EXISTS"}
-    assert [bytes(r.content) for r in spark.read.parquet(store).collect()] == [b"2"]
+    assert [bytes(r.content) for r in stored_items(spark, store).collect()] == [b"2"]
 
 
 def test_ingest_run(spark):
