@@ -1,18 +1,16 @@
 """Signature scan: how an outcome is graded, and matching bodies against a signature table."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portcullis.functions import tables as T
-from portcullis.functions.columns import let
 from portcullis.operators.spread import with_stats
 from portcullis.schema import BLOCK, FAIL, WARN, finding, gather, text, to_rows
-from portcullis.session import kept
-
-MAX_GRAM = 4                       # interior words that anchor a signature
-SHORT_LITERALS = 200               # one- and two-word signatures tested in place
-SHORT_LITERAL_CHARS = 4096
 
 
 def effective_mode(mode: Column, forced: Column) -> Column:
@@ -41,90 +39,125 @@ def signature_policy(mode: Column, forced: Column, present: Column, size: Column
 
 
 # --- matching -----------------------------------------------------------------------------------
-def _words(s: Column) -> Column:
-    return F.split(s, r"\s+")
-
-
-def _grams(words: Column, k: int) -> Column:
-    """Hashes of the distinct runs of ``k`` words; every word is reached by position, so the work
-    grows with the text and not with its square."""
-    def gram(i):
-        return F.xxhash64(F.lit(k), F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
-    return F.when(F.size(words) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - k), gram)))
-
-
-def anchors(signatures: DataFrame) -> DataFrame:
-    """(sig_id, k, gram): for every signature text the rarest run of its interior words.
-
-    The first and last word may be cut out of longer words of a body, so only the words between are
-    sure to stand in it. Rare anchors keep a phrase many signatures share from making candidates."""
-    w = signatures.select("sig_id", F.col("text").alias("t")).withColumn("w", _words(F.col("t")))
-    inner = w.filter(F.size("w") >= 3).withColumn("k", F.least(F.lit(MAX_GRAM), F.size("w") - 2)).withColumn(
-        "inner", F.slice("w", F.lit(2), F.size("w") - 2))
-    own = F.when(F.col("k") == 1, _grams(F.col("inner"), 1))
-    for k in range(2, MAX_GRAM + 1):
-        own = own.when(F.col("k") == k, _grams(F.col("inner"), k))
-    grams = inner.select("sig_id", "k", F.explode_outer(own).alias("gram")).filter(F.col("gram").isNotNull())
+#: Kinds of signatures by their bytes: (shortest, bytes of a run, runs in a window). Below the last kind a run is the
+#: whole signature.
+KINDS = [(47, 16, 32), (16, 8, 9), (8, 4, 5)]
+#: Bytes of bodies that are hashed at a time; longer bodies are cut into overlapping pieces of half that size.
+PIECE = 8 << 20
+
+
+def _kind(length: Column) -> Column:
+    """Number of a signature's kind: its place in ``KINDS``, or for shorter ones 100 and its bytes."""
+    out = F.when(length < 1, None)
+    for i, (shortest, _, _) in enumerate(KINDS):
+        out = out.when(length >= shortest, i)
+    return out.otherwise(100 + length).cast("int")
+
+
+def _runs(kind: int) -> tuple[int, int]:
+    return KINDS[kind][1:] if kind < 100 else (kind - 100, 1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def window_minima(data: np.ndarray, kind: int) -> np.ndarray:
+    """The least hash of each window of consecutive runs of bytes."""
+    k, w = _runs(kind)
+    n = len(data) - k + 1
+    if n < w:
+        return np.empty(0, np.uint64)
+    h = np.full(n, kind + 1, np.uint64)
+    for j in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + data[j:j + n]
+    h, span = _mixed(h), 1
+    while span * 2 <= w:
+        h, span = np.minimum(h[:-span], h[span:]), span * 2
+    return np.minimum(h[:len(h) - (w - span)], h[w - span:]) if w > span else h
+
+
+def _pieces(texts: list[bytes | None], reach: int) -> Iterator[list[tuple[int, bytes]]]:
+    """(row, bytes) of bounded groups; a text's pieces overlap by ``reach``."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        for lo in range(0, len(text or b""), PIECE // 2):
+            piece = text[lo:lo + PIECE // 2 + reach]
+            group.append((row, piece))
+            size += len(piece)
+            if size >= PIECE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _anchored(kinds: list[int]):
+    """Rows (id, gram) of each text's distinct window minima, of every kind in ``kinds``; with a column ``kind`` a row has
+    those of its own kind only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("kind").to_numpy() if "kind" in b.schema.names else None
+            for kind in kinds:
+                k, w = _runs(kind)
+                reach = k + w - 2
+                texts = b.column("text").to_pylist()
+                if own is not None:
+                    texts = [t if o == kind else None for t, o in zip(texts, own.tolist(), strict=True)]
+                for group in _pieces(texts, reach):
+                    least = window_minima(np.frombuffer(b"".join(t for _, t in group), np.uint8), kind)
+                    sizes = np.array([len(t) for _, t in group])
+                    row = np.repeat([r for r, _ in group], np.maximum(sizes - reach, 0))
+                    # windows that lie in one piece
+                    begins = np.cumsum(sizes) - sizes
+                    at = np.arange(len(row)) + np.repeat(begins - (np.cumsum(np.maximum(sizes - reach, 0)) - np.maximum(sizes - reach, 0)), np.maximum(sizes - reach, 0))
+                    gram = least[at]
+                    fresh = np.ones(len(row), bool)
+                    fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+                    row, gram = row[fresh], gram[fresh]
+                    order = np.lexsort((gram, row))
+                    row, gram = row[order], gram[order]
+                    fresh = np.ones(len(row), bool)
+                    fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[fresh], pa.int64())), pa.array(gram[fresh].view(np.int64))], names=["id", "gram"])
+    return run
+
+
+def _grams(rows: DataFrame, id_column: str, text_column: str, kinds: list[int], *more: Column) -> DataFrame:
+    given = rows.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"), *more)
+    return given.mapInArrow(_anchored(kinds), f"id {given.schema['id'].dataType.simpleString()}, gram long")
+
+
+def anchors(signatures: DataFrame, kinds: list[int]) -> DataFrame:
+    """(sig_id, gram): for every signature text the window minimum that the fewest signatures have. A text that holds
+    the signature has all of the signature's windows, so it has that minimum too."""
+    own = _kind(F.octet_length("text"))
+    grams = _grams(signatures.where(own.isNotNull()), "sig_id", "text", kinds, own.alias("kind"))
     counted = with_stats(grams, ["gram"], {"n": ("count", F.lit(1))})
-    return counted.groupBy("sig_id").agg(F.min(F.struct("n", "gram", "k")).alias("a")).select(
-        "sig_id", F.col("a.k").alias("k"), F.col("a.gram").alias("gram"))
-
-
-def _windows(s: Column, n: int) -> Column:
-    """Every run of ``n`` characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
-
-
-def _match_short(bodies: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(item_id, sig_id) for signatures of one or two words, which have no interior word.
-
-    A few are literals of the plan and tested in place. More are anchored on one run of at most
-    eight of their characters, joined on it and confirmed."""
-    short = signatures.filter((F.size(_words(F.col("text"))) < 3) & (F.length("text") > 0)).select("sig_id", "text")
-    few = short.filter(F.length("text") <= SHORT_LITERAL_CHARS).limit(SHORT_LITERALS + 1).collect()
-    if len(few) <= SHORT_LITERALS and short.filter(F.length("text") > SHORT_LITERAL_CHARS).isEmpty():
-        if not few:
-            return bodies.select("item_id", F.lit(None).cast(short.schema["sig_id"].dataType).alias("sig_id")).limit(0)
-        listed = F.array(*[F.struct(F.lit(r.sig_id).alias("id"), F.lit(r.text).alias("t")) for r in few])
-        hits = F.transform(F.filter(listed, lambda e: F.contains(F.col("body"), e["t"])), lambda e: e["id"])
-        return bodies.select("item_id", F.explode_outer(hits).alias("sig_id")).filter(F.col("sig_id").isNotNull())
-    sized = short.withColumn("n", F.least(F.lit(8), F.length("text"))).withColumn("gram", F.substring("text", F.lit(1), F.col("n")))
-    lengths = [r.n for r in sized.select("n").distinct().collect()]  # numbers from 1 to 8
-    runs = F.flatten(F.array(*[_windows(F.col("body"), n) for n in sorted(lengths)]))
-    pairs = (bodies.select("item_id", F.explode_outer(runs).alias("gram")).filter(F.col("gram").isNotNull())
-             .join(sized.select("sig_id", "gram"), "gram").select("item_id", "sig_id").distinct())
-    return (bodies.join(pairs, "item_id").join(short, "sig_id").filter(F.contains("body", "text"))
-            .select("item_id", "sig_id"))
+    return counted.groupBy("id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")).withColumnRenamed("id", "sig_id")
 
 
 def signature_match(items: DataFrame, signatures: DataFrame) -> DataFrame:
     """(item_id, sig_id, how): digest equality, or the signature's text inside the body.
 
-    Candidates share an anchor; each is confirmed by ``contains``. Bodies are never paired with
-    signatures they share nothing with. The anchors are stored once, so Spark knows their bytes and
-    picks the join by its own bound. Bodies do not travel with their grams: the few candidate pairs
-    are joined back to the bodies by item."""
-    digests = signatures.select("sig_id", "digest")
+    Bodies and signatures of any length meet in one way: of every window of consecutive runs of bytes only the least
+    hash counts, so a body gives a row for about every sixteenth byte, and a signature is found by one of its
+    windows. Rows join on the hash, by whatever join Spark picks; the few pairs are joined back to the bodies and
+    confirmed by ``contains``. The driver learns which kinds of signatures there are, at most ten numbers. Null
+    bodies and empty or null signatures match nothing by text."""
     exact = (items.select("item_id", F.sha2("body", 256).alias("digest"))
-             .join(digests, "digest").select("item_id", "sig_id", F.lit("digest").alias("how")))
-
-    anchored = kept(anchors(signatures))
-    sizes = anchored.agg(F.collect_set("k").alias("sizes")).first().sizes  # at most MAX_GRAM numbers
-    spoken = items.filter(F.col("body").isNotNull())
-    found = exact
-    if sizes:
-        grams = let(_words(F.col("body")), lambda w: F.flatten(F.array(
-            *[F.coalesce(_grams(w, k), F.array().cast("array<bigint>")) for k in sorted(sizes)])))
-        keyed = spoken.select("item_id", F.explode_outer(grams).alias("gram")).filter(F.col("gram").isNotNull())
-        keys = anchored.select("sig_id", "gram")
-        pairs = keyed.join(keys, "gram").select("item_id", "sig_id").distinct()
-        hits = (spoken.select("item_id", "body").join(pairs, "item_id")
-                .join(signatures.select("sig_id", "text"), "sig_id")
-                .filter(F.contains("body", "text")).select("item_id", "sig_id"))
-        found = found.unionByName(hits.withColumn("how", F.lit("text")))
-    found = found.unionByName(_match_short(spoken, signatures).withColumn("how", F.lit("text")))
+             .join(signatures.select("sig_id", "digest"), "digest").select("item_id", "sig_id", F.lit("digest").alias("how")))
+    kinds = sorted(signatures.agg(F.collect_set(_kind(F.octet_length("text"))).alias("kinds")).first().kinds)
+    if not kinds:
+        return exact.groupBy("item_id", "sig_id").agg(F.min("how").alias("how"))
+    spoken = items.where("body IS NOT NULL").select("item_id", "body")
+    pairs = (_grams(spoken, "item_id", "body", kinds).join(anchors(signatures, kinds), "gram")
+             .select(F.col("id").alias("item_id"), "sig_id").distinct())
+    hits = (spoken.join(pairs, "item_id").join(signatures.select("sig_id", "text"), "sig_id")
+            .where(F.contains("body", "text")).select("item_id", "sig_id", F.lit("text").alias("how")))
     # A digest hit is also a text hit; the digest is named.
-    return found.groupBy("item_id", "sig_id").agg(F.min("how").alias("how"))
+    return exact.unionByName(hits).groupBy("item_id", "sig_id").agg(F.min("how").alias("how"))
 
 
 def signature_findings(items: DataFrame, matches: DataFrame) -> DataFrame:

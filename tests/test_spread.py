@@ -84,10 +84,3 @@ def test_signatures_against_brute_force(spark):
     table = spark.createDataFrame([(i, t, hashlib.sha256(t.encode()).hexdigest()) for i, t in sigs], "sig_id long, text string, digest string")
     want = {(i, s, "digest" if b == t else "text") for i, b in bodies for s, t in sigs if b and t in b}
     assert {tuple(r) for r in signature_match(items, table).collect()} == want
-    from portcullis.operators import signatures as G
-    saved = (G.SHORT_LITERALS, G.MAX_ANCHOR_ROWS)
-    try:
-        G.SHORT_LITERALS, G.MAX_ANCHOR_ROWS = 0, 0   # the ways beyond the bounds
-        assert {tuple(r) for r in signature_match(items, table).collect()} == want
-    finally:
-        G.SHORT_LITERALS, G.MAX_ANCHOR_ROWS = saved
