@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from portcullis.functions import tables as T
 from portcullis.operators.spread import with_stats
 from portcullis.schema import BLOCK, FAIL, WARN, finding, gather, text, to_rows
+from portcullis.session import kept
 
 
 def effective_mode(mode: Column, forced: Column) -> Column:
@@ -44,6 +45,8 @@ def signature_policy(mode: Column, forced: Column, present: Column, size: Column
 KINDS = [(47, 16, 32), (16, 8, 9), (8, 4, 5)]
 #: Bytes of bodies that are hashed at a time; longer bodies are cut into overlapping pieces of half that size.
 PIECE = 8 << 20
+#: Bits of the bitmap of one kind's anchors.
+BITS = 1 << 22
 
 
 def _kind(length: Column) -> Column:
@@ -64,13 +67,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def window_minima(data: np.ndarray, kind: int) -> np.ndarray:
-    """The least hash of each window of consecutive runs of bytes."""
+    """The least hash of each window of consecutive runs of bytes. Hashes of runs double in length, then the rest of a
+    run's bytes is added; least hashes of windows double alike."""
     k, w = _runs(kind)
     n = len(data) - k + 1
     if n < w:
         return np.empty(0, np.uint64)
-    h = np.full(n, kind + 1, np.uint64)
-    for j in range(k):
+    h, span, factor = data.astype(np.uint64) + np.uint64(kind + 1), 1, 0x9E3779B97F4A7C15
+    while span * 2 <= k:
+        h, span, factor = h[:-span] * np.uint64(factor) + h[span:], span * 2, factor * factor % (1 << 64)
+    h = h[:n]
+    for j in range(span, k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + data[j:j + n]
     h, span = _mixed(h), 1
     while span * 2 <= w:
@@ -93,67 +100,87 @@ def _pieces(texts: list[bytes | None], reach: int) -> Iterator[list[tuple[int, b
         yield group
 
 
-def _anchored(kinds: list[int]):
-    """Rows (id, gram) of each text's distinct window minima, of every kind in ``kinds``; with a column ``kind`` a row has
-    those of its own kind only."""
+def _minima(ids: pa.Array, texts: list[bytes | None], kind: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows (id, kind, gram) of each text's distinct window minima; with ``bits`` only of those whose bit is set."""
+    k, w = _runs(kind)
+    for group in _pieces(texts, k + w - 2):
+        least = window_minima(np.frombuffer(b"".join(t for _, t in group), np.uint8), kind)
+        sizes = np.array([len(t) for _, t in group])
+        begins = np.cumsum(sizes) - sizes
+        fresh = np.ones(len(least), bool)
+        fresh[1:] = least[1:] != least[:-1]
+        fresh[begins[begins < len(least)]] = True  # a window across two texts must not hide the next one
+        at = np.nonzero(fresh)[0]
+        if bits is not None:
+            slot = (least[at] % np.uint64(BITS)).astype(np.int64)
+            at = at[bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0]
+        piece = np.searchsorted(begins, at, side="right") - 1
+        inside = at + k + w - 1 <= begins[piece] + sizes[piece]
+        at, row = at[inside], np.array([r for r, _ in group], np.int64)[piece[inside]]
+        gram = least[at].view(np.int64)
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+        once = np.ones(len(row), bool)
+        once[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+        row, gram = row[once], gram[once]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(np.full(len(row), kind, np.int32)), pa.array(gram)], names=["id", "kind", "gram"])
+
+
+def anchors(signatures: DataFrame) -> DataFrame:
+    """(sig_id, kind, gram): for every signature text the window minimum that the fewest signatures have. A text that
+    holds the signature has all of the signature's windows, so it has that minimum too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column("kind").to_numpy() if "kind" in b.schema.names else None
-            for kind in kinds:
-                k, w = _runs(kind)
-                reach = k + w - 2
-                texts = b.column("text").to_pylist()
-                if own is not None:
-                    texts = [t if o == kind else None for t, o in zip(texts, own.tolist(), strict=True)]
-                for group in _pieces(texts, reach):
-                    least = window_minima(np.frombuffer(b"".join(t for _, t in group), np.uint8), kind)
-                    sizes = np.array([len(t) for _, t in group])
-                    row = np.repeat([r for r, _ in group], np.maximum(sizes - reach, 0))
-                    # windows that lie in one piece
-                    begins = np.cumsum(sizes) - sizes
-                    at = np.arange(len(row)) + np.repeat(begins - (np.cumsum(np.maximum(sizes - reach, 0)) - np.maximum(sizes - reach, 0)), np.maximum(sizes - reach, 0))
-                    gram = least[at]
-                    fresh = np.ones(len(row), bool)
-                    fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-                    row, gram = row[fresh], gram[fresh]
-                    order = np.lexsort((gram, row))
-                    row, gram = row[order], gram[order]
-                    fresh = np.ones(len(row), bool)
-                    fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[fresh], pa.int64())), pa.array(gram[fresh].view(np.int64))], names=["id", "gram"])
-    return run
-
-
-def _grams(rows: DataFrame, id_column: str, text_column: str, kinds: list[int], *more: Column) -> DataFrame:
-    given = rows.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"), *more)
-    return given.mapInArrow(_anchored(kinds), f"id {given.schema['id'].dataType.simpleString()}, gram long")
-
-
-def anchors(signatures: DataFrame, kinds: list[int]) -> DataFrame:
-    """(sig_id, gram): for every signature text the window minimum that the fewest signatures have. A text that holds
-    the signature has all of the signature's windows, so it has that minimum too."""
-    own = _kind(F.octet_length("text"))
-    grams = _grams(signatures.where(own.isNotNull()), "sig_id", "text", kinds, own.alias("kind"))
+            kinds, texts = b.column("kind").to_numpy(), b.column("text").to_pylist()
+            for kind in np.unique(kinds).tolist():
+                yield from _minima(b.column("id"), [t if o == kind else None for t, o in zip(texts, kinds.tolist(), strict=True)], kind, None)
+
+    given = signatures.select(F.col("sig_id").alias("id"), F.col("text").cast("binary").alias("text"), _kind(F.octet_length("text")).alias("kind")).where("kind IS NOT NULL")
+    grams = given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, kind int, gram long")
     counted = with_stats(grams, ["gram"], {"n": ("count", F.lit(1))})
-    return counted.groupBy("id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")).withColumnRenamed("id", "sig_id")
+    best = F.min(F.struct("n", "gram", "kind"))
+    return counted.groupBy("id").agg(best.alias("a")).select(F.col("id").alias("sig_id"), "a.kind", "a.gram")
+
+
+def _filters(anchored: DataFrame) -> dict[int, np.ndarray]:
+    """For each kind of signature there is a bitmap of its anchors. Of fixed size, whatever the number of signatures: at
+    most ten kinds of ``BITS`` bits, which also bounds what the driver receives and broadcasts."""
+    slot = F.expr(f"pmod(gram, {BITS})")  # BITS divides two to the 64th, so signed and unsigned numbers agree
+    words = (anchored.select("kind", slot.alias("slot")).groupBy("kind", F.shiftright("slot", 5).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 31 AS INT))")).alias("bits")).collect())
+    out: dict[int, np.ndarray] = {}
+    for r in words:
+        out.setdefault(r.kind, np.zeros(BITS // 32, np.uint32))[r.word] = r.bits
+    return {kind: bits.view(np.uint8) for kind, bits in out.items()}
+
+
+def _spoken(bodies: DataFrame, filters: dict[int, np.ndarray]) -> DataFrame:
+    """(item_id, kind, gram) of the bodies' window minima that may be anchors."""
+    shared = bodies.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("body").to_pylist()
+            for kind, bits in shared.value.items():
+                yield from _minima(b.column("item_id"), texts, kind, bits)
+
+    given = bodies.select("item_id", F.col("body").cast("binary").alias("body"))
+    return given.mapInArrow(run, f"id {given.schema['item_id'].dataType.simpleString()}, kind int, gram long").withColumnRenamed("id", "item_id")
 
 
 def signature_match(items: DataFrame, signatures: DataFrame) -> DataFrame:
     """(item_id, sig_id, how): digest equality, or the signature's text inside the body.
 
     Bodies and signatures of any length meet in one way: of every window of consecutive runs of bytes only the least
-    hash counts, so a body gives a row for about every sixteenth byte, and a signature is found by one of its
-    windows. Rows join on the hash, by whatever join Spark picks; the few pairs are joined back to the bodies and
-    confirmed by ``contains``. The driver learns which kinds of signatures there are, at most ten numbers. Null
-    bodies and empty or null signatures match nothing by text."""
+    hash counts, and a signature is found by the rarest of its windows. A bitmap of fixed size keeps the hashes of
+    bodies that are no anchors from leaving their task; the rest joins the anchors, by whatever join Spark picks. The
+    few pairs are joined back to the bodies and confirmed by ``contains``. Null bodies and empty or null signatures
+    match nothing by text."""
     exact = (items.select("item_id", F.sha2("body", 256).alias("digest"))
              .join(signatures.select("sig_id", "digest"), "digest").select("item_id", "sig_id", F.lit("digest").alias("how")))
-    kinds = sorted(signatures.agg(F.collect_set(_kind(F.octet_length("text"))).alias("kinds")).first().kinds)
-    if not kinds:
-        return exact.groupBy("item_id", "sig_id").agg(F.min("how").alias("how"))
+    anchored = kept(anchors(signatures))
     spoken = items.where("body IS NOT NULL").select("item_id", "body")
-    pairs = (_grams(spoken, "item_id", "body", kinds).join(anchors(signatures, kinds), "gram")
-             .select(F.col("id").alias("item_id"), "sig_id").distinct())
+    pairs = _spoken(spoken, _filters(anchored)).join(anchored, ["kind", "gram"]).select("item_id", "sig_id").distinct()
     hits = (spoken.join(pairs, "item_id").join(signatures.select("sig_id", "text"), "sig_id")
             .where(F.contains("body", "text")).select("item_id", "sig_id", F.lit("text").alias("how")))
     # A digest hit is also a text hit; the digest is named.

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from portcullis.operators import signatures as G
@@ -44,13 +46,10 @@ def test_long_bodies_in_pieces(spark, monkeypatch):
     rng = random.Random(4)
     body = "".join(rng.choice("abcdefgh ") for _ in range(5000))
     sigs = [(i, body[i * 61:i * 61 + length]) for i, length in enumerate([50, 200, 47, 16, 9, 8, 3] * 10)]
-    rows = [list(G._pieces([body.encode(), None, b"x" * 70], 46))]
-    whole = G.window_minima(__import__("numpy").frombuffer(body.encode(), "u1"), 0)
+    whole = G.window_minima(np.frombuffer(body.encode(), np.uint8), 0)
     monkeypatch.setattr(G, "PIECE", 300)
-    import pyarrow as pa
-    batch = pa.record_batch([pa.array([7]), pa.array([body.encode()])], names=["id", "text"])
-    got = {g for b in G._anchored([0])([batch]) for g in b.column("gram").to_numpy().view("u8").tolist()}
-    assert got == set(whole.tolist()) and rows
+    got = [g for b in G._minima(pa.array([7, 8, 9]), [body.encode(), None, b"x" * 70], 0, None) for i, g in zip(b.column("id").to_pylist(), b.column("gram").to_numpy().view("u8").tolist(), strict=True) if i == 7]
+    assert set(got) == set(whole.tolist())
     assert matches(spark, [(1, body)], sigs) == brute([(1, body)], sigs)
 
 
