@@ -10,7 +10,10 @@ the token, or takes failure arcs until there is one, and adds up the weights.
 The model of a corpus grows with it and is never in one place. Texts are packed once into stored chunks
 of word numbers. Every chunk asks for the n-grams it holds, as sorted hashes by hash range with its own
 training counts; each range adds up the counts of all chunks and answers every chunk in the order of its
-question; a chunk with its answers is the part of the automaton that its texts can visit. The number of
+question; a chunk with its answers is the part of the automaton that its texts can visit. All texts of a
+chunk are traversed in step, one token at a time, with a vector of states and arcs in sorted arrays. A long
+text goes in pieces: the last n-1 tokens settle a state of n-grams, so a piece that begins n-1 tokens early, in the
+empty context and without counting these, is in the state of the whole traversal. The number of
 training words and of distinct ones come from the chunks' own vocabularies, by hash range. The ranges are
 asked in ``PASSES`` turns: only the answers of a turn are stored, its questions leave the disk.
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import PLACES, WordHashes, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, unpack, unpack_sorted, words
+from portcullis.llm.common import PLACES, WordHashes, distinct, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, unpack, unpack_sorted, words
 
 #: Length of the n-grams, 2 or 3.
 ORDER = 3
@@ -39,6 +42,8 @@ MU = (8.0, 24.0)
 CHUNK, RANGE = 600_000, 1_500_000
 #: Turns in which the ranges are asked: so many times less of the questions is on disk at once.
 PASSES = 3
+#: Tokens of a piece: texts are traversed in pieces, all pieces of a chunk in step.
+PIECE = 256
 #: Hashes of the marks; no word hashes to them, as words are hashed to even numbers.
 START, END = np.uint64(1), np.uint64(3)
 
@@ -113,10 +118,8 @@ class Chunk:
             out += token * PLACES[j]
         return np.where(at >= k - 2, mix(out, 100 + k) >> np.uint64(8), np.uint64(0))
 
-    def keys(self, order: int) -> np.ndarray:
-        """Ascending distinct n-gram hashes of all orders."""
-        found = [self.ngrams(k) for k in range(1, order + 1)]
-        return np.unique(np.concatenate([*[g[g != 0] for g in found], np.array([START])]))
+    def all_ngrams(self, order: int) -> list[np.ndarray]:
+        return [self.ngrams(k) for k in range(1, order + 1)]
 
     def questions(self, order: int, ranges: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys in the ranges of one turn, and their counts in the training texts."""
@@ -171,65 +174,86 @@ def _answer(table: pa.Table) -> pa.Table:
 
 class Automaton:
     """The states and arcs that a chunk's texts can visit. States: 0 the empty context, 1 the start mark,
-    then words, then pairs of a context and a word."""
-
-    def __init__(self, chunk: Chunk, keys: np.ndarray, totals: np.ndarray, n: int, v: int, order: int, mu: tuple[float, ...]) -> None:
-        def count(g: np.ndarray) -> np.ndarray:
-            return np.where(g == 0, 0, totals[np.minimum(np.searchsorted(keys, g), len(keys) - 1)].astype(np.int64))
-
-        tokens, size = chunk.tokens, len(chunk.vocabulary)
+    then words, then pairs of a context and a word. An arc's key is its state and token, in ascending order."""
+
+    def __init__(self, chunk: Chunk, grams: list[np.ndarray], totals: np.ndarray, n: int, v: int, mu: tuple[float, ...]) -> None:
+        # n-grams of all orders meet their totals, which are those of the ascending distinct hashes but 0
+        _, at = np.unique(np.concatenate([*grams, np.array([np.uint64(0), START])]), return_inverse=True)
+        found = np.append(np.int64(0), totals.astype(np.int64))[at]
+        counts = np.split(found, np.cumsum([len(g) for g in grams]))
+        self.order, self.size = len(grams), len(chunk.vocabulary)
+        tokens, size = chunk.tokens, self.size
         first = np.zeros(len(tokens), bool)
         first[chunk.ends - chunk.lengths] = True
-        c1 = count(word_key(chunk.vocabulary))
-        begins = int(count(np.array([START]))[0])
-        self.size, self.known = size, c1 > 0
+        c1 = np.zeros(size, np.int64)
+        c1[tokens] = counts[0]
+        begins = int(counts[-1][1])
+        self.known = c1 > 0
         p1 = (c1 + 1) / (n + v + 1)
         self.base = np.log10(p1)
-        # arcs of the empty context, and where they lead
-        self.root, self.root_state = self.base.tolist(), np.where(c1 > 0, np.arange(size) + 2, 0).tolist()
+        # arcs of the empty context, one for each word
+        arcs, weights, after = [np.arange(size)], [self.base], [np.where(c1 > 0, np.arange(size) + 2, 0)]
         # failure arcs of the start mark and of words
         c_word = np.concatenate([[0, begins], c1])
         self.fail_weight = np.log10(mu[0] / (c_word + mu[0]))
         self.fail_state = np.zeros(size + 2, np.int64)
         previous = np.where(first, 1, np.roll(tokens, 1) + 2)
-        c2 = count(chunk.ngrams(2))
-        of_previous = c_word[previous]
-        p2 = (c2 + mu[0] * p1[tokens]) / (of_previous + mu[0])
+        c2 = counts[1]
+        p2 = (c2 + mu[0] * p1[tokens]) / (c_word[previous] + mu[0])
         arc2 = previous * size + tokens
-        seen, at = np.unique(arc2[c2 > 0], return_index=True)
-        where = np.nonzero(c2 > 0)[0][at]
-        after = np.arange(len(seen)) + size + 2 if order > 2 else tokens[where] + 2
-        self.arcs = dict(zip(seen.tolist(), zip(np.log10(p2[where]).tolist(), after.tolist(), strict=True), strict=True))
-        if order > 2:
+        used = np.nonzero(c2 > 0)[0]
+        seen, at, pair = np.unique(arc2[used], return_index=True, return_inverse=True)
+        where = used[at]
+        arcs.append(seen)
+        weights.append(np.log10(p2[where]))
+        after.append(np.arange(len(seen)) + size + 2 if self.order > 2 else tokens[where] + 2)
+        if self.order > 2:
             self.fail_weight = np.append(self.fail_weight, np.log10(mu[1] / (c2[where] + mu[1])))
             self.fail_state = np.append(self.fail_state, tokens[where] + 2)
-            c3 = count(chunk.ngrams(3))
+            state = np.zeros(len(tokens), np.int64)  # of the pair that ends at a token
+            state[used] = pair + size + 2
+            c3 = counts[2]
             used = np.nonzero(c3 > 0)[0]
-            pair = np.searchsorted(seen, arc2[used - 1]) + size + 2
-            arc3, at = np.unique(pair * size + tokens[used], return_index=True)
+            arc3, at = np.unique(state[used - 1] * size + tokens[used], return_index=True)
             where = used[at]
-            p3 = (c3[where] + mu[1] * p2[where]) / (c2[where - 1] + mu[1])
-            after = np.searchsorted(seen, arc2[where]) + size + 2
-            self.arcs.update(zip(arc3.tolist(), zip(np.log10(p3).tolist(), after.tolist(), strict=True), strict=True))
-        self.fail_weight, self.fail_state = self.fail_weight.tolist(), self.fail_state.tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        """log10 probability of a text (word numbers with the end token) in one traversal."""
-        arc, size, fail_weight, fail_state = self.arcs.get, self.size, self.fail_weight, self.fail_state
-        state, total = 1, 0.0
-        for w in tokens:
-            while state:
-                hit = arc(state * size + w)
-                if hit is not None:
-                    total += hit[0]
-                    state = hit[1]
-                    break
-                total += fail_weight[state]
-                state = fail_state[state]
-            else:
-                total += self.root[w]
-                state = self.root_state[w]
-        return total
+            arcs.append(arc3)
+            weights.append(np.log10((c3[where] + mu[1] * p2[where]) / (c2[where - 1] + mu[1])))
+            after.append(state[where])
+        self.arcs, self.weights, self.after = np.concatenate(arcs), np.concatenate(weights), np.concatenate(after)
+
+    def scores(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each text (word numbers with the end token) in one traversal, all texts in step."""
+        starts = np.cumsum(lengths) - lengths
+        pieces = -(-lengths // PIECE)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = starts[text] + place * PIECE
+        size = np.minimum(begin + PIECE, (starts + lengths)[text]) - begin
+        later = place > 0
+        at, size = begin - later * (self.order - 1), size + later * (self.order - 1)
+        by_size = np.argsort(-size, kind="stable")  # those under way are always the first ones
+        at, later = at[by_size], later[by_size]
+        running = len(size) - np.searchsorted(np.sort(size), np.arange(size.max()), side="right")
+        state, total = np.where(later, 0, 1), np.zeros(len(size))
+        for step, m in enumerate(running.tolist()):
+            if step == self.order - 1:
+                total[later] = 0.0
+            w = tokens[at[:m] + step]
+            left = np.arange(m)
+            while len(left):  # the empty context has every arc, so this ends there
+                s = state[left]
+                key = s * self.size + w[left]
+                arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+                hit = self.arcs[arc] == key
+                to, arc = left[hit], arc[hit]
+                total[to] += self.weights[arc]
+                state[to] = self.after[arc]
+                left, s = left[~hit], s[~hit]
+                total[left] += self.fail_weight[s]
+                state[left] = self.fail_state[s]
+        whole = np.empty(len(size))
+        whole[by_size] = total
+        return np.bincount(text, weights=whole, minlength=len(lengths))
 
 
 def _traverse(order: int, mu: tuple[float, ...], n: int, v: int):
@@ -241,13 +265,12 @@ def _traverse(order: int, mu: tuple[float, ...], n: int, v: int):
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
         for row in left.to_pylist():
             chunk = Chunk(row)
-            keys = chunk.keys(order)
             totals = np.concatenate([unpack(answers[b]) for b in sorted(answers)])
-            auto = Automaton(chunk, keys, totals, n, v, order, mu)
+            auto = Automaton(chunk, chunk.all_ngrams(order), totals, n, v, mu)
             starts = chunk.ends - chunk.lengths
             base = np.add.reduceat(auto.base[chunk.tokens], starts)
             known = np.add.reduceat(auto.known[chunk.tokens].astype(np.int64), starts)
-            scores = [auto.score(chunk.tokens[lo:hi].tolist()) for lo, hi in zip(starts.tolist(), chunk.ends.tolist(), strict=True)]
+            scores = auto.scores(chunk.tokens, chunk.lengths)
             ids = pa.array(chunk.ids, pa.int64(), mask=chunk.ids_null)
             out.append(pa.Table.from_arrays([ids, pa.array(chunk.training), pa.array(chunk.lengths), pa.array(known), pa.array(base), pa.array(scores)],
                                             schema=kinds))
@@ -274,7 +297,7 @@ def _training_words(bits: int):
 
 def _distinct_words(table: pa.Table) -> pa.Table:
     words = [unpack_sorted(w) for w in table.column("words").to_pylist()]
-    return pa.table({"v": pa.array([len(np.unique(np.concatenate(words)))], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
+    return pa.table({"v": pa.array([len(distinct(np.concatenate(words)))], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
 
 def score(docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER,

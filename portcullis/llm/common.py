@@ -138,6 +138,14 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out, k)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct integers. Sorting is many times quicker here than the hash table of ``np.unique``."""
+    v = np.sort(values)
+    first = np.ones(len(v), bool)
+    np.not_equal(v[1:], v[:-1], out=first[1:])
+    return v[first]
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers as byte planes, without the planes that are all zero."""
     v = np.ascontiguousarray(values, np.uint64)
