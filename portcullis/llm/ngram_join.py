@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import (WordHashes, by_place, grams, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, tidy, tidy_group,
+from portcullis.llm.common import (WordHashes, by_place, distinct, grams, mix, pack, pack_sorted, runs, small_batches, stored, text_bytes, tidy, tidy_group,
                                    unpack, unpack_sorted, words)
 from portcullis.llm.components import components
 
@@ -59,7 +59,7 @@ HEAVY = np.uint64(1 << 40)
 
 def shingle_set(text: bytes, hashes: WordHashes, k: int = SHINGLE) -> np.ndarray:
     h = hashes.of(words(text))
-    return np.unique(grams(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
+    return distinct(grams(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -88,7 +88,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], hashes: WordHashes) -> Iterator[l
             if not len(s) or (k := set_key(s)) in seen:
                 continue
             seen.add(k)
-            found.append((k, len(s), np.unique(s >> np.uint64(16))))
+            found.append((k, len(s), distinct(s >> np.uint64(16))))
             size += len(s)
             if size >= CHUNK:
                 yield found
@@ -132,7 +132,7 @@ def _describe(share: int):
                 ks.append(signed(k))
                 if k not in seen:
                     seen.add(k)
-                    tokens.append(np.unique(s >> np.uint64(16)))
+                    tokens.append(distinct(s >> np.uint64(16)))
                     size += len(s)
                     if size >= CHUNK:
                         yield from frequent()
