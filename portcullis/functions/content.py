@@ -1,8 +1,12 @@
 """Content functions: what a body is, judged from its bytes."""
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from portcullis.functions import tables as T
 from portcullis.functions.columns import lookup
@@ -137,9 +141,19 @@ def head_tail_valid(content: Column, tier: str, window: int = T.SNIFF_WINDOW) ->
                   & lenient(F.substring(content, -window, window), True)).otherwise(whole)
 
 
+@F.arrow_udf(StringType())
+def _composed(s: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else normalize("NFC", t) for t in s.to_pylist()], pa.string())
+
+
+def composed(s: Column) -> Column:
+    """Unicode normal form C. Characters below U+0300 are never changed by it, so only texts with others go to Python."""
+    return F.coalesce(_composed(F.when(s.rlike(r"[^\x00-\x{2FF}]"), s)), s)
+
+
 def canonical_bytes(s: Column) -> Column:
-    """Text in the form two honest copies share: newlines, trailing blanks and outer blank space
-    removed from the comparison."""
-    t = F.regexp_replace(s, r"\r\n?", "\n")
+    """Text in the form two honest copies share: newlines, trailing blanks, outer blank space and the way accents
+    are composed are removed from the comparison."""
+    t = F.regexp_replace(composed(s), r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[ \t]+(?=\n|\z)", "")
     return F.regexp_replace(t, r"\n+\z", "")

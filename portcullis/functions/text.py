@@ -142,9 +142,11 @@ def find_links(s: Column) -> Column:
         return F.when(m.rlike(f"^(?i){_SCHEME}"), m).when(name != "", name).otherwise(F.regexp_extract(m, _IN_RUN_WWW, 1))
 
     found = F.filter(F.transform(F.regexp_extract_all(s, F.lit(LINK), 1), lambda m: F.rtrim(whole(m), F.lit(T.LINK_TRAILING))), lambda m: m != "")
-    folded = lambda ms: F.transform(ms, F.lower)
-    firsts = let(F.when(s.rlike(MAYBE_LINK), found), lambda ms: let(
-        folded(ms), lambda low: F.filter(ms, lambda m, i: F.array_position(low, F.lower(m)) == i + 1)))
+    # Sorted by spelling, the first of equal ones stands before the others: no link is compared with all others.
+    placed = lambda ms: F.array_sort(F.transform(ms, lambda m, i: F.struct(F.lower(m).alias("low"), i.alias("i"), m.alias("m"))))
+    heads = lambda by: F.filter(by, lambda e, i: (i == 0) | (e["low"] != F.get(by, i - 1)["low"]))
+    in_order = lambda es: F.transform(F.array_sort(F.transform(es, lambda e: F.struct(e["i"].alias("i"), e["m"].alias("m")))), lambda e: e["m"])
+    firsts = let(F.when(s.rlike(MAYBE_LINK), found), lambda ms: let(placed(ms), lambda by: in_order(heads(by))))
     return F.coalesce(firsts, F.array().cast("array<string>"))
 
 

@@ -14,6 +14,7 @@ from portcullis.queries.base import ITEMS_SQL, by_rest, documents_items, query,
 from portcullis.queries.content import UTF8_HEX
 from portcullis.queries.policy import PROFILES
 from portcullis.schema import union_all
+from portcullis.sources import decode as D
 
 P = Settings.of(PROFILES["homelab"])
 _CANON = "rtrim(regexp_replace({c}, '[ \\t]+(\\n|$)', '\\1', 'g'), chr(10))"
@@ -32,6 +33,18 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", V.canonical_hash(framed).alias("digest"))
 
 
+_ACCENTS = "replace(replace(text, 'a', 'á'), 'o', 'ö')"
+
+
+@query("v02_unicode_forms", f"""WITH c AS (SELECT doc_id, nfc_normalize({_ACCENTS}) AS s FROM documents)
+ SELECT doc_id, sha256({_CANON.format(c='s')}) AS digest FROM c""")
+def _(spark, sf):
+    """Every second document has its accents decomposed; its digest is that of the composed form."""
+    accents = F.replace(F.replace("text", F.lit("a"), F.lit("\u00e1")), F.lit("o"), F.lit("\u00f6"))
+    apart = F.replace(F.replace(accents, F.lit("\u00e1"), F.lit("a\u0301")), F.lit("\u00f6"), F.lit("o\u0308"))
+    return table(spark, sf, "documents").select("doc_id", V.canonical_hash(F.when(F.col("doc_id") % 2 == 0, apart).otherwise(accents)).alias("digest"))
+
+
 # --- parts against their copies ---------------------------------------------------------------------------
 def _turns(spark, sf):
     """Conversation turns as parts, and a copy with lost, changed and reframed turns."""
@@ -136,6 +149,25 @@ def _(spark, sf):
     return rows(documents_items(spark, sf).filter(F.col("content").isNotNull()), K.check_decode(F.col("content"), "full", F.lit(True)))
 
 
+_JSON_BODY = """CASE doc_id % 7 WHEN 0 THEN left(j, length(j) - 1) WHEN 1 THEN j || ' x' WHEN 2 THEN replace(j, '":', '" ') WHEN 3 THEN '[' || j || ', null, -1.5e3, "\\u00e9"]' ELSE j END"""
+
+
+@query("v07_decode_ranges", f"""WITH d AS (SELECT doc_id, CAST(json_object('doc_id', doc_id, 'text', text) AS VARCHAR) AS j FROM documents),
+ b AS (SELECT doc_id, {_JSON_BODY} AS s FROM d)
+ SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'DECODE_FAIL' ELSE 'UNPARSEABLE' END AS code, 3 AS severity, doc_id % 11 <> 3 AS terminal,
+   CASE WHEN doc_id % 11 = 3 THEN 'content does not decode (full)' ELSE 'content is not one JSON value' END AS message
+ FROM b WHERE doc_id % 11 = 3 OR NOT json_valid(s)""")
+def _(spark, sf):
+    """The documents as JSON bodies: some cut, with something behind the value or without colons; in some a byte that begins no character leads."""
+    d = F.col("doc_id")
+    j = F.to_json(F.struct("doc_id", "text"))
+    s = (F.when(d % 7 == 0, F.left(j, F.length(j) - 1)).when(d % 7 == 1, F.concat(j, F.lit(" x"))).when(d % 7 == 2, F.replace(j, F.lit('":'), F.lit('" ')))
+          .when(d % 7 == 3, F.concat(F.lit("["), j, F.lit(', null, -1.5e3, "\\u00e9"]'))).otherwise(j))
+    body = F.concat(F.when(d % 11 == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.encode(s, "UTF-8"))
+    faults = D.body_faults(table(spark, sf, "documents"), ["doc_id"], body, F.lit(True))
+    return D.fault_findings(faults, "doc_id").select("doc_id", "code", "severity", "terminal", "message")
+
+
 @query("v05_hdr_lost", """WITH e AS (SELECT event_id AS item_id, CASE event_id % 3 WHEN 0 THEN 'hdr10' WHEN 1 THEN 'hdr10+dv' ELSE '' END AS a, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 3 = 0 THEN 'hdr10' WHEN event_id % 3 = 1 THEN 'hdr10+dv' ELSE '' END AS b FROM events)
  SELECT item_id, 'HDR_LOST' AS code, 3 AS severity, 'source video is ' || CASE a WHEN '' THEN 'none' ELSE a END || ', output is ' || CASE b WHEN '' THEN 'none' ELSE b END AS message FROM e WHERE a <> b""")
 def _(spark, sf):
