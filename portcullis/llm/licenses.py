@@ -7,6 +7,9 @@ the places reachable without a word closed over beforehand. A text is read word
 live states; it is accepted from the first to the last word of the longest run whose mandatory wording
 matches word for word. Only places whose word can begin a template start a run.
 
+Templates of whole licences reach to their last mandatory word, liability clauses included, and are worth 1; where
+only the opening of a licence stands, or its name is given, the text is worth less.
+
 Beside templates, short phrases are counted wherever their words stand in a row; their labels are kept
 even where no template matches. One projection of each whole text; nothing is shuffled.
 
@@ -36,26 +39,48 @@ notice, this list of conditions and the following disclaimer. <<beginOptional>>2
 must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
 other materials provided with the distribution."""
 _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY <<var;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
-LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
-_ALSO = "<<beginOptional>>or (at your option) any later version<<endOptional>>"
-TEMPLATES = [
-    ("mit", 1.0, """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+<<var;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
 use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
 Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
 <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the
-Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
-    ("isc", 1.0, """Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>>
-distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and
-this permission notice appear in all copies."""),
+Software."""
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;most=12>> BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC_GRANT = """Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>>
+distribute this software for any purpose with or without fee is hereby granted"""
+_ISC_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_TAIL = """THE SOFTWARE IS PROVIDED "AS IS" AND <<var;most=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;most=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE_HEAD = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means."""
+_ALSO = "<<beginOptional>>or (at your option) any later version<<endOptional>>"
+TEMPLATES = [
+    ("mit", 1.0, _MIT_GRANT + " " + _AS_IS),
+    ("mit", 0.6, _MIT_GRANT),
+    ("isc", 1.0, _ISC_GRANT + _ISC_NOTICE + " " + _ISC_TAIL),
+    ("isc", 0.6, _ISC_GRANT + _ISC_NOTICE),
+    ("0bsd", 1.0, _ISC_GRANT + ". " + _ISC_TAIL),
     ("bsd-2", 1.0, _BSD_HEAD + " " + _BSD_TAIL),
+    ("bsd", 0.6, _BSD_HEAD),
     ("bsd-3", 1.0, _BSD_HEAD + """ <<beginOptional>>3<<endOptional>> Neither the name of <<var;most=12>> nor the names of its
 contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """ + _BSD_TAIL),
-    ("unlicense", 1.0, """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
-publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
-commercial or non-commercial, and by any means."""),
+    ("unlicense", 1.0, _UNLICENSE_HEAD + """ In jurisdictions that recognize copyright laws, the author or authors of this software
+dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public
+at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law. """ + _AS_IS),
+    ("unlicense", 0.6, _UNLICENSE_HEAD),
     ("apache-2", 1.0, """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at <<var;most=12>> Unless required by applicable law or agreed
 to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY

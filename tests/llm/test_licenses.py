@@ -54,5 +54,21 @@ def test_phrases_against_brute_force(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.found)
 
 
+def test_an_opening_is_worth_less_than_a_licence():
+    s = L.Scanner()
+
+    def worths(t):
+        ws = [w.encode() for w in words(t)]
+        return {m[:2] for m in s.matches(ws, set(ws))}
+    fill = lambda t: re.sub("<<begin.*?<<endOptional>>", "", t.replace("\n", " ").replace("<<var;most=12>>", "the authors").replace("<<var;most=8>>", "the author"))
+    whole = {label: fill(t) for label, worth, t in L.TEMPLATES if worth == 1.0}
+    for label, opening in (("mit", "mit"), ("isc", "isc"), ("bsd-2", "bsd"), ("bsd-3", "bsd"), ("unlicense", "unlicense")):
+        text = whole[label]
+        assert (label, 1.0) in worths(text) and (opening, 0.6) in worths(text)
+        for lost in (text[:text.upper().index("IN NO EVENT")], re.sub("(?i)be liable", "be held liable", text), re.sub("(?i)as is", "as it is", text)):
+            assert worths(lost) == {(opening, 0.6)}, (label, lost)
+    assert worths(whole["0bsd"]) == {("0bsd", 1.0)}
+
+
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
