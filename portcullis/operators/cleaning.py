@@ -8,7 +8,7 @@ from portcullis.functions import tables as T
 from portcullis.functions.columns import ext
 from portcullis.operators.metadata import provenance_keys
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import paged_lists
+from portcullis.operators.spread import ordered_entries, paged_lists
 from portcullis.schema import FAIL, PASS, WARN, finding, gather, text, to_rows
 
 
@@ -34,6 +34,11 @@ def removals(items: DataFrame, parts: DataFrame, p: Settings, keys: list[str] |
     return rows
 
 
+def removal_entries(what: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ordinal, what): the removals of each item numbered in order, one row a removal."""
+    return ordered_entries(what, keys or ["item_id"], "rank", F.col("what"), "what")
+
+
 def clean_findings(items: DataFrame, what: DataFrame, dry_run: bool = False, keys: list[str] | None = None,
                    page: int = 4096) -> DataFrame:
     """METADATA (or DRY_RUN) with the removals, NOTHING_TO_CLEAN for an item without any."""

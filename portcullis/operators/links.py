@@ -9,7 +9,7 @@ from portcullis.functions.columns import let
 from portcullis.functions.text import clip_bytes, find_links
 from portcullis.operators.checks import graded
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import BLOCK_ROWS, paged_lists
+from portcullis.operators.spread import ordered_entries, paged_lists
 from portcullis.schema import finding, gather, text, to_rows, union_all
 
 
@@ -54,10 +54,14 @@ def link_hits(items: DataFrame, parts: DataFrame | None = None, chapters: DataFr
     return union_all(frames)
 
 
+def link_entries(hits: DataFrame) -> DataFrame:
+    """(item_id, ordinal, hit): the labelled links of each item numbered in report order, one row a link."""
+    return ordered_entries(hits, ["item_id"], "rank", F.col("hit"), "hit")
+
+
 def links_in_attrs(hits: DataFrame, p: Settings, page: int = 4096) -> DataFrame:
     """LINK_IN_TAG findings: one per item, or one per page of ``page`` links of a larger item."""
-    lists = paged_lists(hits, ["item_id"], "rank", F.col("hit"), "hits", page,
-                        size=HIT_SPAN * BLOCK_ROWS)
+    lists = paged_lists(hits, ["item_id"], "rank", F.col("hit"), "hits", page)
     return to_rows(lists, gather(finding(
         F.lit(True), "links", "LINK_IN_TAG", graded(p["metadata.links"]),
         text(F.col("total"), " link(s) in metadata: ", F.array_join("hits", "; ")),

@@ -12,7 +12,7 @@ from portcullis.functions import tables as T
 from portcullis.functions.columns import canonical_lang, ext, is_und, let
 from portcullis.operators.metadata import attachment_payload
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import paged_lists, with_flag_from, with_stats
+from portcullis.operators.spread import ordered_entries, paged_lists, with_flag_from, with_stats
 from portcullis.schema import BLOCK, FAIL, LAST_SEQ, PASS, WARN, finding, gather, text, to_rows
 
 COMMENTARY = "(?i)(?<![A-Za-z0-9_])commentar(?:y|ie[s\u017f])(?![A-Za-z0-9_])"
@@ -235,6 +235,11 @@ def action_lines(decided: DataFrame, attachments: DataFrame | None, p: Settings,
     return lines
 
 
+def action_entries(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ordinal, line): the actions of each item numbered in order, one row an action."""
+    return ordered_entries(lines, keys or ["item_id"], "rank", F.col("line"), "line")
+
+
 def action_list(lines: DataFrame, keys: list[str] | None = None, page: int = 4096) -> DataFrame:
     """Ordered action lists per item, in bounded pages."""
     return paged_lists(lines, keys or ["item_id"], "rank", F.col("line"), "actions", page)

@@ -53,9 +53,9 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position", pa
     return begun.withColumn(name, row + 1 + F.col("__begin")).drop("__at", "__begin")
 
 
-def _runs(lanes: int):
+def _runs(keys: int, lanes: int):
     """Numbers the rows of a partition group by group and accumulates each lane by exclusive or. The first columns
-    are the group, the partition and the lanes."""
+    are those of the group, the partition and the lanes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, segment, count = None, 0, 0
         carry = [np.int64(0)] * lanes
@@ -63,21 +63,21 @@ def _runs(lanes: int):
             n = b.num_rows
             if not n:
                 continue
-            key = b.column(0)
             fresh = np.zeros(n, bool)
             if n > 1:
-                a, z = key.slice(1), key.slice(0, n - 1)
-                differ = pc.or_(pc.xor(pc.is_null(a), pc.is_null(z)), pc.fill_null(pc.not_equal(a, z), False))
-                fresh[1:] = np.asarray(differ.to_numpy(zero_copy_only=False), bool)
-            first = key[0].as_py()
-            fresh[0] = last is not None and (first,) != last
-            last = (key[n - 1].as_py(),)
+                for key in b.columns[:keys]:
+                    a, z = key.slice(1), key.slice(0, n - 1)
+                    differ = pc.or_(pc.xor(pc.is_null(a), pc.is_null(z)), pc.fill_null(pc.not_equal(a, z), False))
+                    fresh[1:] |= np.asarray(differ.to_numpy(zero_copy_only=False), bool)
+            first = tuple(key[0].as_py() for key in b.columns[:keys])
+            fresh[0] = last is not None and first != last
+            last = tuple(key[n - 1].as_py() for key in b.columns[:keys])
             number = np.cumsum(fresh)
             starts = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
             place = np.arange(n) - starts + np.where(starts < 0, count - 1, 0)
             columns = [pa.array(number + segment, pa.int64()), pa.array(place + 1, pa.int64())]
             for i in range(lanes):
-                values = b.column(2 + i).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = b.column(keys + 1 + i).to_numpy(zero_copy_only=False).astype(np.int64)
                 upto = np.bitwise_xor.accumulate(values)
                 before = np.concatenate([[np.int64(0)], upto[:-1]])
                 # less what the group's own beginning had seen, or with what earlier batches carried
@@ -90,28 +90,28 @@ def _runs(lanes: int):
     return run
 
 
-def with_group_position(df: DataFrame, group: str, order: list[Column], name: str = "position", xor: list[str] = (),
+def with_group_position(df: DataFrame, group: str | list[str], order: list[Column], name: str = "position", xor: list[str] = (),
                         parts: int | None = None) -> DataFrame:
-    """Append the place (from 1) of each row in its ``group`` (one column; null is a group) by ``order``, and for each
+    """Append the place (from 1) of each row in its ``group`` (one column or several; null is a group) by ``order``, and for each
     long column of ``xor`` a column ``<column>_before``: the exclusive or over the group's earlier rows. The frame
     is stored once, sorted by group and order."""
-    lanes = list(xor)
-    rest = [c for c in df.columns if c != group and c not in lanes]
-    dealt = _dealt(df.select(group, *lanes, *rest), [F.col(group).asc_nulls_first(), *order], parts)
-    lined = dealt.select(group, F.spark_partition_id().cast("long").alias("__part"), *lanes, *rest)
+    lanes, keys = list(xor), [group] if isinstance(group, str) else list(group)
+    rest = [c for c in df.columns if c not in keys and c not in lanes]
+    dealt = _dealt(df.select(*keys, *lanes, *rest), [*[F.col(k).asc_nulls_first() for k in keys], *order], parts)
+    lined = dealt.select(*keys, F.spark_partition_id().cast("long").alias("__part"), *lanes, *rest)
     longs = ["__segment", "__place", *[f"__before{i}" for i in range(len(lanes))]]
     schema = StructType([*lined.schema.fields, *[StructField(c, LongType()) for c in longs]])
-    at = kept(lined.mapInArrow(_runs(len(lanes)), schema))
+    at = kept(lined.mapInArrow(_runs(len(keys), len(lanes)), schema))
     end = F.struct(F.col("__segment"), F.col("__place"))
     tails = [F.max_by(F.col(f"__before{i}").bitwiseXOR(F.col(x)), end).alias(f"t{i}") for i, x in enumerate(lanes)]
     summary = at.groupBy("__part").agg(
-        F.struct(F.min_by(group, end)).alias("first"), F.struct(F.max_by(group, end)).alias("last"),
+        F.min_by(F.struct(*keys), end).alias("first"), F.max_by(F.struct(*keys), end).alias("last"),
         F.max("__segment").alias("segments"), F.max_by("__place", end).alias("n"), *tails).orderBy("__part").collect()
     carried: dict[int, list[int]] = {}
     before = None
     for r in summary:  # a row a partition: what the partition's first group has had in those before it
         has = [r.n, *[r[f"t{i}"] for i in range(len(lanes))]]
-        if before is not None and before[0][0] == r["first"][0]:
+        if before is not None and before[0] == r["first"]:
             carried[r["__part"]] = before[1]
             if r.segments == 0:
                 has = [has[0] + before[1][0], *[a ^ b for a, b in zip(has[1:], before[1][1:], strict=True)]]

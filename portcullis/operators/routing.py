@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from portcullis.functions.columns import base_name, category, ext
 from portcullis.operators.policy import ACTION_SPAN
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import paged_lists, with_flag_from, with_stats
+from portcullis.operators.spread import ordered_entries, paged_lists, with_flag_from, with_stats
 from portcullis.schema import BLOCK, FAIL, PASS, WARN, finding, gather, text, to_rows
 
 
@@ -54,6 +54,11 @@ def rebuild_reasons(decided: DataFrame, attachments: DataFrame | None, chapters:
     return rows
 
 
+def reason_entries(reasons: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ordinal, reason): the reasons of each item numbered in order, one row a reason."""
+    return ordered_entries(reasons, keys or ["item_id"], "rank", F.col("reason"), "reason")
+
+
 def reason_lists(reasons: DataFrame, keys: list[str] | None = None, page: int = 4096) -> DataFrame:
     return paged_lists(reasons, keys or ["item_id"], "rank", F.col("reason"), "reasons", page)
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portcullis.operators.prefix import with_group_position
+from portcullis.session import kept
+
 BLOCK_ROWS = 65536
 
 
@@ -79,19 +82,30 @@ def with_carry(rows: DataFrame, keys: list[str], order: list[str], block: Column
                   .drop("__block", "__carry"))
 
 
-def paged_lists(rows: DataFrame, keys: list[str], order: str, value: Column, name: str,
-                page: int = 4096, size: int = BLOCK_ROWS) -> DataFrame:
-    """Ordered lists per group, in pages of bounded length: (keys, page, pages, total, name).
+def ordered_entries(rows: DataFrame, keys: list[str], order: str | list[str], value: Column, name: str) -> DataFrame:
+    """(keys, ordinal, name): one row an entry with its place (from 1) in the group's order, ties by value.
+
+    The input is computed once, stored with only these columns and numbered by a prefix sum over range partitions:
+    no row, task or window holds a group, whatever its size."""
+    places = [order] if isinstance(order, str) else list(order)
+    narrow = kept(rows.select(*keys, *[F.col(o).alias(f"__order{i}") for i, o in enumerate(places)], value.alias(name)))
+    by = [*[F.col(f"__order{i}") for i in range(len(places))], F.col(name)]
+    return with_group_position(narrow, keys, by, "ordinal").select(*keys, "ordinal", name)
+
+
+def paged_lists(rows: DataFrame, keys: list[str], order: str | list[str], value: Column, name: str,
+                page: int = 4096) -> DataFrame:
+    """The entries of ``ordered_entries`` as lists, in pages of bounded length: (keys, page, pages, total, name).
 
     A group up to one page long is one row; a longer one stays whole over several rows."""
-    numbered = with_ordinal(rows.withColumn("__v", value), keys, order, "__rank", size=size)
-    paged = numbered.withColumn("page", F.floor((F.col("__rank") - 1) / page).cast("int"))
-    lists = paged.groupBy(*keys, "page").agg(
-        F.array_sort(F.collect_list(F.struct("__rank", "__v"))).alias("__l"))
-    group = Window.partitionBy(*keys)
-    return lists.select(*keys, "page", F.count("*").over(group).cast("int").alias("pages"),
-                        F.sum(F.size("__l")).over(group).alias("total"),
-                        F.transform("__l", lambda e: e["__v"]).alias(name))
+    entries = ordered_entries(rows, keys, order, value, name).withColumn(
+        "page", F.floor((F.col("ordinal") - 1) / page).cast("int"))
+    lists = entries.groupBy(*keys, "page").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", name))).alias("__l"))
+    totals = entries.groupBy(*keys).agg(F.max("ordinal").alias("total"))
+    return _join_back(lists, totals, keys).select(
+        *keys, "page", F.ceil(F.col("total") / page).cast("int").alias("pages"), "total",
+        F.transform("__l", lambda e: e[name]).alias(name))
 
 
 def with_flag_from(rows: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:

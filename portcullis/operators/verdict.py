@@ -4,12 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.operators.spread import paged_lists
+from portcullis.operators.spread import ordered_entries, paged_lists
 from portcullis.functions.tables import SEVERITY_NAMES
 from portcullis.schema import FAIL, PASS, severity_name, text
 
 SCHEMA_ID = "portcullis.report/1"
-RANK_SPAN = 1 << 32  # sequence numbers within one stage
 
 
 def verdicts(items: DataFrame, findings: DataFrame, key: str = "item_id") -> DataFrame:
@@ -50,13 +49,20 @@ def merge_results(*results: DataFrame) -> DataFrame:
     return out
 
 
+def _entry() -> Column:
+    return F.struct("code", severity_name(F.col("severity")).alias("severity"), "message",
+                    F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+def finding_entries(findings: DataFrame, key: str = "item_id") -> DataFrame:
+    """(item, ordinal, code, severity, message, detail): one row a finding, numbered in the order they were made."""
+    return ordered_entries(findings, [key], ["stage", "seq"], _entry(), "entry").select(key, "ordinal", "entry.*")
+
+
 def ordered_findings(findings: DataFrame, key: str = "item_id", page: int = 4096) -> DataFrame:
-    """(item, page, pages, total, findings): findings in the order they were made, in pages of
-    bounded length, so that no item is collected whole when it has very many."""
-    ranked = findings.withColumn("__at", F.col("stage").cast("long") * RANK_SPAN + F.col("seq").cast("long"))
-    entry = F.struct("code", severity_name(F.col("severity")).alias("severity"), "message",
-                     F.coalesce("detail", F.lit("")).alias("detail"))
-    return paged_lists(ranked, [key], "__at", entry, "findings", page, size=RANK_SPAN)
+    """(item, page, pages, total, findings): the same as lists in pages of bounded length, so that no item is
+    collected whole when it has very many."""
+    return paged_lists(findings, [key], ["stage", "seq"], _entry(), "findings", page)
 
 
 def report_lines(judged: DataFrame, findings: DataFrame, key: str = "item_id", page: int = 4096) -> DataFrame:

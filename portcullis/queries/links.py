@@ -98,6 +98,16 @@ def _(spark, sf):
     return L.links_in_attrs(L.link_hits(items, parts, attachments=named), P).select("item_id", "code", "severity", "message")
 
 
+@query("l02_link_entries", f"""WITH {DOCUMENT_PARTS_SQL}, {ATTACHMENTS_SQL}, named AS (SELECT * FROM attachments WHERE file_name LIKE '%ttf'),
+ {_PART_HITS} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY src, idx, p) AS ordinal, w || ': ' || l AS hit FROM hits""")
+def _(spark, sf):
+    """Every link of a few items with very many parts, one row a link."""
+    named = document_attachments(spark, sf).withColumn("file_name", F.regexp_replace("file_name", "ttf$", "com"))
+    items = table(spark, sf, "documents").select(F.col("source").alias("item_id")).distinct().select(
+        "item_id", F.lit("").alias("title"), F.create_map().cast("map<string,string>").alias("tags"))
+    return L.link_entries(L.link_hits(items, document_parts(spark, sf), attachments=named))
+
+
 @query("l03_links_in_text_parts", f"""WITH {DOCUMENT_PARTS_SQL}, c AS (SELECT *, {links_sql("substr(text || CASE WHEN idx % 5 = 0 THEN ' http://x' || idx || '.example.org/a' ELSE '' END, 1)")} AS l FROM parts WHERE type = 'subtitle' AND text_sub)
  SELECT item_id, idx, 'LINK_IN_SUBS' AS code, 1 AS severity, 'stream #' || idx || ' subtitle text contains ' || len(l) || ' link(s): ' || array_to_string(l, ', ') AS message FROM c WHERE len(l) > 0""")
 def _(spark, sf):

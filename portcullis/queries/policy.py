@@ -189,10 +189,13 @@ def _(spark, sf):
     return D.item_strips(swept, Settings.of_profiles(list(PROFILES.values())))
 
 
-@query("p16_action_list", f"""WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {decide_sql(RULES)},
+_ACTIONS_SQL = f"""WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {decide_sql(RULES)},
  l AS (SELECT item_id, idx, CASE WHEN keep THEN 'keep' ELSE 'drop' END || ' #' || idx || ' ' || type || ' ' || codec || ' ' || CASE WHEN lang = '' THEN 'und' ELSE lower(lang) END || CASE WHEN keep AND out_default AND type <> 'video' THEN ' default' ELSE '' END ||
     CASE WHEN keep AND out_forced THEN ' forced' ELSE '' END || CASE WHEN set_language <> '' THEN ' lang=' || set_language ELSE '' END || ': ' || reason AS line FROM decided
-   UNION ALL SELECT DISTINCT item_id, 1000000, 'keep chapters' FROM decided)
+   UNION ALL SELECT DISTINCT item_id, 1000000, 'keep chapters' FROM decided)"""
+
+
+@query("p16_action_list", f"""{_ACTIONS_SQL}
  SELECT item_id, string_agg(line, chr(10) ORDER BY idx) AS actions FROM l GROUP BY item_id""")
 def _(spark, sf):
     p = Settings.of(RULES)
@@ -200,6 +203,12 @@ def _(spark, sf):
     return D.action_list(lines).select("item_id", F.array_join("actions", "\n").alias("actions"))
 
 
+@query("p16_action_entries", f"""{_ACTIONS_SQL} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY idx) AS ordinal, line FROM l""")
+def _(spark, sf):
+    p = Settings.of(RULES)
+    return D.action_entries(D.action_lines(D.decide(order_parts(spark, sf), p), None, p))
+
+
 _SWEEP = [PROFILES["homelab"], PROFILES["archive"], RULES, FIRST]
 
 

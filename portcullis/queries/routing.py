@@ -109,6 +109,11 @@ def _(spark, sf):
     return R.reason_lists(reasons).select("item_id", F.col("total").alias("n"), F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query("r03_reason_entries", f"WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {ORDER_ITEMS_SQL}, {decide_sql(RULES)}, {_reasons_sql(RULES)} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY idx, pos) AS ordinal, reason FROM reasons")
+def _(spark, sf):
+    return R.reason_entries(_ready(spark, sf, PR)[2])
+
+
 @query("r04_route_findings", f"""WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {ORDER_ITEMS_SQL}, {_route_sql(ARCHIVE, False)}
  SELECT item_id, 'REFUSED' AS code, CASE WHEN verdict >= 4 THEN 4 ELSE 3 END AS severity, CASE WHEN verdict >= 4 THEN 'blocked by the scan' WHEN verdict >= 3 THEN 'failed by the scan; only a forced run goes on' ELSE 'the scan found no parts in it' END AS message
    FROM routed WHERE media AND (verdict >= 3 OR NOT parsed)
@@ -204,6 +209,12 @@ def _(spark, sf):
     return C.clean_findings(items, C.removals(items, parts, PA)).select("item_id", "code", "severity", "message")
 
 
+@query("c01_removal_entries", f"WITH {_WHAT_SQL} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY r) AS ordinal, w AS what FROM what")
+def _(spark, sf):
+    parts = order_parts(spark, sf).withColumn("editable", F.col("type") != "subtitle")
+    return C.removal_entries(C.removals(order_items(spark, sf), parts, PA))
+
+
 @query("c01_clean_twice", f"WITH {ORDER_ITEMS_SQL} SELECT item_id, 'NOTHING_TO_CLEAN' AS code FROM ox")
 def _(spark, sf):
     """What was cleaned has nothing left to clean."""

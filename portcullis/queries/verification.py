@@ -249,6 +249,11 @@ def _(spark, sf):
     return A.ordered_findings(_found(spark, sf)[1]).select("item_id", F.col("total").cast("long").alias("total"), F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
 
 
+@query("a05_finding_entries", f"WITH {_FOUND_SQL} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY stage, seq) AS ordinal, code FROM found")
+def _(spark, sf):
+    return A.finding_entries(_found(spark, sf)[1]).select("item_id", "ordinal", "code")
+
+
 @query("a05_merged_results", f"WITH {_FOUND_SQL} SELECT code, count(*) AS n FROM (SELECT code FROM found UNION ALL SELECT 'ROUTE' FROM items) GROUP BY code")
 def _(spark, sf):
     items, found = _found(spark, sf)

@@ -42,3 +42,16 @@ def test_group_positions_and_running_xor(spark):
         for i, (v, _, _) in enumerate(own):
             assert got[g, v] == (i + 1, reduce(xor, [r[1] for r in own[:i]], 0), reduce(xor, [r[2] for r in own[:i]], 0))
     assert with_group_position(df.limit(0), "g", [F.col("v")]).count() == 0
+
+
+def test_groups_of_several_columns(spark):
+    rows = [(i % 3 or None, "hot" if i % 2 else f"s{i % 7}", (i * 37) % 5000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, s string, v long").repartition(5)
+    out = with_group_position(df, ["k", "s"], [F.col("v")], parts=8)
+    got = {(r.k, r.s, r.v): r.position for r in out.collect()}
+    groups = {}
+    for k, s, v in sorted(rows, key=lambda r: r[2]):
+        groups.setdefault((k, s), []).append(v)
+    assert got == {(k, s, v): i for (k, s), own in groups.items() for i, v in enumerate(own, 1)}
+    parts = out.withColumn("p", F.input_file_name()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert parts < 5000 / 4  # the hot groups lie over many tasks

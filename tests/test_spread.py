@@ -42,7 +42,7 @@ def test_partitioning_changes_nothing(spark):
 
 
 def test_pages_keep_everything(spark):
-    pages = S.paged_lists(hot(spark), ["k"], "o", F.col("o"), "l", page=100, size=64)
+    pages = S.paged_lists(hot(spark), ["k"], "o", F.col("o"), "l", page=100)
     flat = pages.filter("k = 'hot'").orderBy("page").collect()
     assert len(flat) == 10 and all(len(p.l) == 100 and p.pages == 10 and p.total == 1000 for p in flat)
     joined = [x for p in flat for x in p.l]
