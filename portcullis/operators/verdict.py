@@ -4,9 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.operators.spread import ordered_entries, paged_lists
+from portcullis.functions.columns import let
 from portcullis.functions.tables import SEVERITY_NAMES
-from portcullis.schema import FAIL, PASS, severity_name, text
+from portcullis.operators.prefix import with_position
+from portcullis.operators.spread import ordered_entries, paged_lists
+from portcullis.schema import FAIL, PASS, severity_name, text, union_all
+from portcullis.session import kept
 
 SCHEMA_ID = "portcullis.report/1"
 
@@ -120,22 +123,62 @@ def run_header(judged: DataFrame, **head) -> DataFrame:
     return judged.agg(F.to_json(F.struct(*fields, errors), {"ignoreNullFields": "false"}).alias("header"))
 
 
-def report_document(judged: DataFrame, findings: DataFrame, key: str = "item_id", limit: int = 10000,
+#: Sections of a file in the document, in order; the head has place 0, the tail the last place.
+OPEN, FINDINGS, OUTPUT, ACTIONS, CLOSE = range(5)
+LAST_PLACE = (1 << 63) - 1
+
+
+def _quoted(value: Column) -> Column:
+    """A text as a JSON string; NULL as the empty one."""
+    return let(F.to_json(F.array(F.coalesce(value, F.lit("")))), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+
+
+def document_pieces(judged: DataFrame, findings: DataFrame, actions: DataFrame | None = None, key: str = "item_id",
                     **head) -> DataFrame:
-    """The single-document form, for runs whose size is checked first; larger runs use the lines."""
-    if judged.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} files: write report_lines and run_header instead")
-    rows = findings.join(judged.select(key), key, "left_semi").limit(100 * limit + 1).count()
-    if rows > 100 * limit:
-        raise ValueError(f"more than {100 * limit} findings: write report_lines and run_header instead")
-    entry = F.struct("code", severity_name(F.col("severity")).alias("severity"), "message",
-                     F.coalesce("detail", F.lit("")).alias("detail"))
-    at = F.struct("stage", "seq", "code", "message")
-    per_item = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), entry.alias("e")))).alias("l"))
-    none = F.array().cast("array<struct<code:string,severity:string,message:string,detail:string>>")
-    files = judged.join(per_item, key, "left").withColumn("file", F.struct(
-        "path", severity_name(F.col("verdict")).alias("verdict"),
-        F.coalesce(F.transform("l", lambda x: x["e"]), none).alias("findings")))
+    """(place, section, ordinal, piece): the single JSON document of a run, cut between tokens. All pieces in order of
+    the first three columns are the document; ``sinks.write_document`` writes them so.
+
+    ``judged``: key, path, verdict and optionally output, info (map), duration_ms; ``actions``: key, ordinal, line;
+    the rest as for ``run_header``. Files come in order of their paths. A piece holds a finding, an action or the
+    fields of one file, so neither a file with very many findings nor a run with very many files is ever one row.
+    Findings and actions of no judged item, or of none at all, are left out; ``findings`` and ``errors`` are there and
+    empty where there are none, empty outputs, actions, infos and details are not written."""
+    have = set(judged.columns)
+    none = F.create_map().cast("map<string,string>")
+    info = F.coalesce(F.col("info"), none) if "info" in have else none
+    narrow = kept(judged.select(
+        key, "path", "verdict", (F.col("output") if "output" in have else F.lit(None).cast("string")).alias("output"), info.alias("info"),
+        F.coalesce(F.col("duration_ms") if "duration_ms" in have else F.lit(None), F.lit(0)).cast("long").alias("duration_ms")))
+    files = with_position(narrow, [F.col("path").asc_nulls_first(), F.col(key)], "place")
+    acted = F.lit(False)
+    if actions is not None:
+        firsts = actions.filter("ordinal = 1").select(key, F.lit(True).alias("acted"))
+        files, acted = files.join(firsts, key, "left"), F.coalesce("acted", F.lit(False))
+
+    def pieces(df, section, ordinal, *texts):
+        return df.select(F.col("place"), F.lit(section).alias("section"), ordinal.cast("long").alias("ordinal"),
+                         F.concat(*[t if isinstance(t, Column) else F.lit(t) for t in texts]).alias("piece"))
+
+    def some(condition, *texts):
+        return F.when(condition, F.concat(*[t if isinstance(t, Column) else F.lit(t) for t in texts])).otherwise("")
+
+    zero, places = F.lit(0), files.select(key, "place")
+    entries = finding_entries(findings, key).join(places, key)
+    entry = F.struct("code", "severity", F.coalesce("message", F.lit("")).alias("message"), F.nullif("detail", F.lit("")).alias("detail"))
+    sorted_info = F.map_from_entries(F.array_sort(F.map_entries("info")))
+    out = [pieces(files, OPEN, zero, some(F.col("place") > 1, ","), '{"path":', _quoted(F.col("path")), ',"verdict":"',
+                  severity_name(F.col("verdict")), '","findings":['),
+           pieces(entries, FINDINGS, F.col("ordinal"), some(F.col("ordinal") > 1, ","), F.to_json(entry)),
+           pieces(files, OUTPUT, zero, "]", some(F.coalesce("output", F.lit("")) != "", ',"output":', _quoted(F.col("output")))),
+           pieces(files, CLOSE, zero, some(acted, "]"), some(F.size("info") > 0, ',"info":', F.to_json(sorted_info)),
+                  ',"duration_ms":', F.col("duration_ms").cast("string"), "}")]
+    if actions is not None:
+        out.append(pieces(actions.join(places, key), ACTIONS, F.col("ordinal"),
+                          F.when(F.col("ordinal") == 1, ',"actions":[').otherwise(","), _quoted(F.col("line"))))
     fields, errors = _head_fields(**head)
-    listed = F.array_sort(F.collect_list("file")).alias("files")
-    return files.agg(F.to_json(F.struct(*fields, listed, errors), {"ignoreNullFields": "false"}).alias("document"))
+    top = narrow.agg(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("top"))
+    top = top.withColumn("place", F.lit(0).cast("long"))
+    out.append(pieces(top, OPEN, zero, F.substring("top", F.lit(1), F.length("top") - 1), ',"files":['))
+    tail = narrow.agg(F.to_json(errors).alias("errors")).withColumn("place", F.lit(LAST_PLACE))
+    out.append(pieces(tail, CLOSE, zero, '],"errors":', F.col("errors"), "}"))
+    return union_all(out)

@@ -280,6 +280,32 @@ def _(spark, sf):
 
 
 
+_HEAD_SQL = """'{"schema":"portcullis.report/1","tool":"portcullis","version":"0.1.0","command":"scan","profile":"homelab","started":"2026-01-02T03:04:05Z","finished":"2026-01-02T03:04:06Z","verdict":"' || arg_max(v, m) || '","counts":{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) || '}'"""
+
+
+@query("a07_document", f"""WITH {_FOUND_SQL}, c AS (SELECT {_NAME} AS v, count(*) AS n, max(verdict) AS m FROM judged GROUP BY ALL),
+ f AS (SELECT *, row_number() OVER (ORDER BY path, item_id) AS place FROM judged),
+ e AS (SELECT item_id, code, {_NAME.replace("verdict", "severity")} AS severity, row_number() OVER (PARTITION BY item_id ORDER BY stage, seq) AS ordinal FROM found)
+ SELECT 0 AS place, 0 AS section, 0 AS ordinal, {_HEAD_SQL} || ',"files":[' AS piece FROM c
+ UNION ALL SELECT place, 0, 0, CASE WHEN place > 1 THEN ',' ELSE '' END || '{{"path":' || to_json(path) || ',"verdict":"' || {_NAME} || '","findings":[' FROM f
+ UNION ALL SELECT place, 1, ordinal, CASE WHEN ordinal > 1 THEN ',' ELSE '' END || '{{"code":"' || code || '","severity":"' || severity || '","message":"' || code || '"}}' FROM e JOIN f USING (item_id)
+ UNION ALL SELECT place, 2, 0, CASE WHEN verdict < 3 THEN '],"output":' || to_json('/out/' || item_id) ELSE ']' END FROM f
+ UNION ALL SELECT place, 3, a, CASE WHEN a = 1 THEN ',"actions":[' ELSE ',' END || to_json('keep "' || a || '"') FROM f, (SELECT unnest([1, 2]) AS a) WHERE item_id % 2 = 1
+ UNION ALL SELECT place, 4, 0, CASE WHEN item_id % 2 = 1 THEN ']' ELSE '' END || ',"info":{{"grp":' || to_json(grp) || '}},"duration_ms":' || item_id % 100 || '}}' FROM f
+ UNION ALL SELECT 9223372036854775807, 4, 0, '],"errors":[]}}'""")
+def _(spark, sf):
+    """The pieces of the whole document; a finding's message is its code here, every other item was acted upon."""
+    items, found = _found(spark, sf)
+    told = found.withColumn("message", F.col("code")).withColumn("detail", F.lit(None).cast("string"))
+    judged = A.verdicts(items, told).withColumns({
+        "output": F.when(F.col("verdict") < 3, F.concat(F.lit("/out/"), F.col("item_id").cast("string"))),
+        "info": F.create_map(F.lit("grp"), F.col("grp")), "duration_ms": F.col("item_id") % 100})
+    lines = items.filter("item_id % 2 = 1").select("item_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("ordinal")).withColumn(
+        "line", F.concat(F.lit('keep "'), F.col("ordinal").cast("string"), F.lit('"')))
+    at = F.lit("2026-01-02 03:04:05.9").cast("timestamp")
+    return A.document_pieces(judged, told, lines, tool="portcullis", version="0.1.0", command="scan", profile="homelab",
+                             started=at, finished=at + F.expr("INTERVAL 1 SECOND"))
+
 
 @query("a07_count_line", f"WITH {_FOUND_SQL}, c AS (SELECT {_NAME} AS v, count(*) AS n, max(verdict) AS m FROM judged GROUP BY ALL) SELECT arg_max(v, m) || ': ' || sum(n) || ' file(s) ' || string_agg(v || '=' || n, ' ' ORDER BY v) AS line FROM c")
 def _(spark, sf):

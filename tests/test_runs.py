@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from portcullis.operators.profiles import Profile
 from portcullis.operators.routing import check_quarantine_root
-from portcullis.operators.verdict import report_document, run_header, verdicts
+from portcullis.operators.verdict import document_pieces, run_header, verdicts
 from portcullis.plans.ingest import ingest
 from portcullis.plans.scan import finding_rows, scan_items
 from portcullis.sources.items import as_attachments, as_parts, list_items
-from portcullis.sources.sinks import stored_items, write_clean, write_quarantine, write_report
+from portcullis.sources.sinks import stored_items, write_clean, write_document, write_quarantine, write_report
 from portcullis.streaming import gate, settle
 
 HOME = Profile.load("homelab")
@@ -43,7 +43,9 @@ def test_scan_of_a_tree(spark, tree, tmp_path):
     found = finding_rows(scanned)
     judged = verdicts(items.select("item_id", "path"), found)
     at = F.lit("2026-01-02 03:04:05").cast("timestamp")
-    doc = json.loads(report_document(judged, found, tool="portcullis", version="0.1.0", command="scan", profile="homelab", started=at, finished=at).first().document)
+    pieces = document_pieces(judged, found, tool="portcullis", version="0.1.0", command="scan", profile="homelab", started=at, finished=at)
+    names = [r.name for r in write_document(pieces, str(tmp_path / "document")).orderBy("segment").collect()]
+    doc = json.loads(b"".join((tmp_path / "document" / n).read_bytes() for n in names))
     assert doc["verdict"] == "BLOCK" and sum(doc["counts"].values()) == len(EXPECTED) == len(doc["files"]) and doc["errors"] == []
     assert all(isinstance(f["findings"], list) for f in doc["files"])
     head = run_header(judged, tool="portcullis", version="0.1.0", command="scan", profile="homelab", started=at, finished=at)
