@@ -84,3 +84,34 @@ def test_signatures_against_brute_force(spark):
     table = spark.createDataFrame([(i, t, hashlib.sha256(t.encode()).hexdigest()) for i, t in sigs], "sig_id long, text string, digest string")
     want = {(i, s, "digest" if b == t else "text") for i, b in bodies for s, t in sigs if b and t in b}
     assert {tuple(r) for r in signature_match(items, table).collect()} == want
+
+
+def test_small_groups_are_numbered_without_a_global_order(spark):
+    """Groups under the bound are numbered where they are; only a hot one is dealt by ranges."""
+    asked = []
+    given = S.with_group_position
+    S.with_group_position = lambda df, *a, **k: asked.append(df.count()) or given(df, *a, **k)
+    try:
+        calm = spark.range(900).select((F.col("id") % 300).alias("k"), F.col("id").alias("o"))
+        assert {r.ordinal for r in S.ordered_entries(calm, ["k"], "o", F.col("o"), "e").collect()} == {1, 2, 3}
+        assert {r.total for r in S.paged_lists(calm, ["k"], "o", F.col("o"), "l").collect()} == {3}
+        assert asked == []
+        pages = S.paged_lists(hot(spark), ["k"], "o", F.col("o"), "l", page=100).collect()
+        assert asked == [1000] and sum(len(p.l) for p in pages) == 3000
+        S.BLOCK_ROWS, size = 500, S.BLOCK_ROWS
+        try:
+            w = Window.partitionBy("k").orderBy("o")
+            same(S.ordered_entries(hot(spark), ["k"], "o", F.col("o"), "e"),
+                 hot(spark).select("k", F.row_number().over(w).alias("ordinal"), F.col("o").alias("e")), ["k", "ordinal", "e"])
+        finally:
+            S.BLOCK_ROWS = size
+        assert asked == [1000, 1000]
+    finally:
+        S.with_group_position = given
+
+
+def test_shuffles_begin_with_many_partitions(spark):
+    from portcullis.session import FINE
+    spark.conf.unset(FINE)
+    test_pairs_of_a_hot_item(spark)
+    assert int(spark.conf.get(FINE)) >= 1024
