@@ -12,8 +12,9 @@ from portcullis.functions import tables as T
 from portcullis.functions.columns import canonical_lang, ext, is_und, let
 from portcullis.operators.metadata import attachment_payload
 from portcullis.operators.profiles import Settings
-from portcullis.operators.spread import ordered_entries, paged_lists, with_flag_from, with_stats
+from portcullis.operators.spread import bounded_numbers, ordered_entries, paged_lists, with_flag_from, with_stats
 from portcullis.schema import BLOCK, FAIL, LAST_SEQ, PASS, WARN, finding, gather, text, to_rows
+from portcullis.session import fine_shuffles
 
 COMMENTARY = "(?i)(?<![A-Za-z0-9_])commentar(?:y|ie[s\u017f])(?![A-Za-z0-9_])"
 
@@ -66,21 +67,33 @@ def is_commentary(flag: Column, title: Column) -> Column:
     return flag | F.coalesce(title, F.lit("")).rlike(COMMENTARY)
 
 
+def dealt(parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Parts with what no profile changes (``__lang``, ``__tag``, ``__named``). Where part numbers bound an item, its
+    parts are brought together once, which ``__near`` marks; a sweep over profiles then adds its rows behind that shuffle."""
+    fine_shuffles(parts.sparkSession)
+    code, tag = language_codes(F.col("lang"), F.col("ietf"))
+    rows = parts.withColumns({"__lang": code, "__tag": tag, "__named": is_commentary(F.col("commentary"), F.col("title"))})
+    if not bounded_numbers(parts, "idx"):
+        return rows
+    return rows.repartition(*[F.col(k) for k in keys or ["item_id"]]).withColumn("__near", F.lit(True))
+
+
 def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
            original: Column | None = None) -> DataFrame:
     """Append keep, reason, out_default, out_forced, set_language, clear_title to every part, and
     the item facts has_video, audio_fallback, first_part, has_text_sub.
 
     ``parts``: item_id, idx, type, lang, ietf, title, is_default, forced, commentary, hearing_imp,
-    attached_pic, text_sub. ``original`` is the original language of the item, where known."""
+    attached_pic, text_sub, as they are or from ``dealt``. ``original`` is the original language of the item, where
+    known. Where ``dealt`` brought an item's parts together, all statistics are windows on one shuffle and one sort."""
     keys = keys or ["item_id"]
+    parts = parts if "__lang" in parts.columns else dealt(parts, keys)
+    near = "__near" in parts.columns
     t = F.col("type")
     av = t.isin("audio", "subtitle")
     hint = F.coalesce(original if original is not None else F.lit(""), F.lit(""))
-    code, tag = language_codes(F.col("lang"), F.col("ietf"))
-    rows = (parts.withColumn("__lang", code).withColumn("__tag", tag)
-            .withColumn("__want", F.when(av, want_codes(F.col("__lang"), F.col("__tag"), p)))
-            .withColumn("__talk", is_commentary(F.col("commentary"), F.col("title")) & p["audio.drop_commentary"])
+    rows = (parts.withColumn("__want", F.when(av, want_codes(F.col("__lang"), F.col("__tag"), p)))
+            .withColumn("__talk", F.col("__named") & p["audio.drop_commentary"])
             .withColumn("__rescue", (t == "subtitle") & ~F.col("__want.keep") & p["subtitles.keep_forced"] & F.col("forced"))
             .withColumn("__pass", F.col("__want.keep") | F.col("__rescue"))
             .withColumn("__keep", F.coalesce(F.col("__pass") & ~F.col("__talk"), F.lit(False)))
@@ -90,6 +103,12 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
             .withColumn("__rank", F.when(F.coalesce(F.col("__spoken") == F.col("__orig"), F.lit(False)), F.lit(0))
                         .when(F.col("is_default"), F.lit(RANK_SPAN)).otherwise(F.lit(2 * RANK_SPAN)) + F.col("idx")))
     audio, kept_audio = t == "audio", (t == "audio") & F.col("__keep")
+    sdh = F.lit(False)
+    if p.may("subtitles.drop_sdh_duplicates"):  # before the item's: the sort by item and language serves both
+        rows = with_stats(rows, [*keys, "__lang"], {
+            "__plain": ("max", (t == "subtitle") & F.col("__keep") & ~F.col("hearing_imp"))}, near)
+        sdh = (p["subtitles.drop_sdh_duplicates"] & (t == "subtitle") & F.col("__keep")
+               & F.col("hearing_imp") & F.col("__plain"))
     rows = with_stats(rows, keys, {
         "__first_video": ("min", F.when((t == "video") & ~F.col("attached_pic"), F.col("idx"))),
         "__audio": ("max", audio), "__kept": ("max", kept_audio),
@@ -98,7 +117,7 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
         "__pick_all": ("min", F.when(audio, F.col("__rank"))),
         "__pick_kept": ("min", F.when(kept_audio, F.col("__rank"))),
         "first_part": ("min", F.col("idx")),
-        "has_text_sub": ("max", (t == "subtitle") & F.col("text_sub"))})
+        "has_text_sub": ("max", (t == "subtitle") & F.col("text_sub"))}, near)
     rows = rows.withColumn("audio_fallback", F.col("__audio") & ~F.col("__kept"))
     only_first = F.coalesce("__first_kept", "__first_audio")
     rows = (rows
@@ -106,12 +125,6 @@ def decide(parts: DataFrame, p: Settings, keys: list[str] | None = None,
                         & (F.col("idx") != only_first))
             .withColumn("__default_at", F.when(p["audio.keep_first"], only_first)
                         .otherwise(F.coalesce("__pick_kept", "__pick_all") % F.lit(RANK_SPAN))))
-    sdh = F.lit(False)
-    if p.may("subtitles.drop_sdh_duplicates"):
-        rows = with_stats(rows, [*keys, "__lang"], {
-            "__plain": ("max", (t == "subtitle") & F.col("__keep") & ~F.col("hearing_imp"))})
-        sdh = (p["subtitles.drop_sdh_duplicates"] & (t == "subtitle") & F.col("__keep")
-               & F.col("hearing_imp") & F.col("__plain"))
     rows = rows.withColumn("__sdh", sdh)
     primary = F.coalesce(F.col("idx") == F.col("__first_video"), F.lit(False))
     keep = (F.when(t == "video", primary)

@@ -216,9 +216,9 @@ _SWEEP = [PROFILES["homelab"], PROFILES["archive"], RULES, FIRST]
     f"d_{p.name} AS (WITH {decide_sql(p)} SELECT '{p.name}' AS profile, reason, keep, out_default FROM decided)" for p in _SWEEP)
     + " SELECT profile, reason, keep, out_default, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM d_{p.name}" for p in _SWEEP) + ") GROUP BY ALL")
 def _(spark, sf):
-    """The same parts under several profiles in one plan."""
-    swept = PR.sweep(order_parts(spark, sf), _SWEEP)
-    return D.decide(swept, Settings.of_profiles(_SWEEP), ["profile", "item_id"]).groupBy("profile", "reason", "keep", "out_default").agg(
+    """The same parts under several profiles in one plan; the profiles multiply rows behind the shuffle of the parts."""
+    swept = PR.sweep(D.dealt(order_parts(spark, sf)), _SWEEP)
+    return D.decide(swept, Settings.of_profiles(_SWEEP), ["item_id", "profile"]).groupBy("profile", "reason", "keep", "out_default").agg(
         F.count("*").alias("n"))
 
 

@@ -171,3 +171,33 @@ def test_globs():
     for bad in ("[", "[]", "a\\", "[a-"):
         with pytest.raises(ValueError):
             intake.glob_pattern(bad)
+
+
+def test_windows_and_aggregates_decide_alike(spark):
+    """Items whose numbers are bounded are decided on one shuffle and one read; others as before."""
+    from pyspark.sql import functions as F
+    from portcullis.operators import policy as D
+    from portcullis.operators.profiles import Profile, Settings
+    from portcullis.sources.items import as_parts
+    i = F.col("id")
+    raw = spark.range(600).select((i % 60).alias("item"), F.floor(i / 60).alias("n"), "id")
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+    parts = as_parts(raw, item_id="item", idx="n", type=pick(["video", "audio", "audio", "subtitle", "subtitle"], i * 7 % 11), codec=F.lit("c"),
+                     lang=pick(["de", "", "eng", "en-US", "PT_br", "xx"], i * 5 % 13), ietf=pick(["", "pt-BR", ""], i), title=F.lit(""),
+                     is_default=i % 3 == 0, forced=i % 4 == 0, hearing_imp=i % 2 == 0, commentary=i % 9 == 0)
+    p = Settings.of(Profile.build("first", {"languages.keep": ["ger", "por"], "languages.und": "drop", "audio.keep_first": True,
+                                            "audio.drop_commentary": True, "subtitles.drop_sdh_duplicates": True}))
+    columns = ["item_id", "idx", "keep", "reason", "out_default", "out_forced", "set_language", "has_video", "audio_fallback", "first_part"]
+    near = D.decide(parts, p).select(*columns)
+    far = D.decide(parts.withColumn("idx", F.col("idx") + 100000), p).withColumn("idx", F.col("idx") - 100000).withColumn(
+        "first_part", F.col("first_part") - 100000).select(*columns)
+    assert sorted(near.collect()) == sorted(far.collect())
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 600") == 1 and "Join" not in plan
+
+
+def test_language_codes_of_every_spelling(values):
+    from portcullis.functions.columns import LANGUAGE_ALIASES, canonical_lang, canonical_lang_py
+    given = [*LANGUAGE_ALIASES, *[f" {a.upper()}-x" for a in LANGUAGE_ALIASES], "", " ", "-", "_en", "-en", "xx", "x_y-z", "en_", "\u00e4b", "\ten\n", "En", "zz9"]
+    assert values(given, "string", canonical_lang) == [canonical_lang_py(g) for g in given]
+    assert values([None], "string", canonical_lang) == ["und"]
