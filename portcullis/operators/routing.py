@@ -23,6 +23,11 @@ def refuse(path: Column, verdict: Column, parsed: Column, force: Column) -> Colu
              .when(media & ~parsed, out(FAIL, "the scan found no parts in it", "no probe result")))
 
 
+#: What routing reads of decided parts.
+DECIDED = ["item_id", "idx", "type", "codec", "lang", "is_default", "forced", "keep", "reason", "out_default", "out_forced",
+           "set_language", "has_video"]
+
+
 def rebuild_reasons(decided: DataFrame, attachments: DataFrame | None, chapters: DataFrame | None,
                     p: Settings, keys: list[str] | None = None) -> DataFrame:
     """(item_id, rank, reason): every way an item differs from its decision, in order.

@@ -15,7 +15,7 @@ from portcullis.queries.base import (EVENT_ATTRS_SQL, ORDER_PARTS_SQL, by_rest,
                                      sql_by_rest, sql_list, table)
 from portcullis.queries.metadata import ALIAS_SQL
 from portcullis.queries.policy import PROFILES, RULES, decide_sql
-from portcullis.session import checkpoint_dir
+from portcullis.session import checkpoint_dir, kept
 from portcullis.sources.sinks import stored_items, write_clean, write_quarantine
 
 HOME, ARCHIVE = PROFILES["homelab"], PROFILES["archive"]
@@ -57,9 +57,11 @@ def _(spark, sf):
     return r.filter(F.col("r").isNotNull()).select("item_id", "r.severity", "r.reason")
 
 
-def _ready(spark, sf, p, profile_sql=None):
-    parts = order_parts(spark, sf)
-    decided = D.decide(parts, p)
+def _ready(spark, sf, p, stored=True):
+    """Items, decided parts and reasons; ``stored`` where more than the reasons is read."""
+    decided = D.decide(order_parts(spark, sf), p)
+    if stored:
+        decided = kept(decided.select(*R.DECIDED))
     facts = decided.groupBy("item_id").agg((~F.max("has_video")).alias("no_video"))
     items = order_items(spark, sf).join(facts, "item_id", "left").withColumn("no_video", F.coalesce("no_video", F.lit(True)))
     reasons = R.rebuild_reasons(decided, None, items.select("item_id", "chapter_n"), p)
@@ -105,13 +107,13 @@ for _name, _profile, _force in (("r02_route", ARCHIVE, False), ("r02_route_force
 
 @query("r03_needs_rebuild", f"WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {ORDER_ITEMS_SQL}, {decide_sql(RULES)}, {_reasons_sql(RULES)} SELECT item_id, count(*) AS n, string_agg(reason, '; ' ORDER BY idx, pos) AS reasons FROM reasons GROUP BY item_id")
 def _(spark, sf):
-    _, _, reasons = _ready(spark, sf, PR)
+    _, _, reasons = _ready(spark, sf, PR, stored=False)
     return R.reason_lists(reasons).select("item_id", F.col("total").alias("n"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("r03_reason_entries", f"WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {ORDER_ITEMS_SQL}, {decide_sql(RULES)}, {_reasons_sql(RULES)} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY idx, pos) AS ordinal, reason FROM reasons")
 def _(spark, sf):
-    return R.reason_entries(_ready(spark, sf, PR)[2])
+    return R.reason_entries(_ready(spark, sf, PR, stored=False)[2])
 
 
 @query("r04_route_findings", f"""WITH {ALIAS_SQL}, {ORDER_PARTS_SQL}, {ORDER_ITEMS_SQL}, {_route_sql(ARCHIVE, False)}
