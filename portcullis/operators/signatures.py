@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from portcullis.functions import tables as T
 from portcullis.operators.spread import with_stats
 from portcullis.schema import BLOCK, FAIL, WARN, finding, gather, text, to_rows
-from portcullis.session import kept
+from portcullis.session import fine_shuffles, kept
 
 
 def effective_mode(mode: Column, forced: Column) -> Column:
@@ -168,21 +168,33 @@ def _spoken(bodies: DataFrame, filters: dict[int, np.ndarray]) -> DataFrame:
     return given.mapInArrow(run, f"id {given.schema['item_id'].dataType.simpleString()}, kind int, gram long").withColumnRenamed("id", "item_id")
 
 
+def _same(text: str) -> Column:
+    """Equal for equal texts."""
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
 def signature_match(items: DataFrame, signatures: DataFrame) -> DataFrame:
     """(item_id, sig_id, how): digest equality, or the signature's text inside the body.
 
     Bodies and signatures of any length meet in one way: of every window of consecutive runs of bytes only the least
     hash counts, and a signature is found by the rarest of its windows. A bitmap of fixed size keeps the hashes of
-    bodies that are no anchors from leaving their task; the rest joins the anchors, by whatever join Spark picks. The
-    few pairs are joined back to the bodies and confirmed by ``contains``. Null bodies and empty or null signatures
-    match nothing by text."""
+    bodies that are no anchors from leaving their task; the rest joins the anchors, by whatever join Spark picks. Copies
+    of a text meet as one: pairs are of different texts, a signature's text goes to its pairs, and a body moves once
+    to all of its pairs, where ``contains`` confirms them. Null bodies and empty or null signatures match nothing by
+    text."""
     exact = (items.select("item_id", F.sha2("body", 256).alias("digest"))
              .join(signatures.select("sig_id", "digest"), "digest").select("item_id", "sig_id", F.lit("digest").alias("how")))
-    anchored = kept(anchors(signatures))
-    spoken = items.where("body IS NOT NULL").select("item_id", "body")
-    pairs = _spoken(spoken, _filters(anchored)).join(anchored, ["kind", "gram"]).select("item_id", "sig_id").distinct()
-    hits = (spoken.join(pairs, "item_id").join(signatures.select("sig_id", "text"), "sig_id")
-            .where(F.contains("body", "text")).select("item_id", "sig_id", F.lit("text").alias("how")))
+    fine_shuffles(items.sparkSession)
+    told = signatures.where("text IS NOT NULL").select("sig_id", "text", _same("text").alias("same"))
+    texts = kept(told.groupBy("same").agg(F.min("sig_id").alias("sig_id"), F.first("text").alias("text")))
+    members = told.select("same", "sig_id").join(texts.select("same", F.col("sig_id").alias("first")), "same").drop("same")
+    anchored = kept(anchors(texts))
+    spoken = items.where("body IS NOT NULL").select("item_id", "body", _same("body").alias("same"))
+    pairs = (_spoken(spoken.select(F.col("same").alias("item_id"), "body"), _filters(anchored)).join(anchored, ["kind", "gram"])
+             .select(F.col("item_id").alias("same"), F.col("sig_id").alias("first")).distinct())
+    asked = pairs.join(texts.select(F.col("sig_id").alias("first"), "text"), "first")
+    hits = (spoken.join(asked, "same").where(F.contains("body", "text")).select("item_id", "first")
+            .join(members, "first").select("item_id", "sig_id", F.lit("text").alias("how")))
     # A digest hit is also a text hit; the digest is named.
     return exact.unionByName(hits).groupBy("item_id", "sig_id").agg(F.min("how").alias("how"))
 

@@ -57,3 +57,14 @@ def test_long_bodies_in_pieces(spark, monkeypatch):
 def test_empty_sides(spark, bodies, sigs):
     got = matches(spark, bodies, sigs)
     assert got == ({(1, 1, "digest")} if bodies and sigs else set())
+
+
+def test_signature_copies_meet_once(spark, monkeypatch):
+    """Copies of a signature are one anchor, yet each is reported for each copy of a body."""
+    from portcullis.operators import signatures as G
+    seen, given = [], G.anchors
+    monkeypatch.setattr(G, "anchors", lambda s: seen.append(s.count()) or given(s))
+    items = spark.createDataFrame([(i, "say alpha beta gamma now") for i in range(20)], "item_id long, body string")
+    sigs = spark.createDataFrame([(i, "alpha beta gamma", "-") for i in range(15)] + [(99, None, "-")], "sig_id long, text string, digest string")
+    assert {tuple(r) for r in G.signature_match(items, sigs).collect()} == {(i, s, "text") for i in range(20) for s in range(15)}
+    assert seen == [1]
