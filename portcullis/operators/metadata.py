@@ -194,7 +194,11 @@ def extract_groups(names: dict[str, Column], side_data: Column) -> Column:
 
 def header_groups(props: Column) -> Column:
     """Signal struct of a track header's property map (JSON text values): coded names, coordinate
-    lists, alternate key spellings with the first one given winning."""
+    lists, alternate key spellings with the first one given winning. The map is built once a row, not for every key."""
+    return let(props, _header_groups)
+
+
+def _header_groups(props: Column) -> Column:
     def get(*keys):
         return F.coalesce(*[F.try_element_at(props, F.lit(k)) for k in keys])
 
